@@ -1,0 +1,263 @@
+"""Next-token model: softmax boosting with Spark ML regression trees.
+
+Every round fits one tree per class on the gradient ``1[y = c] - p_c`` and gives its
+leaves Newton weights from one aggregate. Rows stay in a DataFrame with an
+``array<double>`` of scores; only leaf sums (classes x leaves) reach the driver.
+
+Cost is rounds x classes fits, so ``frequent_classes`` can read rare targets as UNK.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import asdict, dataclass, field, replace
+from multiprocessing.pool import ThreadPool
+
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiframe.functions.hashing import unit_draw
+from lexiframe.functions.ids import UNK
+from lexiframe.operators.dataset import ROW_KEYS
+from lexiframe.operators.metrics import normalise, row_logloss
+from lexiframe.session import materialize
+
+
+@dataclass(frozen=True)
+class BoostOptions:
+    """Defaults of the model."""
+
+    learning_rate: float = 0.1
+    num_leaves: int = 64
+    max_depth: int = -1
+    min_data_in_leaf: int = 20
+    feature_fraction: float = 1.0
+    bagging_fraction: float = 1.0
+    bagging_freq: int = 0
+    lambda_l1: float = 0.0
+    lambda_l2: float = 0.0
+    num_boost_round: int = 500
+    early_stopping_rounds: int = 20
+    seed: int = 42
+    parallelism: int = 4
+
+    @property
+    def depth(self) -> int:
+        """Spark trees grow by level, so the number of leaves becomes a depth."""
+        by_leaves = max(1, math.ceil(math.log2(self.num_leaves)))
+        return by_leaves if self.max_depth <= 0 else min(by_leaves, self.max_depth)
+
+
+@dataclass
+class BoostedModel:
+    class_ids: list[int]
+    base: list[float]
+    trees: list[list[DecisionTreeRegressionModel]] = field(default_factory=list)
+    weights: list[list[list[float]]] = field(default_factory=list)
+    history: list[dict] = field(default_factory=list)
+    best_iteration: int = 0
+
+    @property
+    def num_classes(self) -> int:
+        return len(self.class_ids)
+
+
+def frequent_classes(rows: DataFrame, max_classes: int | None, vocab_size: int, y: str = "y") -> list[int]:
+    """Token IDs that are classes of their own; all of the vocabulary without a limit.
+
+    With one: UNK and the most frequent targets. Other targets are then read as UNK.
+    """
+    if max_classes is None or max_classes >= vocab_size:
+        return list(range(vocab_size))
+    top = rows.where(F.col(y) != UNK).groupBy(y).count().orderBy(F.desc("count"), F.asc(y)).limit(max_classes - 1)
+    return sorted([UNK, *[r[y] for r in top.collect()]])
+
+
+def class_index(y: Column, class_ids: list[int]) -> Column:
+    ids = F.array(*[F.lit(i) for i in class_ids])
+    place = F.array_position(ids, y)
+    other = class_ids.index(UNK) + 1
+    return (F.when(place > 0, place).otherwise(F.lit(other)) - 1).cast("int")
+
+
+def categorical_metadata(names: list[str], categorical: list[str], n_values: int) -> dict:
+    """Column metadata that tells Spark trees which features are categories 0..n_values-1."""
+    nominal = [{"idx": i, "name": n, "num_vals": n_values} for i, n in enumerate(names) if n in set(categorical)]
+    numeric = [{"idx": i, "name": n} for i, n in enumerate(names) if n not in set(categorical)]
+    return {"ml_attr": {"attrs": {"nominal": nominal, "numeric": numeric}, "num_attrs": len(names)}}
+
+
+def mark_categorical(rows: DataFrame, names: list[str], categorical: list[str], n_values: int) -> DataFrame:
+    return rows.withMetadata("features", categorical_metadata(names, categorical, n_values))
+
+
+def softmax(scores: Column) -> Column:
+    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return normalise(raised)
+
+
+def _doubles(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _leaf_columns(rows: DataFrame, trees: list[DecisionTreeRegressionModel], prefix: str) -> DataFrame:
+    out = rows
+    for c, tree in enumerate(trees):
+        tree.setFeaturesCol("features").setPredictionCol("_unused").setLeafCol(f"{prefix}{c}")
+        out = tree.transform(out).drop("_unused")
+    return out
+
+
+def _added(scores: Column, weights: list[list[float]], prefix: str) -> Column:
+    gains = [_doubles(w)[F.col(f"{prefix}{c}").cast("int")] for c, w in enumerate(weights)]
+    return F.zip_with(scores, F.array(*gains), lambda s, g: s + g)
+
+
+def _leaf_weight(gradient: float, hessian: float, options: BoostOptions) -> float:
+    shrunk = math.copysign(max(abs(gradient) - options.lambda_l1, 0.0), gradient)
+    return options.learning_rate * shrunk / (hessian + options.lambda_l2 + 1e-12)
+
+
+def _fit_tree(rows: DataFrame, label: str, max_bins: int, options: BoostOptions, seed: int) -> DecisionTreeRegressionModel:
+    settings = {
+        "featuresCol": "features",
+        "labelCol": label,
+        "maxDepth": options.depth,
+        "maxBins": max_bins,
+        "minInstancesPerNode": options.min_data_in_leaf,
+        "seed": seed,
+    }
+    if options.feature_fraction < 1.0:
+        forest = RandomForestRegressor(
+            numTrees=1, bootstrap=False, featureSubsetStrategy=str(options.feature_fraction), **settings
+        )
+        return forest.fit(rows).trees[0]
+    return DecisionTreeRegressor(**settings).fit(rows)
+
+
+def fit_next_token_model(
+    rows: DataFrame,
+    class_ids: list[int],
+    options: BoostOptions = BoostOptions(),
+    max_bins: int = 32,
+    keys: tuple[str, ...] = ROW_KEYS,
+) -> BoostedModel:
+    """Fit on rows with ``features``, ``y`` and ``split`` ('train' / 'val').
+
+    ``max_bins`` is at least the number of values of a categorical feature. Stops when
+    the validation logloss has not improved for ``early_stopping_rounds`` rounds (0:
+    never); ``best_iteration`` is then the round to predict with.
+    """
+    classes = len(class_ids)
+    data = rows.select(*keys, "split", "features", class_index(F.col("y"), class_ids).alias("y"))
+    data = materialize(data, "boost")
+    train = F.col("split") == "train"
+    seen = {r["y"]: r["count"] for r in data.where(train).groupBy("y").count().collect()}
+    total = sum(seen.values())
+    if total == 0:
+        raise ValueError("no training rows")
+    # Log priors; a class without training rows starts very low instead of at -inf.
+    model = BoostedModel(class_ids, [math.log(max(seen.get(c, 0), 1e-3) / total) for c in range(classes)])
+    data = data.withColumn("scores", _doubles(model.base))
+
+    best_loss, best_round = math.inf, 0
+    for step in range(options.num_boost_round):
+        graded = data.withColumn("_p", softmax(F.col("scores")))
+        gradients = [((F.col("y") == c).cast("double") - F.col("_p")[c]).alias(f"_g{c}") for c in range(classes)]
+        graded = graded.select("*", *gradients)
+        learn = graded.where(train).select(*keys, "features", *[f"_g{c}" for c in range(classes)])
+        if options.bagging_fraction < 1.0 and options.bagging_freq > 0:
+            bag = unit_draw(options.seed, F.lit(step // options.bagging_freq), *keys)
+            learn = learn.where(bag < options.bagging_fraction)
+        learn = learn.drop(*keys).persist()
+        try:
+            with ThreadPool(min(options.parallelism, classes)) as pool:
+                trees = pool.map(
+                    lambda c: _fit_tree(learn.select("features", f"_g{c}"), f"_g{c}", max_bins, options, options.seed + step),
+                    range(classes),
+                )
+        finally:
+            learn.unpersist()
+
+        placed = _leaf_columns(graded, trees, "_leaf")
+        per_class = [
+            F.struct(
+                F.lit(c).alias("c"),
+                F.col(f"_leaf{c}").cast("int").alias("leaf"),
+                F.col(f"_g{c}").alias("g"),
+                (F.col("_p")[c] * (1 - F.col("_p")[c])).alias("h"),
+            )
+            for c in range(classes)
+        ]
+        sums = placed.where(train).select(F.explode(F.array(*per_class)).alias("e")).groupBy("e.c", "e.leaf")
+        # At most classes x leaves rows.
+        leaves = sums.agg(F.sum("e.g").alias("g"), F.sum("e.h").alias("h")).collect()
+        weights = [[0.0] * (tree.numNodes // 2 + 1) for tree in trees]
+        for r in leaves:
+            weights[r["c"]][r["leaf"]] = _leaf_weight(r["g"], r["h"], options)
+        model.trees.append(trees)
+        model.weights.append(weights)
+
+        scored = placed.withColumn("scores", _added(F.col("scores"), weights, "_leaf"))
+        data = materialize(scored.select(*keys, "split", "features", "y", "scores"), "boost")
+        loss = row_logloss(F.col("y"), softmax(F.col("scores")))
+        losses = {r["split"]: r["l"] for r in data.groupBy("split").agg(F.avg(loss).alias("l")).collect()}
+        model.history.append({"iteration": step + 1, **losses})
+        watched = losses.get("val", losses["train"])
+        if watched < best_loss:
+            best_loss, best_round = watched, step + 1
+        elif 0 < options.early_stopping_rounds <= step + 1 - best_round:
+            break
+    model.best_iteration = best_round if options.early_stopping_rounds > 0 else len(model.trees)
+    return model
+
+
+def predict_proba(rows: DataFrame, model: BoostedModel, p: str = "p", cut_every: int = 10) -> DataFrame:
+    """Add ``p``, the probability of every class, by the trees up to the best iteration."""
+    out = rows.withColumn("_scores", _doubles(model.base))
+    used = list(zip(model.trees, model.weights))[: model.best_iteration]
+    for step, (trees, weights) in enumerate(used):
+        out = _leaf_columns(out, trees, "_leaf")
+        out = out.withColumn("_scores", _added(F.col("_scores"), weights, "_leaf"))
+        out = out.drop(*[f"_leaf{c}" for c in range(len(trees))])
+        if (step + 1) % cut_every == 0 and step + 1 < len(used):
+            out = materialize(out, "scores")
+    return out.withColumn(p, softmax(F.col("_scores"))).drop("_scores")
+
+
+def history_rows(spark: SparkSession, model: BoostedModel) -> DataFrame:
+    """(iteration, train_logloss, valid_logloss), one row per round."""
+    rows = [(h["iteration"], h.get("train"), h.get("val")) for h in model.history]
+    return spark.createDataFrame(rows, "iteration int, train_logloss double, valid_logloss double")
+
+
+def save_model(spark: SparkSession, model: BoostedModel, path: str) -> None:
+    """Every tree by Spark's own writer; weights, classes and best iteration as Parquet."""
+    for r, trees in enumerate(model.trees):
+        for c, tree in enumerate(trees):
+            tree.write().overwrite().save(f"{path}/trees/{r}-{c}")
+    weights = [(r, c, w) for r, per_class in enumerate(model.weights) for c, w in enumerate(per_class)]
+    spark.createDataFrame(weights, "round int, class int, weights array<double>").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/weights")
+    head = [(model.class_ids, model.base, model.best_iteration)]
+    spark.createDataFrame(head, "class_ids array<int>, base array<double>, best_iteration int").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/head")
+
+
+def load_model(spark: SparkSession, path: str) -> BoostedModel:
+    head = spark.read.parquet(f"{path}/head").first()
+    model = BoostedModel(list(head["class_ids"]), list(head["base"]), best_iteration=head["best_iteration"])
+    for r in spark.read.parquet(f"{path}/weights").orderBy("round", "class").collect():
+        if r["class"] == 0:
+            model.trees.append([])
+            model.weights.append([])
+        model.trees[-1].append(DecisionTreeRegressionModel.load(f"{path}/trees/{r['round']}-{r['class']}"))
+        model.weights[-1].append(list(r["weights"]))
+    return model
+
+
+def options_as_settings(options: BoostOptions) -> dict:
+    return asdict(replace(options))

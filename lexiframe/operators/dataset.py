@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import hash_key
 from lexiframe.functions.ids import PAD, UNK, pad_count, unk_count
-from lexiframe.operators.ranking import take_by_key, take_first
+from lexiframe.operators.ranking import number_in_order, take_by_key, take_first
 from lexiframe.operators.summary import one_row
 
 # Defaults of the dataset step.
@@ -48,9 +48,15 @@ def context_windows(
     )
 
 
-def shuffle_rows(rows: DataFrame, seed: int = SEED, keys: Sequence[str] = ROW_KEYS) -> DataFrame:
-    """All rows in a reproducible random order (a range-partitioned global sort)."""
-    return rows.orderBy(hash_key(seed, *keys), *keys)
+def shuffle_rows(
+    rows: DataFrame, seed: int = SEED, keys: Sequence[str] = ROW_KEYS, place: str | None = None
+) -> DataFrame:
+    """All rows in a reproducible random order (a range-partitioned global sort).
+
+    With ``place``, a column of that name holds the position of the row, from 1.
+    """
+    order = [hash_key(seed, *keys), *[F.col(k) for k in keys]]
+    return rows.orderBy(*order) if place is None else number_in_order(rows, order, place)
 
 
 def limit_samples(

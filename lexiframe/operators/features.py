@@ -57,11 +57,6 @@ def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> np.
     return matrix
 
 
-def position_weights(length: int) -> list[float]:
-    """exp(j / L): the newest position weighs most. Pools divide by the weights they use."""
-    return [float(w) for w in np.exp(np.arange(length) / length)]
-
-
 def _pool_in_tasks(rows: DataFrame, matrix: np.ndarray, kinds: Sequence[str], ctx: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(matrix)
     dim = matrix.shape[1]
@@ -105,38 +100,44 @@ def pool_by_join(
     kinds: Sequence[str] = POOLS,
     ctx: str = "ctx",
     keys: Sequence[str] = ROW_KEYS,
-    dim: int | None = None,
-    length: int | None = None,
 ) -> DataFrame:
     """The same pools by joining every context position with its vector.
 
-    For embedding tables too large to hand to every worker. Rows are partitioned by
-    their key before they are exploded, so a broadcast lookup needs no second shuffle.
+    For embedding tables too large to hand to every worker: the join is by shuffle then,
+    and a row gathers no more than L vectors.
     """
-    if dim is None:
-        dim = embeddings.select(F.size("vec").alias("d")).first()["d"]
-    if length is None:
-        length = rows.select(F.size(ctx).alias("n")).first()["n"]
-    weights = F.array(*[F.lit(w) for w in position_weights(length)])
+    dim = embeddings.select(F.size("vec").alias("d")).first()["d"]
     others = [c for c in rows.columns if c not in keys]
-    elements = rows.repartition(*keys).select(*keys, *others, F.posexplode(ctx).alias("_j", "_id"))
-    vectors = embeddings.where(F.col("id") != PAD).select(F.col("id").alias("_id"), "vec")
-    joined = elements.join(vectors, "_id", "left").withColumn("_w", F.when(F.col("vec").isNotNull(), weights[F.col("_j")]))
-
-    aggregates = []
-    for d in range(dim):
-        v = F.col("vec")[d].cast("double")
-        if "mean" in kinds:
-            aggregates.append(F.coalesce(F.avg(v), F.lit(0.0)).alias(f"_mean{d}"))
-        if "max" in kinds:
-            aggregates.append(F.coalesce(F.max(v), F.lit(EMPTY_MAX)).alias(f"_max{d}"))
-        if "position" in kinds:
-            aggregates.append(F.coalesce(F.sum(v * F.col("_w")) / F.sum("_w"), F.lit(0.0)).alias(f"_position{d}"))
-    grouped = joined.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], *aggregates)
-    return grouped.select(
-        *rows.columns, *[F.array(*[F.col(f"_{k}{d}") for d in range(dim)]).alias(f"{k}_pooled") for k in kinds]
+    elements = rows.select(*keys, *others, F.size(ctx).alias("_l"), F.posexplode(ctx).alias("_j", "_id"))
+    vectors = embeddings.where(F.col("id") != PAD).select(F.col("id").alias("_id"), F.col("vec").alias("_vec"))
+    joined = elements.join(vectors, "_id", "left")
+    weight = F.exp(F.col("_j") / F.col("_l")).alias("w")
+    found = F.when(F.col("_vec").isNotNull(), F.struct("_j", weight, F.col("_vec").cast("array<double>").alias("v")))
+    gathered = joined.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in others], F.sort_array(F.collect_list(found)).alias("_found")
     )
 
+    def fold(start: float, merge):
+        return F.aggregate("_found", F.array_repeat(F.lit(start), dim), merge)
+
+    def over(total, divisor):
+        return F.transform(total, lambda x: F.when(divisor > 0, x / divisor).otherwise(F.lit(0.0)))
+
+    pools = {
+        "mean": over(
+            fold(0.0, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b)), F.size("_found").cast("double")
+        ),
+        "max": F.when(
+            F.size("_found") > 0,
+            fold(float("-inf"), lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: F.greatest(a, b))),
+        ).otherwise(F.array_repeat(F.lit(EMPTY_MAX), dim)),
+        "position": over(
+            fold(0.0, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b * e["w"])),
+            F.aggregate("_found", F.lit(0.0), lambda acc, e: acc + e["w"]),
+        ),
+    }
+    return gathered.select(*rows.columns, *[pools[k].alias(f"{k}_pooled") for k in kinds])
+
 
 def pool_embeddings(
     rows: DataFrame,
@@ -203,10 +204,17 @@ def fit_pca(rows: DataFrame, column: str, target_dim: int) -> PipelineModel:
     return Pipeline(stages=[centre, PCA(k=target_dim, inputCol="_centred", outputCol="_reduced")]).fit(data)
 
 
-def pca_reduce(rows: DataFrame, column: str, target_dim: int, model: PipelineModel | None = None) -> DataFrame:
-    """Replace an array column by its principal components; unchanged when it has no more than ``target_dim``."""
-    first = rows.select(F.size(column).alias("d")).first()
-    if first is None or target_dim >= first["d"]:
+def pca_reduce(
+    rows: DataFrame, column: str, target_dim: int, model: PipelineModel | None = None, dim: int | None = None
+) -> DataFrame:
+    """Replace an array column by its principal components; unchanged when it has no more than ``target_dim``.
+
+    ``dim`` is the width of the column, looked up when not given.
+    """
+    if dim is None:
+        first = rows.select(F.size(column).alias("d")).first()
+        dim = first["d"] if first else 0
+    if target_dim >= dim:
         return rows
     model = model or fit_pca(rows, column, target_dim)
     reduced = model.transform(rows.withColumn("_raw", array_to_vector(column)))
@@ -294,7 +302,7 @@ def assemble_features(
         reduced = dim if options.reduce_to is None else min(dim, options.reduce_to)
         for kind in kinds:
             if reduced < dim and (kind != "mean" or options.mean_pooled):
-                out = pca_reduce(out, f"{kind}_pooled", reduced, (pca or {}).get(kind))
+                out = pca_reduce(out, f"{kind}_pooled", reduced, (pca or {}).get(kind), dim)
         if options.mean_pooled:
             add("mean_pooled", reduced, "mean")
         if options.prototypes:
