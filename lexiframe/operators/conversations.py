@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions.ids import BOS, EOS, last_ids
 from lexiframe.functions.text import strip
 from lexiframe.operators.encoding import encode
-from lexiframe.operators.running import BLOCK, running_sums
+from lexiframe.operators.running import BLOCK, levels_for, running_sums
 
 # What a user types to end or restart a conversation.
 EXIT_WORDS = ["exit", "quit", ":q"]
@@ -41,9 +41,9 @@ def mark_turns(turns: DataFrame, is_reset: Column | None = None, is_exit: Column
     return turns.select("*", *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in flags.items()])
 
 
-def number_sessions(marked: DataFrame, block: int = BLOCK) -> DataFrame:
+def number_sessions(marked: DataFrame, block: int = BLOCK, levels: int | None = None) -> DataFrame:
     """Add ``session_id``, the resets so far, and ``_exits``, the exits so far."""
-    return running_sums(marked, ["conv_id"], "turn", {"session_id": "_reset", "_exits": "_exit"}, block)
+    return running_sums(marked, ["conv_id"], "turn", {"session_id": "_reset", "_exits": "_exit"}, block, levels)
 
 
 def conversation_sessions(
@@ -51,13 +51,14 @@ def conversation_sessions(
     is_reset: Column | None = None,
     is_exit: Column | None = None,
     block: int = BLOCK,
+    levels: int | None = None,
 ) -> DataFrame:
     """Turns that count, with ``session_id``.
 
     A reset starts a new session and is dropped, as are blank turns and everything
     from the first exit on.
     """
-    numbered = number_sessions(mark_turns(turns, is_reset, is_exit), block)
+    numbered = number_sessions(mark_turns(turns, is_reset, is_exit), block, levels)
     kept = numbered.where((F.col("_exits") == 0) & (F.col("_said") == 1))
     return kept.select(*turns.columns, "session_id")
 
@@ -71,9 +72,9 @@ def encode_turns(sessions: DataFrame, vocab: DataFrame, eos_roles: Sequence[str]
     return rows.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-def _with_totals(rows: DataFrame, context_length: int, block: int) -> DataFrame:
+def _with_totals(rows: DataFrame, context_length: int, block: int, levels: int | None) -> DataFrame:
     """Add the token counts of the session so far; BOS is the one before the first."""
-    counted = running_sums(rows, GROUP, "turn", {"_end": "n_tokens"}, block)
+    counted = running_sums(rows, GROUP, "turn", {"_end": "n_tokens"}, block, levels)
     total = F.col("_end") + 1
     return counted.select(
         "*",
@@ -84,7 +85,9 @@ def _with_totals(rows: DataFrame, context_length: int, block: int) -> DataFrame:
     )
 
 
-def gather_contexts(rows: DataFrame, context_length: int, block: int = BLOCK) -> DataFrame:
+def gather_contexts(
+    rows: DataFrame, context_length: int, block: int = BLOCK, levels: int | None = None
+) -> DataFrame:
     """Add ``ctx``: the last L IDs of BOS and everything said so far in the session.
 
     Tokens have positions 1, 2, ... in their session. A context ends at the last
@@ -93,7 +96,7 @@ def gather_contexts(rows: DataFrame, context_length: int, block: int = BLOCK) ->
     touch; a context reads one gathered row of at most 2 L tokens.
     """
     length = context_length
-    counted = _with_totals(rows, length, block)
+    counted = _with_totals(rows, length, block, levels)
 
     tail = last_ids(F.col("ids"), length)
     pieces = counted.where(F.size("ids") > 0).select(
@@ -137,8 +140,9 @@ def conversation_stats(
     block: int = BLOCK,
 ) -> DataFrame:
     """Tokens so far (BOS included), window, effective context and whether it is cut, per turn."""
-    rows = encode_turns(conversation_sessions(turns, is_reset, is_exit, block), vocab, eos_roles)
-    return _with_totals(rows, context_length, block).select(
+    levels = levels_for(turns, "turn", block)
+    rows = encode_turns(conversation_sessions(turns, is_reset, is_exit, block, levels), vocab, eos_roles)
+    return _with_totals(rows, context_length, block, levels).select(
         "conv_id", "session_id", "turn", "role", "total_tokens", "context_window", "effective_context", "truncated"
     )
 
@@ -153,8 +157,9 @@ def rolling_context(
     block: int = BLOCK,
 ) -> DataFrame:
     """The statistics of ``conversation_stats`` and the context itself, per turn."""
-    rows = encode_turns(conversation_sessions(turns, is_reset, is_exit, block), vocab, eos_roles)
-    return gather_contexts(rows, context_length, block).select(
+    levels = levels_for(turns, "turn", block)
+    rows = encode_turns(conversation_sessions(turns, is_reset, is_exit, block, levels), vocab, eos_roles)
+    return gather_contexts(rows, context_length, block, levels).select(
         "conv_id", "session_id", "turn", "role", "ctx",
         "total_tokens", "context_window", "effective_context", "truncated",
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import SPECIAL_TOKENS, UNK, truncate_ids, wrap_bos_eos
 from lexiframe.functions.text import tokenize
+from lexiframe.session import partition_by
 
 
 def encode(
@@ -34,7 +35,7 @@ def encode(
     ``keys`` identify a row. A text without words gives an empty array.
     """
     words = tokenizer(F.col(text)) if tokenizer else tokenize(F.col(text), lowercase)
-    tokens = df.repartition(*keys).select(*keys, *keep, F.posexplode_outer(words).alias("_pos", "token"))
+    tokens = partition_by(df, *keys).select(*keys, *keep, F.posexplode_outer(words).alias("_pos", "token"))
     found = tokens.join(vocab.select("token", "id"), "token", "left")
     element = F.struct(F.col("_pos"), F.coalesce("id", F.lit(UNK)).alias("id"))
     placed = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), element)))
@@ -62,7 +63,7 @@ def decode(
     An ID outside the vocabulary reads as UNK, so it vanishes with ``skip_special``.
     """
     unknown = SPECIAL_TOKENS[UNK]
-    elements = df.repartition(*keys).select(*keys, *keep, F.posexplode_outer(ids).alias("_pos", "id"))
+    elements = partition_by(df, *keys).select(*keys, *keep, F.posexplode_outer(ids).alias("_pos", "id"))
     found = elements.join(vocab.select("id", "token"), "id", "left")
     token = F.coalesce("token", F.lit(unknown))
     wanted = F.col("_pos").isNotNull()

@@ -26,8 +26,8 @@ KMEANS_INITS = 10
 
 POOLS = ("mean", "max", "position")
 
-# An embedding table up to this size goes to every worker as a matrix.
-MATRIX_BYTES = 256 << 20
+# An embedding table up to this size (as floats) goes to every worker as a matrix.
+MATRIX_BYTES = 128 << 20
 # Contexts pooled at a time inside a task; bounds the gathered block.
 POOL_ROWS = 1024
 
@@ -58,21 +58,34 @@ def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> np.
 
 
 def _pool_in_tasks(rows: DataFrame, matrix: np.ndarray, kinds: Sequence[str], ctx: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(matrix)
+    # PAD adds nothing to a sum and is below everything in a maximum.
+    for_sum = matrix.astype(np.float64)
+    for_sum[PAD] = 0.0
+    for_max = matrix.astype(np.float64)
+    for_max[PAD] = EMPTY_MAX
+    context = rows.sparkSession.sparkContext
+    shared = {k: context.broadcast(for_max if k == "max" else for_sum) for k in kinds}
     dim = matrix.shape[1]
 
-    def pool(block: np.ndarray) -> dict[str, np.ndarray]:
-        vecs = shared.value[block].astype(np.float64)
-        real = (block != PAD)[..., None]
-        out = {}
-        if "mean" in kinds:
-            out["mean"] = np.where(real, vecs, 0.0).sum(axis=1) / np.maximum(real.sum(axis=1), 1)
-        if "max" in kinds:
-            out["max"] = np.where(real, vecs, EMPTY_MAX).max(axis=1)
-        if "position" in kinds:
-            length = block.shape[1]
-            weights = real * np.exp(np.arange(length) / length)[None, :, None]
-            out["position"] = (vecs * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1.0)
+    def pool(block: np.ndarray, kind: str) -> np.ndarray:
+        """One position at a time, so that the block of vectors stays in the cache."""
+        vecs = shared[kind].value
+        n, length = block.shape
+        weights = np.exp(np.arange(length) / length) if kind == "position" else np.ones(length)
+        out = np.full((n, dim), EMPTY_MAX) if kind == "max" else np.zeros((n, dim))
+        step = np.empty((n, dim))
+        for j in range(length):
+            np.take(vecs, block[:, j], axis=0, out=step)
+            if kind == "max":
+                np.maximum(out, step, out=out)
+            elif kind == "position":
+                step *= weights[j]
+                out += step
+            else:
+                out += step
+        if kind != "max":
+            total = (block != PAD) @ weights
+            out /= np.where(total > 0, total, 1.0)[:, None]
         return out
 
     fields = ", ".join(f"{k}: array<double>" for k in kinds)
@@ -81,11 +94,11 @@ def _pool_in_tasks(rows: DataFrame, matrix: np.ndarray, kinds: Sequence[str], ct
     def pooled(contexts: pa.Array) -> pa.Array:
         n = len(contexts)
         ids = contexts.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1), dtype=np.int32)
-        parts = [pool(ids[i : i + POOL_ROWS]) for i in range(0, n, POOL_ROWS)]
+        blocks = [ids[i : i + POOL_ROWS] for i in range(0, n, POOL_ROWS)]
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
         arrays = []
         for kind in kinds:
-            flat = np.concatenate([p[kind].ravel() for p in parts]) if parts else np.zeros(0)
+            flat = np.concatenate([pool(b, kind).ravel() for b in blocks]) if blocks else np.zeros(0)
             arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
         return pa.StructArray.from_arrays(arrays, list(kinds))
 

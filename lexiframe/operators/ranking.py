@@ -17,7 +17,8 @@ from lexiframe.session import materialize
 SMALL_LIMIT = 10_000
 # A histogram bucket with at most this many rows is sorted as it is.
 SMALL_BUCKET = 100_000
-PREFIX_DIGITS = 4
+PREFIX_DIGITS = 3
+KEY_DIGITS = 32
 
 
 def number_in_order(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
@@ -34,6 +35,8 @@ def number_in_order(df: DataFrame, order: list, name: str = "rank") -> DataFrame
     # One row per sort partition, so the unpartitioned window stays small.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # Written, its size is known, and the ranked rows are not shuffled for the join.
+    starts = materialize(starts, "starts")
     return (
         placed.join(starts, "_part")
         .withColumn(name, F.col("_seq") - F.col("_first") + F.col("_start") + 1)
@@ -49,35 +52,52 @@ def take_first(df: DataFrame, order: list, n: int) -> DataFrame:
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
-def key_histogram(keys: DataFrame, key: str, prefix: str = "") -> list[tuple[str, int]]:
-    """Counts of hex keys by their next digits; at most 16**PREFIX_DIGITS rows."""
+def _from_histogram(keys: DataFrame, key: str, n: int, prefix: str = "") -> str:
+    """The ``n``-th smallest key, from counts per next digits (at most 16**PREFIX_DIGITS rows)."""
     width = len(prefix) + PREFIX_DIGITS
-    within = keys.where(F.col(key).startswith(prefix)) if prefix else keys
-    counts = within.groupBy(F.substring(key, 1, width).alias("head")).count()
-    return sorted((r["head"], r["count"]) for r in counts.collect())
+    counts = keys.groupBy(F.substring(key, 1, width).alias("head")).count()
+    rest = n
+    for head, count in sorted((r["head"], r["count"]) for r in counts.collect()):
+        if rest <= count:
+            break
+        rest -= count
+    bucket = keys.where(F.col(key).startswith(head)).select(key)
+    if count <= SMALL_BUCKET or len(head) >= KEY_DIGITS:
+        return bucket.orderBy(key).limit(rest).agg(F.max(key)).first()[0]
+    return _from_histogram(bucket, key, rest, head)
+
 
+def _hex(fraction: float) -> str:
+    """A key at this fraction of the key range."""
+    return f"{min(max(int(fraction * 2**52), 0), 2**52 - 1):013x}".ljust(KEY_DIGITS, "0")
 
-def key_cutoff(keys: DataFrame, key: str, n: int, histogram: list[tuple[str, int]] | None = None) -> str | None:
-    """The ``n``-th smallest hex key; None when there are no more than ``n``.
 
-    Works down from counts per prefix, so only one small bucket is ever sorted.
-    Keys are taken to be unique, as row keys are.
+def key_cutoff(keys: DataFrame, key: str, n: int, total: int | None = None) -> str | None:
+    """The ``n``-th smallest of unique hash keys; None when there are no more than ``n``.
+
+    Hash keys are spread evenly, so the cut-off lies close to the fraction n / total of
+    the range. One pass counts the keys below a narrow band around it and keeps those
+    inside, some 12 sqrt(n) of them; the exact place is found among these. Should the
+    band miss, counts per prefix find it.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    counts = histogram if histogram is not None else key_histogram(keys, key)
-    if sum(c for _, c in counts) <= n:
+    total = keys.count() if total is None else total
+    if total <= n:
         return None
-    rest = n
-    while True:
-        for head, count in counts:
-            if rest <= count:
-                break
-            rest -= count
-        if count <= SMALL_BUCKET or len(head) >= 32:
-            bucket = keys.where(F.col(key).startswith(head)).select(key)
-            return bucket.orderBy(key).limit(rest).agg(F.max(key)).first()[0]
-        counts = key_histogram(keys, key, head)
+    share = n / total
+    reach = 6 * (share * (1 - share) / total) ** 0.5 + 2 / total
+    low, high = _hex(share - reach), _hex(share + reach)
+    place = F.when(F.col(key) < low, F.lit("")).when(F.col(key) > high, F.lit("~")).otherwise(F.col(key))
+    band = materialize(keys.groupBy(place.alias("_at")).count(), "band")
+    below = band.where(F.col("_at") == "").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    inside = band.where((F.col("_at") != "") & (F.col("_at") != "~")).select(F.col("_at").alias(key))
+    held = inside.count()
+    if not below < n <= below + held:
+        return _from_histogram(keys, key, n)
+    if held > SMALL_BUCKET:
+        return _from_histogram(inside, key, n - below)
+    return inside.orderBy(key).limit(n - below).agg(F.max(key)).first()[0]
 
 
 def take_by_key(df: DataFrame, key: Column, n: int) -> DataFrame:

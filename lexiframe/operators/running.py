@@ -2,9 +2,8 @@
 
 A window partitioned by a hot key puts the whole group in one task. Here a group
 is cut into blocks of its order column; running values inside a block are added to
-what the blocks before it hold. Blocks are again grouped into blocks, so that no
-task sees more than ``block`` rows per level, but for the last one, which holds
-one row per ``block**levels`` order values.
+what the blocks before it hold. Blocks are again grouped into blocks until the range
+of the order column is used up, so that no window holds more than ``block`` rows.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK = 1 << 16
 
 
 def _carried(df: DataFrame, group: list[str], order: str, values: list[str], block: int, levels: int) -> DataFrame:
@@ -35,18 +34,31 @@ def _carried(df: DataFrame, group: list[str], order: str, values: list[str], blo
     return joined.drop("_up")
 
 
+def levels_for(df: DataFrame, order: str, block: int = BLOCK) -> int:
+    """How often blocks must be grouped so that no window holds more than ``block`` rows."""
+    span = df.agg((F.max(order) - F.min(order) + 1).alias("span")).first()["span"] or 1
+    levels = 0
+    while span > block:
+        span = -(-span // block) + 1
+        levels += 1
+    return levels
+
+
 def running_sums(
     df: DataFrame,
     group: list[str],
     order: str,
     sums: dict[str, str],
     block: int = BLOCK,
-    levels: int = 2,
+    levels: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums: ``sums`` maps the new column to the summed one.
 
-    ``order`` is a whole number, unique in the group, such as a turn number.
+    ``order`` is a whole number, unique in the group, such as a turn number. Without
+    ``levels`` its range is looked up first.
     """
+    if levels is None:
+        levels = levels_for(df, order, block)
     values = sorted(set(sums.values()))
     out = _carried(df, group, order, values, block, levels)
     for name, value in sums.items():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import hash_key
 from lexiframe.operators.dataset import ROW_KEYS, SEED
-from lexiframe.operators.ranking import SMALL_BUCKET, key_cutoff, key_histogram, number_in_order
+from lexiframe.operators.ranking import SMALL_BUCKET, key_cutoff, number_in_order
 from lexiframe.session import materialize
 
 # Fixed value: default share of validation rows.
@@ -31,15 +31,13 @@ def _label(is_train) -> F.col:
 
 def _split_at(rows: DataFrame, n_valid_of, seed: int, keys: Sequence[str]) -> DataFrame:
     key = hash_key(seed, *keys)
-    hashed = rows.select(key.alias("_key"))
-    histogram = key_histogram(hashed, "_key")
-    n = sum(c for _, c in histogram)
+    n = rows.count()
     n_valid = n_valid_of(n)
-    if n_valid <= 0 or n == 0:
+    if n_valid <= 0:
         return rows.withColumn("split", F.lit(TRAIN))
     if n_valid >= n:
         return rows.withColumn("split", F.lit(VALID))
-    cutoff = key_cutoff(hashed, "_key", n - n_valid, histogram)
+    cutoff = key_cutoff(rows.select(key.alias("_key")), "_key", n - n_valid, n)
     return rows.withColumn("split", _label(key <= F.lit(cutoff)))
 
 

@@ -61,7 +61,7 @@ long AS (SELECT * FROM paras WHERE length(text) > 10)
 """
 
 ORACLES["read_paragraphs"] = f"""{PARAGRAPHS}
-SELECT md5(text) AS text_md5, length(text) AS n_chars, count(*) AS n_copies FROM long GROUP BY ALL"""
+SELECT md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars, count(*) AS n_copies FROM long GROUP BY ALL"""
 
 ORACLES["paragraphs_or_lines"] = rf"""{PARAGRAPHS},
 enough AS (SELECT lang, source FROM long GROUP BY ALL HAVING count(*) >= 10),

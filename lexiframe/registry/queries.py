@@ -377,7 +377,7 @@ def context_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shuffle_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dataset.shuffle_rows(windows(spark, sf).select("doc_id", "pos", "y"), SEED, place="place")
+    rows = dataset.shuffle_rows(windows(spark, sf, stored=True).select("doc_id", "pos", "y"), SEED, place="place")
     return rows.groupBy("doc_id").agg(
         F.sum("place").alias("place_sum"),
         F.min("place").alias("place_min"),
@@ -394,7 +394,7 @@ def limit_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def limit_samples_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dataset.limit_samples(windows(spark, sf), MAX_SAMPLES, shuffle=False)
+    rows = dataset.limit_samples(windows(spark, sf, stored=True), MAX_SAMPLES, shuffle=False)
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), row_checksum())
 
 
@@ -406,7 +406,7 @@ def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ordered_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splitting.ordered_split(windows(spark, sf).select("doc_id", "pos", "y"), 0.1)
+    rows = splitting.ordered_split(windows(spark, sf, stored=True).select("doc_id", "pos", "y"), 0.1)
     return rows.groupBy("doc_id", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("y_sum"))
 
 

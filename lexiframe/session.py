@@ -53,3 +53,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partition_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many partitions as the session shuffles into.
+
+    The number is given, as later steps multiply the rows: sizing partitions by the
+    bytes of the short input would leave a handful of tasks with all the work.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexiframe.functions.ids import BOS
 from lexiframe.operators.conversations import GROUP, encode_turns, gather_contexts, mark_turns, number_sessions
-from lexiframe.operators.running import BLOCK
+from lexiframe.operators.running import BLOCK, levels_for
 from lexiframe.session import materialize
 
 STATE_SCHEMA = (
@@ -57,14 +57,16 @@ def advance(
         "tail",
         (F.col("total_tokens") - 1).alias("_n_past"),
     )
-    numbered = materialize(number_sessions(marked.unionByName(past, allowMissingColumns=True), block), "turns")
+    rows = marked.unionByName(past, allowMissingColumns=True)
+    levels = levels_for(rows, "turn", block)
+    numbered = materialize(number_sessions(rows, block, levels), "turns")
 
     said = numbered.where((F.col("_exits") == 0) & (F.col("_said") == 1))
     encoded = encode_turns(said, vocab, eos_roles).withColumn("_past", F.lit(False))
     before = numbered.where("_past").select(
         "conv_id", "turn", "role", "session_id", F.col("tail").alias("ids"), F.col("_n_past").alias("n_tokens"), "_past"
     )
-    contexts = materialize(gather_contexts(encoded.unionByName(before), context_length, block), "contexts")
+    contexts = materialize(gather_contexts(encoded.unionByName(before), context_length, block, levels), "contexts")
 
     ends = numbered.groupBy("conv_id").agg(
         F.max("session_id").alias("session_id"),
