@@ -36,6 +36,8 @@ def _carried(df: DataFrame, group: list[str], order: str, values: list[str], blo
 
 def levels_for(df: DataFrame, order: str, block: int = BLOCK) -> int:
     """How often blocks must be grouped so that no window holds more than ``block`` rows."""
+    if block < 3:
+        raise ValueError("block must be at least 3")
     span = df.agg((F.max(order) - F.min(order) + 1).alias("span")).first()["span"] or 1
     levels = 0
     while span > block:
