@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import hash_key
@@ -91,9 +92,8 @@ def target_counts(rows: DataFrame) -> DataFrame:
 
 def top_targets(rows: DataFrame, vocab: DataFrame, n: int = TOP_TARGETS) -> DataFrame:
     """The ``n`` most frequent targets with token, count and share."""
-    counts = target_counts(rows)
-    total = counts.agg(F.sum("count").alias("t")).scalar()
-    shares = counts.withColumn("frequency", F.col("count") / total)
+    # One row per vocabulary entry, so the unpartitioned window is bounded by it.
+    shares = target_counts(rows).withColumn("frequency", F.col("count") / F.sum("count").over(W.partitionBy()))
     top = take_first(shares, [F.desc("count"), F.asc("y")], n)
     named = top.join(vocab.select(F.col("id").alias("y"), "token"), "y", "left")
     token = F.coalesce("token", F.concat(F.lit("ID_"), F.col("y").cast("string")))

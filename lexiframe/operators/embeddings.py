@@ -17,7 +17,7 @@ UNK_INITS = ("random", "zero", "mean")
 TOP_K_SIMILAR = 20
 
 # A cosine block is a matrix of this many rows on either side.
-SIMILARITY_BLOCK = 2048
+SIMILARITY_BLOCK = 4096
 
 
 def dimension(vectors: DataFrame, vec: str = "vec") -> int:

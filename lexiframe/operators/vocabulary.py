@@ -128,19 +128,16 @@ def oov_sample_docs(docs: DataFrame, sample_size: int | None = None, seed: int |
 
 def frequency_histogram(counts: DataFrame, n: int | None = HISTOGRAM_ROWS) -> DataFrame:
     """(frequency, n_types, coverage in percent), highest frequencies first."""
-    total = counts.agg(F.sum("count").alias("t")).select("t").scalar()
     hist = counts.groupBy(F.col("count").alias("frequency")).agg(F.count(F.lit(1)).alias("n_types"))
-    hist = hist.withColumn("coverage", F.col("frequency") * F.col("n_types") / total * 100)
+    tokens = F.col("frequency") * F.col("n_types")
+    # One row per different frequency, see coverage_cutoff.
+    hist = hist.withColumn("coverage", tokens / F.sum(tokens).over(W.partitionBy()) * 100)
     hist = hist.orderBy(F.desc("frequency"))
     return hist if n is None else hist.limit(n)
 
 
-def coverage_cutoff(counts: DataFrame, coverage_percent: float = 95.0) -> DataFrame:
-    """How many words, most frequent first, it takes to cover a share of all tokens.
-
-    Works on the number of words per frequency. A corpus of N tokens has at most
-    sqrt(2 N) different frequencies, so the window over them stays small.
-    """
+def _cutoff(counts: DataFrame, coverage_percent: float) -> DataFrame:
+    """The frequency at which the target is reached, and how far it reaches."""
     hist = counts.groupBy(F.col("count").alias("f")).agg(F.count(F.lit(1)).alias("types"))
     upto = W.orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, 0)
     everything = W.partitionBy()
@@ -171,9 +168,20 @@ def coverage_cutoff(counts: DataFrame, coverage_percent: float = 95.0) -> DataFr
         ((above + needed * F.col("f")) / F.col("total_tokens") * 100).alias("coverage"),
         "total_types",
         "total_tokens",
+        F.col("cum_types").alias("final_size"),
+        (F.col("cum") / F.col("total_tokens") * 100).alias("final_coverage"),
     )
 
 
+def coverage_cutoff(counts: DataFrame, coverage_percent: float = 95.0) -> DataFrame:
+    """How many words, most frequent first, it takes to cover a share of all tokens.
+
+    Works on the number of words per frequency. A corpus of N tokens has at most
+    sqrt(2 N) different frequencies, so the window over them stays small.
+    """
+    return _cutoff(counts, coverage_percent).drop("final_size", "final_coverage")
+
+
 def coverage_vocab(counts: DataFrame, coverage_percent: float = 95.0) -> DataFrame:
     """The vocabulary of all words at or above the cut-off frequency, ties included."""
     min_freq = coverage_cutoff(counts, coverage_percent).first()["min_freq"]
@@ -182,13 +190,7 @@ def coverage_vocab(counts: DataFrame, coverage_percent: float = 95.0) -> DataFra
 
 def coverage_stats(counts: DataFrame, coverage_percent: float = 95.0) -> DataFrame:
     """One row: the cut-off and what the vocabulary rebuilt from it really covers."""
-    cutoff = coverage_cutoff(counts, coverage_percent)
-    min_freq = cutoff.select("min_freq").scalar()
-    rebuilt = counts.agg(
-        F.count(F.when(F.col("count") >= min_freq, F.lit(1))).alias("final_size"),
-        (F.sum(F.when(F.col("count") >= min_freq, F.col("count"))) / F.sum("count") * 100).alias("final_coverage"),
-    )
-    return one_row(cutoff, rebuilt)
+    return _cutoff(counts, coverage_percent)
 
 
 def build_stats(

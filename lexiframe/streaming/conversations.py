@@ -36,7 +36,7 @@ OUT = [
 
 def advance(
     turns: DataFrame,
-    state: DataFrame,
+    states: DataFrame,
     vocab: DataFrame,
     context_length: int,
     is_reset: Column | None = None,
@@ -44,8 +44,11 @@ def advance(
     eos_roles: Sequence[str] = (),
     block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """(contexts of the turns, state of their conversations afterwards)."""
-    known = state.join(turns.select("conv_id").distinct(), "conv_id", "left_semi")
+    """(contexts of the turns, state of their conversations afterwards).
+
+    ``states`` holds state rows with the ``batch`` that wrote them; the latest counts.
+    """
+    known = _latest(states.join(turns.select("conv_id").distinct(), "conv_id", "left_semi"))
     marked = mark_turns(turns, is_reset, is_exit).withColumn("_past", F.lit(False))
     past = known.select(
         "conv_id",
@@ -110,16 +113,17 @@ def stream_rolling_context(
     spark = turns.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        schema = f"{STATE_SCHEMA}, batch bigint"
         if batch_id == 0:
-            state = spark.createDataFrame([], STATE_SCHEMA)
+            states = spark.createDataFrame([], schema)
         else:
             snapshot = (batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-            stored = spark.read.schema(f"{STATE_SCHEMA}, batch bigint").parquet(f"{path}/state")
-            state = _latest(stored.where((F.col("batch") >= snapshot) & (F.col("batch") < batch_id)))
-        contexts, after = advance(batch, state, vocab, context_length, is_reset, is_exit, eos_roles, block)
+            stored = spark.read.schema(schema).parquet(f"{path}/state")
+            states = stored.where((F.col("batch") >= snapshot) & (F.col("batch") < batch_id))
+        contexts, after = advance(batch, states, vocab, context_length, is_reset, is_exit, eos_roles, block)
         if batch_id % SNAPSHOT_EVERY == 0:
             after = materialize(after, "state")
-            after = after.unionByName(state.join(after, "conv_id", "left_anti"))
+            after = after.unionByName(_latest(states.join(after, "conv_id", "left_anti")))
         contexts.write.mode("overwrite").parquet(f"{path}/contexts/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
 
