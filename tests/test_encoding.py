@@ -62,3 +62,18 @@ def test_only_the_text_is_shuffled(spark, vocab):
     plan = encode(df, vocab.limit(10))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan
+
+
+def test_large_vocabulary_is_joined_by_shuffle(spark, vocab):
+    """The way taken when a vocabulary is too large to broadcast gives the same IDs and text."""
+    df = frame(spark, *["the cat sat on the mat " * 20] * 5, "", "dog unknown")
+    small, text = ids(encode(df, vocab)), decode(encode(df, vocab), vocab).collect()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = encode(df, vocab)
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+        assert ids(large) == small
+        assert sorted(decode(large, vocab).collect()) == sorted(text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
