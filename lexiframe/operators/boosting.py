@@ -10,7 +10,7 @@ Cost is rounds x classes fits, so ``frequent_classes`` can read rare targets as
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressor
@@ -75,6 +75,9 @@ def frequent_classes(rows: DataFrame, max_classes: int | None, vocab_size: int,
 
 
 def class_index(y: Column, class_ids: list[int]) -> Column:
+    """The class of a target; targets that are no class of their own read as UNK."""
+    if class_ids == list(range(len(class_ids))):
+        return y.cast("int")
     ids = F.array(*[F.lit(i) for i in class_ids])
     place = F.array_position(ids, y)
     other = class_ids.index(UNK) + 1
@@ -260,4 +263,4 @@ def load_model(spark: SparkSession, path: str) -> BoostedModel:
 
 
 def options_as_settings(options: BoostOptions) -> dict:
-    return asdict(replace(options))
+    return asdict(options)

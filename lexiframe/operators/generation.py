@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import BOS, EOS, left_pad_context
+from lexiframe.operators.boosting import BoostedModel, predict_proba
 from lexiframe.operators.encoding import decode, encode
 from lexiframe.operators.sampling import METHODS, TEMPERATURE, TOP_K, TOP_P, sample_tokens, samples_per_prompt
 from lexiframe.session import materialize
@@ -19,10 +20,8 @@ MAX_NEW_TOKENS = 50
 Scorer = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
-def model_scorer(prepare: Callable[[DataFrame], DataFrame], model) -> Scorer:
+def model_scorer(prepare: Callable[[DataFrame], DataFrame], model: BoostedModel) -> Scorer:
     """Scores by a boosted model; ``prepare`` adds ``features`` to rows with ``ctx``."""
-    from lexiframe.operators.boosting import predict_proba
-
     token_of = F.array(*[F.lit(i) for i in model.class_ids])
 
     def score(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

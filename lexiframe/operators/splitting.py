@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ VALID_SIZE = 0.1
 TRAIN, VALID = "train", "val"
 
 
-def _label(is_train) -> F.col:
+def _label(is_train: Column) -> Column:
     return F.when(is_train, F.lit(TRAIN)).otherwise(F.lit(VALID))
 
 
