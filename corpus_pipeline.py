@@ -14,8 +14,8 @@ from lexiframe.llm.keys import original, present
 from lexiframe.session import let_workers_import, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A text whose main language has a smaller share of its letters is rejected.
-MIN_LANGUAGE_SHARE = 0.5
+# A text whose main language has a smaller share of its distinct words' letters is rejected.
+MIN_LANGUAGE_SHARE = 0.35
 
 
 def _by_row(docs: DataFrame) -> DataFrame:

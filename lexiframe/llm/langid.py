@@ -178,8 +178,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = S
     """``docs(text, ...)`` with ``lang_pred``, ``score`` and ``spans``; other columns stay, but for such of these names.
 
     ``spans`` has (language, first word, number of words) of each run in one language, over
-    the letter runs of the text. ``lang_pred`` is the language with most letters (ties: the
-    first in order), ``score`` its share of all letters. A null text, one without letters, or an empty model
+    the letter runs of the text. ``lang_pred`` is the language with most letters in
+    its distinct words (ties: the first in order), ``score`` its share of these letters. A null text, one without letters, or an empty model
     gives ``und``, 0 and no spans. Repeated rows get a result each. A narrow step; a task
     holds one Arrow batch of texts.
     """
@@ -209,7 +209,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = S
                 if not len(at):
                     preds.append(UNKNOWN), shares.append(0.0), spans.append([])
                     continue
-                weight = np.bincount(label, weights=letters[at], minlength=len(languages))
+                # A word said over and over counts once.
+                once = np.unique(at.astype(np.int64) * len(languages) + label)
+                weight = np.bincount(once % len(languages), weights=letters[once // len(languages)], minlength=len(languages))
                 preds.append(languages[int(weight.argmax())])
                 shares.append(float(weight.max() / weight.sum()))
                 first = np.concatenate([[0], np.flatnonzero(label[1:] != label[:-1]) + 1])
