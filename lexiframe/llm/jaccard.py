@@ -28,6 +28,8 @@ FREQUENT = 1 << 15
 # Further orders, as seeds of a scrambling of the token hashes.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344)
 CELLS = 128
+# A fine sketch has about a cell for every two tokens.
+FINE_CELLS = (128, 8192)
 # A token's documents are compared in blocks of about so many.
 BLOCK = 2048
 # The filter on ids that need verification has 2**BITS bits.
@@ -50,6 +52,19 @@ def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
 
+def _cells(own: np.ndarray, n_cells: int) -> bytes:
+    """Tokens per cell, up to 255, of a set of hashes; the cells of two sets differ by no more than the sets do."""
+    cells = np.bincount((own & np.uint64(n_cells - 1)).astype(np.int64), minlength=n_cells)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def _cells_apart(a: bytes, b: bytes) -> int:
+    """The least symmetric difference by two sketches; the finer one is folded to the other's cells."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    cells = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, cells).sum(axis=0) - y.reshape(-1, cells).sum(axis=0)).sum())
+
+
 def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles in ascending order, and their counts: at most FREQUENT rows.
 
@@ -72,10 +87,9 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(node, n, class_a, class_b, prefix, sketch)`` of every row.
+    """``(node, n, class_a, class_b, prefix, sketch, fine)`` of every row.
 
-    The class is a 128-bit hash of the set. ``sketch`` counts the tokens per cell (up to
-    255); the cells' differences add up to no more than the sets' symmetric difference.
+    The class is a 128-bit hash of the set; ``sketch`` has CELLS cells, ``fine`` as many as the set is large.
     """
     tokens, counts = _frequent(docs, k)
     frequent = docs.sparkSession.sparkContext.broadcast((tokens, counts))
@@ -95,14 +109,14 @@ def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 late = own[often]
                 late = late[np.argsort(counts[at[often]], kind="stable")] if len(late) else late
                 prefix = np.concatenate([own[~often], late])[: prefix_size(n, percent) if n else 0]
-                cells = np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                fine = min(max(1 << max(n - 1, 1).bit_length() - 1, FINE_CELLS[0]), FINE_CELLS[1])
                 a, b = mix(own).sum(dtype=np.uint64), mix(own ^ np.uint64(BASES[1])).sum(dtype=np.uint64)
-                rows.append((n, *np.array([a, b], np.uint64).view(np.int64).tolist(), signed(prefix), np.minimum(cells, 255).astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "class_a", "class_b", "prefix", "sketch"])
+                rows.append((n, *np.array([a, b], np.uint64).view(np.int64).tolist(), signed(prefix), _cells(own, CELLS), _cells(own, fine)))
+            out = pd.DataFrame(rows, columns=["n", "class_a", "class_b", "prefix", "sketch", "fine"])
             out.insert(0, "node", batch["node"].to_numpy())
             yield out
 
-    schema = "node long, n int, class_a long, class_b long, prefix array<long>, sketch binary"
+    schema = "node long, n int, class_a long, class_b long, prefix array<long>, sketch binary, fine binary"
     return docs.mapInPandas(run, schema)
 
 
@@ -117,21 +131,15 @@ def _close(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (i + j <= _most_apart(n, m, percent))
 
 
-def _cells_apart(a: pd.Series, b: pd.Series) -> np.ndarray:
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, CELLS).astype(np.int16)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, CELLS).astype(np.int16)
-    return np.abs(x - y).sum(axis=1, dtype=np.int64)
-
-
 def _sketch_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches do not rule them out."""
+    """The pairs ``(a, b)`` that fine sketches do not rule out."""
 
     @F.pandas_udf("long")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_cells_apart(a, b))
+        return pd.Series([_cells_apart(x, y) for x, y in zip(a, b)], dtype="int64")
 
-    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_s"))
-    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_t"))
+    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("fine").alias("_s"))
+    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("fine").alias("_t"))
     joined = pairs.join(one, "a").join(two, "b")
     return joined.where(apart("_s", "_t") <= _most_apart(F.col("_n"), F.col("_m"), percent)).select("a", "b").distinct()
 
@@ -229,10 +237,14 @@ def _between_components(shared: DataFrame, sizes: DataFrame, labels: DataFrame,
     """
     rows = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialize(rows.select("token", "node", "n", "pos", "component"), "shared")
-    mixed = rows.groupBy("token").agg(
-        F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_count")
-    )
-    mixed = mixed.where(F.col("_a") < F.col("_b")).select("token", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
+    one = F.struct("component", "node", "n", "pos")
+    mixed = rows.groupBy("token").agg(F.min(one).alias("_a"), F.max(one).alias("_b"), F.count(F.lit(1)).alias("_count"))
+    mixed = materialize(mixed.where(F.col("_a.component") < F.col("_b.component")), "mixed")
+    # A token of two documents is a pair as it is.
+    close = _close(F.col("_a.n"), F.col("_b.n"), F.col("_a.pos"), F.col("_b.pos"), percent)
+    two = mixed.where((F.col("_count") == 2) & close)
+    two = two.select(F.least("_a.node", "_b.node").alias("a"), F.greatest("_a.node", "_b.node").alias("b"))
+    mixed = mixed.where(F.col("_count") > 2).select("token", F.ceil(F.col("_count") / BLOCK).cast("int").alias("_blocks"))
     dealt = rows.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     units = (
@@ -265,7 +277,7 @@ def _between_components(shared: DataFrame, sizes: DataFrame, labels: DataFrame,
                 yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     sorted_units = partition_by(units, *keys).sortWithinPartitions(*keys)
-    return sorted_units.mapInPandas(run, "a long, b long").distinct()
+    return sorted_units.mapInPandas(run, "a long, b long").union(two).distinct()
 
 
 def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -283,27 +295,27 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     filled = features.where(F.col("n") > 0)
     reps = materialize(
         filled.groupBy("class_a", "class_b", "n").agg(
-            F.min("node").alias("node"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")
+            F.min("node").alias("node"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"),
+            F.first("fine").alias("fine"),
         ),
         "classes",
     )
-    sizes = reps.select("node", "n", "sketch")
+    sizes = reps.select("node", "n", "sketch", "fine")
     tokens = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    groups = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("_count"), F.min(F.struct("pos", "node", "n")).alias("leader")
-    )
-    groups = groups.where(F.col("_count") > 1).select("token", "leader")
-    shared = materialize(tokens.join(groups, "token"), "prefixes")
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_count")).where(F.col("_count") > 1).select("token")
+    shared = materialize(tokens.join(several, "token"), "prefixes")
+    leaders = shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("leader"))
     # First the links to leaders: the document that has the token earliest in its order.
     close = _close(F.col("n"), F.col("leader.n"), F.col("pos"), F.col("leader.pos"), percent)
-    stars = shared.where((F.col("node") != F.col("leader.node")) & close)
+    stars = shared.join(leaders, "token").where((F.col("node") != F.col("leader.node")) & close)
     stars = stars.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct()
     links = _verify(_sketch_filter(stars, sizes, percent), texts, k, percent)
     # A doc_id in several classes is one document.
     same = features.join(reps.select("class_a", "class_b", "n", F.col("node").alias("rep")), ["class_a", "class_b", "n"])
     labels = connected_components(links)
     # Then what is left: pairs of different components.
-    more = _verify(_between_components(shared, sizes, labels, percent), texts, k, percent)
+    between = _sketch_filter(_between_components(shared, sizes, labels, percent), sizes, percent)
+    more = _verify(between, texts, k, percent)
     members = materialize(same.select("node", "rep").distinct(), "members")
     joint = members.where(F.col("node") != F.col("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
     several = members.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
