@@ -51,13 +51,13 @@ def anchors(hashes: np.ndarray, powers: Powers, min_words: int, k: int) -> tuple
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
-    """``(doc_id, _text, start, n)``: ``n`` windows from ``start`` on also start in an earlier document.
+    """``(doc_id, __text, start, n)``: ``n`` windows from ``start`` on also start in an earlier document.
 
-    ``docs`` has ``doc_id, _text, text``. "Earlier" is by smaller doc_id; a null id, read as NO_ID, is the largest. Groups are reduced to their smallest id before they are
+    ``docs`` has ``doc_id, __text, text``. "Earlier" is by smaller doc_id; a null id, read as NO_ID, is the largest. Groups are reduced to their smallest id before they are
     shuffled, joins are on single occurrences, and no pair of documents is ever built: a passage in a third
     of all documents is one short row.
     """
-    docs = docs.select("doc_id", "_text", "text")
+    docs = docs.select("doc_id", "__text", "text")
     first_of = F.col("doc_id")
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,10 +75,10 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
             if not out:
                 continue
             at, anchor, stretch, first, count = (np.concatenate(c) for c in zip(*out))
-            keys = {c: batch[c].to_numpy()[at] for c in ("doc_id", "_text")}
+            keys = {c: batch[c].to_numpy()[at] for c in ("doc_id", "__text")}
             yield pd.DataFrame({**keys, "anchor": anchor, "stretch": stretch, "start": first, "n": count})
 
-    schema = "doc_id long, _text long, anchor long, stretch long, start int, n int"
+    schema = "doc_id long, __text long, anchor long, stretch long, start int, n int"
     found = materialize(docs.mapInPandas(seeds, schema), "anchors")
     # One row per different stretch, with the first and last document that has it.
     stretches = materialize(
@@ -96,15 +96,15 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
     marked = materialize(
         found.join(of_use.select("anchor", "stretch", "_first", "_fork"), ["anchor", "stretch"])
         .where(F.col("_fork") | (first_of > F.col("_first")))
-        .select("doc_id", "_text", "anchor", "start", "n", (first_of > F.col("_first")).alias("whole")),
+        .select("doc_id", "__text", "anchor", "start", "n", (first_of > F.col("_first")).alias("whole")),
         "marked",
     )
     # A later document with the same stretch repeats all of its windows.
-    whole = marked.where("whole").select("doc_id", "_text", "start", "n")
+    whole = marked.where("whole").select("doc_id", "__text", "start", "n")
     # In the first document of a stretch the match with other stretches is extended window by window.
     places = (
         marked.where(~F.col("whole"))
-        .groupBy("doc_id", "_text")
+        .groupBy("doc_id", "__text")
         .agg(F.collect_list(F.struct("anchor", "start", "n")).alias("places"))
     )
 
@@ -121,11 +121,11 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
             if not out:
                 continue
             at, anchor, window, start = (np.concatenate(c) for c in zip(*out))
-            keys = {c: batch[c].to_numpy()[at] for c in ("doc_id", "_text")}
+            keys = {c: batch[c].to_numpy()[at] for c in ("doc_id", "__text")}
             yield pd.DataFrame({**keys, "anchor": anchor, "window": window, "start": start})
 
-    windows = docs.join(places, ["doc_id", "_text"]).select("doc_id", "_text", "text", "places").mapInPandas(
-        extend, "doc_id long, _text long, anchor long, window long, start int"
+    windows = docs.join(places, ["doc_id", "__text"]).select("doc_id", "__text", "text", "places").mapInPandas(
+        extend, "doc_id long, __text long, anchor long, window long, start int"
     )
     windows = materialize(windows, "windows")
     earliest = windows.groupBy("anchor", "window").agg(F.min(first_of).alias("_first"), F.max(first_of).alias("_last"))
@@ -133,14 +133,14 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
     parts = (
         windows.join(earliest, ["anchor", "window"])
         .where(first_of > F.col("_first"))
-        .select("doc_id", "_text", "start", F.lit(1).alias("n"))
+        .select("doc_id", "__text", "start", F.lit(1).alias("n"))
     )
     return whole.union(parts)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows that share a doc_id are told apart by their text."""
-    return docs.withColumn("doc_id", present("doc_id")).withColumn("_text", F.xxhash64("text"))
+    return docs.withColumn("doc_id", present("doc_id")).withColumn("__text", F.xxhash64("text"))
 
 
 def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
@@ -149,7 +149,7 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
     ``spans`` lists the maximal runs of covered words as (start, end), in order.
     """
     found = repeated_windows(_keyed(docs), min_words, k)
-    runs = found.groupBy("doc_id", "_text").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"))
+    runs = found.groupBy("doc_id", "__text").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("runs"))
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def merge(acc, run):
@@ -178,8 +178,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_
     """
     keyed = _keyed(docs)
     found = repeated_windows(keyed, min_words, k)
-    runs = found.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    joined = keyed.join(runs, ["doc_id", "_text"], "left").withColumn("doc_id", original("doc_id"))
+    runs = found.groupBy("doc_id", "__text").agg(F.collect_list(F.struct("start", "n")).alias("__runs"))
+    joined = keyed.join(runs, ["doc_id", "__text"], "left").withColumn("doc_id", original("doc_id"))
 
     @F.pandas_udf("kept_text string, n_words long, n_removed long, kept_sha256 string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -197,6 +197,6 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_
             rows.append((kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum()), digest))
         return pd.DataFrame(rows, columns=["kept_text", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.withColumn("_cut", cut("text", "_runs")).select(
-        *[F.col(c) for c in docs.columns], "_cut.kept_text", "_cut.n_words", "_cut.n_removed", "_cut.kept_sha256"
+    return joined.withColumn("__cut", cut("text", "__runs")).select(
+        *[F.col(c) for c in docs.columns], "__cut.kept_text", "__cut.n_words", "__cut.n_removed", "__cut.kept_sha256"
     )

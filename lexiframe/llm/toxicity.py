@@ -122,10 +122,10 @@ def mine_voters(sample: DataFrame) -> dict[str, int]:
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 counts[bool(toxic)].update({k for w in set(words_of(text)) for k in word_keys(w)})
-        keys = list(counts[True])
-        yield pd.DataFrame({"key": keys, "toxic": [counts[True][k] for k in keys], "other": [counts[False][k] for k in keys]})
-        keys = [k for k in counts[False] if k not in counts[True]]
-        yield pd.DataFrame({"key": keys, "toxic": 0, "other": [counts[False][k] for k in keys]})
+        keys = [*counts[True], *(k for k in counts[False] if k not in counts[True])]
+        if keys:
+            found = {"toxic": [counts[True][k] for k in keys], "other": [counts[False][k] for k in keys]}
+            yield pd.DataFrame({"key": np.array(keys, object), **found})
 
     # A text that is copied many times is one text.
     counted = sample.dropDuplicates(["text"]).mapInPandas(run, "key string, toxic long, other long")

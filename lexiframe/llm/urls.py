@@ -141,7 +141,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
     """``(page_id, url, host, path, rule, verdict, template, purity)`` of every row of ``pages(page_id, url)``.
 
     A page has a label if a rule decides it, if its host has a bad word, or if ``labels(url, good)`` names its URL.
-    ``verdict`` is the rule's, else ``block`` if the purity of the page's template is below MIN_PURITY, else ``allow``.
+    ``verdict`` is the rule's, else ``block`` if the page's template has labels and a
+    purity below MIN_PURITY, else ``allow``.
     Null URLs and such without ``://`` have an empty host and path and are one template; null ids stay; repeated rows count each and
     give a row each; no rows give no rows.
     """
@@ -156,8 +157,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
         labelled = parsed.join(given, "url", "left")
         good = F.coalesce(F.col("_given"), good)
     tree = template_tree(labelled.select("host", "masked", good.alias("good")))
-    judged = parsed.join(tree.select("host", "masked", "template", "purity"), ["host", "masked"])
-    by_method = F.when(F.col("purity") < MIN_PURITY, F.lit("block")).otherwise(F.lit("allow"))
+    judged = parsed.join(tree.select("host", "masked", "template", "n_labelled", "purity"), ["host", "masked"])
+    impure = (F.col("n_labelled") > 0) & (F.col("purity") < MIN_PURITY)
+    by_method = F.when(impure, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
         "page_id",
         "url",
