@@ -87,15 +87,17 @@ def embedding_size_check(embeddings: DataFrame, vocab: DataFrame) -> None:
 def nearest_similarities(embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, block: int = SIMILARITY_BLOCK) -> DataFrame:
     """(id, sims): cosines of every token to its ``top_k`` nearest other tokens, descending.
 
-    The matrix is cut into blocks of rows. Each pair of blocks is one group of bounded
-    size that returns only the best ``top_k`` per token, merged per token afterwards.
+    The matrix is cut into blocks of IDs. Each pair of blocks is one group of bounded
+    size that returns only the best ``top_k`` per token, merged per token afterwards. The
+    work grows with the square of the vocabulary. IDs may have gaps.
     """
     n = embeddings.count()
     if not 0 < top_k < n:
         raise ValueError(f"top_k must be between 1 and {n - 1}")
-    blocks = -(-n // block)
     own = F.floor(F.col("id") / F.lit(block)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # No more than one number per ``block`` tokens, or per token of a sparse table.
+    blocks = sorted(r["b"] for r in embeddings.select(own.alias("b")).distinct().collect())
+    others = F.explode(F.array(*[F.lit(b) for b in blocks]))
     left = embeddings.select("id", "vec", own.alias("a")).withColumn("b", others)
     right = embeddings.select("id", "vec", own.alias("b")).withColumn("a", others)
 

@@ -43,48 +43,48 @@ def with_context_stats(rows: DataFrame, ctx: str = "ctx") -> DataFrame:
     )
 
 
-def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> np.ndarray | None:
-    """The embedding table as a matrix, or None when it is larger than ``max_bytes``."""
+def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
+    """The embedding table as a matrix with a mask of the IDs it has, or None when it is larger than ``max_bytes``."""
     facts = embeddings.agg(F.max("id").alias("top"), F.max(F.size("vec")).alias("dim")).first()
     if facts["top"] is None:
-        raise ValueError("no embeddings loaded")
+        raise ValueError("the embedding table has no rows")
     shape = (facts["top"] + 1, facts["dim"])
     if shape[0] * shape[1] * 4 > max_bytes:
         return None
     table = embeddings.select("id", "vec").toPandas()
-    matrix = np.zeros(shape, dtype=np.float32)
+    matrix, present = np.zeros(shape, dtype=np.float32), np.zeros(shape[0], dtype=bool)
     matrix[table["id"].to_numpy()] = np.stack(table["vec"].to_numpy())
-    return matrix
+    present[table["id"].to_numpy()] = True
+    present[PAD] = False
+    return matrix, present
 
 
-def _pool_in_tasks(rows: DataFrame, matrix: np.ndarray, kinds: Sequence[str], ctx: str) -> DataFrame:
-    # PAD adds nothing to a sum and is below everything in a maximum.
-    for_sum = matrix.astype(np.float64)
-    for_sum[PAD] = 0.0
-    for_max = matrix.astype(np.float64)
-    for_max[PAD] = EMPTY_MAX
-    context = rows.sparkSession.sparkContext
-    shared = {k: context.broadcast(for_max if k == "max" else for_sum) for k in kinds}
+def _pool_in_tasks(
+    rows: DataFrame, matrix: np.ndarray, present: np.ndarray, kinds: Sequence[str], ctx: str
+) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((matrix, present))
     dim = matrix.shape[1]
 
     def pool(block: np.ndarray, kind: str) -> np.ndarray:
         """One position at a time, so that the block of vectors stays in the cache."""
-        vecs = shared[kind].value
+        vecs, present = shared.value
         n, length = block.shape
-        weights = np.exp(np.arange(length) / length) if kind == "position" else np.ones(length)
-        out = np.full((n, dim), EMPTY_MAX) if kind == "max" else np.zeros((n, dim))
-        step = np.empty((n, dim))
+        known = (block >= 0) & (block < len(present))
+        block = np.where(known, block, PAD)
+        known &= present[block]
+        weights = np.exp(np.arange(length) / max(length, 1)) if kind == "position" else np.ones(length)
+        out = np.full((n, dim), -np.inf) if kind == "max" else np.zeros((n, dim))
         for j in range(length):
-            np.take(vecs, block[:, j], axis=0, out=step)
+            step = vecs[block[:, j]].astype(np.float64)
             if kind == "max":
+                step[~known[:, j]] = -np.inf
                 np.maximum(out, step, out=out)
-            elif kind == "position":
-                step *= weights[j]
-                out += step
             else:
-                out += step
-        if kind != "max":
-            total = (block != PAD) @ weights
+                out += step * (weights[j] * known[:, j])[:, None]
+        if kind == "max":
+            out[~known.any(axis=1)] = EMPTY_MAX
+        else:
+            total = known @ weights
             out /= np.where(total > 0, total, 1.0)[:, None]
         return out
 
@@ -93,13 +93,19 @@ def _pool_in_tasks(rows: DataFrame, matrix: np.ndarray, kinds: Sequence[str], ct
     @F.arrow_udf(f"struct<{fields}>")
     def pooled(contexts: pa.Array) -> pa.Array:
         n = len(contexts)
-        ids = contexts.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1), dtype=np.int32)
-        blocks = [ids[i : i + POOL_ROWS] for i in range(0, n, POOL_ROWS)]
+        lengths = contexts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ids = contexts.flatten().fill_null(PAD).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if n else np.zeros(0, dtype=np.int64)
+        results = {kind: np.zeros((n, dim)) for kind in kinds}
+        for length in np.unique(lengths):
+            same = np.flatnonzero(lengths == length)
+            for i in range(0, len(same), POOL_ROWS):
+                at = same[i : i + POOL_ROWS]
+                block = ids[starts[at][:, None] + np.arange(length)[None, :]] if length else np.zeros((len(at), 0), np.int32)
+                for kind in kinds:
+                    results[kind][at] = pool(block, kind)
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        arrays = []
-        for kind in kinds:
-            flat = np.concatenate([pool(b, kind).ravel() for b in blocks]) if blocks else np.zeros(0)
-            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
+        arrays = [pa.ListArray.from_arrays(offsets, pa.array(results[kind].ravel())) for kind in kinds]
         return pa.StructArray.from_arrays(arrays, list(kinds))
 
     return rows.withColumn("_pooled", pooled(F.col(ctx))).select(
@@ -116,19 +122,17 @@ def pool_by_join(
 ) -> DataFrame:
     """The same pools by joining every context position with its vector.
 
-    For embedding tables too large to hand to every worker: the join is by shuffle then,
-    and a row gathers no more than L vectors.
+    For embedding tables too large to hand to every worker: the join is by shuffle then. Only
+    keys, places and IDs travel, PAD positions not at all; a row gathers no more than L vectors.
     """
     dim = embeddings.select(F.size("vec").alias("d")).first()["d"]
-    others = [c for c in rows.columns if c not in keys]
-    elements = rows.select(*keys, *others, F.size(ctx).alias("_l"), F.posexplode(ctx).alias("_j", "_id"))
+    elements = rows.select(*keys, F.size(ctx).alias("_l"), F.posexplode(ctx).alias("_j", "_id")).where(F.col("_id") != PAD)
     vectors = embeddings.where(F.col("id") != PAD).select(F.col("id").alias("_id"), F.col("vec").alias("_vec"))
-    joined = elements.join(vectors, "_id", "left")
     weight = F.exp(F.col("_j") / F.col("_l")).alias("w")
-    found = F.when(F.col("_vec").isNotNull(), F.struct("_j", weight, F.col("_vec").cast("array<double>").alias("v")))
-    gathered = joined.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in others], F.sort_array(F.collect_list(found)).alias("_found")
-    )
+    found = F.struct("_j", weight, F.col("_vec").cast("array<double>").alias("v"))
+    gathered = elements.join(vectors, "_id").groupBy(*keys).agg(F.sort_array(F.collect_list(found)).alias("_found"))
+    none = F.array().cast("array<struct<_j:int,w:double,v:array<double>>>")
+    gathered = rows.join(gathered, list(keys), "left").withColumn("_found", F.coalesce("_found", none))
 
     def fold(start: float, merge):
         return F.aggregate("_found", F.array_repeat(F.lit(start), dim), merge)
@@ -162,15 +166,17 @@ def pool_embeddings(
 ) -> DataFrame:
     """Add ``<kind>_pooled``: mean, max or position-weighted mean of the vectors of a context.
 
-    PAD does not count. A context of PAD alone gives zeros, for ``max`` -1e10.
+    PAD does not count, nor does an ID without a vector. A context without any vector gives
+    zeros, for ``max`` -1e10. Contexts may differ in width. The size of the table decides
+    how the vectors are reached, not what comes out.
     """
     unknown = set(kinds) - set(POOLS)
     if unknown:
         raise ValueError(f"unknown pooling: {sorted(unknown)}")
-    matrix = matrix_if_small(embeddings, max_bytes)
-    if matrix is None:
+    small = matrix_if_small(embeddings, max_bytes)
+    if small is None:
         return pool_by_join(rows, embeddings, kinds, ctx, keys)
-    return _pool_in_tasks(rows, matrix, kinds, ctx)
+    return _pool_in_tasks(rows, *small, kinds, ctx)
 
 
 def fit_prototypes(
@@ -279,7 +285,8 @@ def assemble_features(
     the training rows to score other rows.
     """
     options.check(embeddings is not None)
-    length = rows.select(F.size(ctx).alias("n")).first()["n"]
+    first = rows.select(F.size(ctx).alias("n")).first()
+    length = first["n"] if first else 0
     out, names, inputs = rows, [], []
     categorical = feature_names(length) if options.token_ids else []
 

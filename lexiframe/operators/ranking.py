@@ -73,7 +73,7 @@ def _hex(fraction: float) -> str:
 
 
 def key_cutoff(keys: DataFrame, key: str, n: int, total: int | None = None) -> str | None:
-    """The ``n``-th smallest of unique hash keys; None when there are no more than ``n``.
+    """The ``n``-th smallest of hash keys; None when there are no more than ``n``.
 
     Hash keys are spread evenly, so the cut-off lies close to the fraction n / total of
     the range. One pass counts the keys below a narrow band around it and keeps those
@@ -91,9 +91,11 @@ def key_cutoff(keys: DataFrame, key: str, n: int, total: int | None = None) -> s
     place = F.when(F.col(key) < low, F.lit("")).when(F.col(key) > high, F.lit("~")).otherwise(F.col(key))
     band = materialize(keys.groupBy(place.alias("_at")).count(), "band")
     below = band.where(F.col("_at") == "").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    inside = band.where((F.col("_at") != "") & (F.col("_at") != "~")).select(F.col("_at").alias(key))
-    held = inside.count()
-    if not below < n <= below + held:
+    inside = band.where((F.col("_at") != "") & (F.col("_at") != "~")).select(F.col("_at").alias(key), "count")
+    facts = inside.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+    held, inside = facts["rows"], inside.select(key)
+    # Equal keys, or a band that missed: counts per prefix tell.
+    if facts["keys"] < held or not below < n <= below + held:
         return _from_histogram(keys, key, n)
     if held > SMALL_BUCKET:
         return _from_histogram(inside, key, n - below)
@@ -101,8 +103,19 @@ def key_cutoff(keys: DataFrame, key: str, n: int, total: int | None = None) -> s
 
 
 def take_by_key(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest hash keys: a reproducible sample of exact size."""
+    """The ``n`` rows with the smallest hash keys: a sample of exact size, in no promised order.
+
+    Of rows with equal keys at the cut-off any are taken, so many that the size is exact.
+    """
     if n <= SMALL_LIMIT:
         return df.withColumn("_key", key).orderBy("_key").limit(n).drop("_key")
     cutoff = key_cutoff(df.select(key.alias("_key")), "_key", n)
-    return df if cutoff is None else df.where(key <= F.lit(cutoff))
+    if cutoff is None:
+        return df
+    at = df.select(key.alias("_key")).agg(
+        F.count(F.when(F.col("_key") < cutoff, 1)).alias("below"), F.count(F.when(F.col("_key") == cutoff, 1)).alias("tied")
+    )
+    below, tied = at.first()
+    if below + tied <= n:
+        return df.where(key <= F.lit(cutoff))
+    return df.where(key < F.lit(cutoff)).union(df.where(key == F.lit(cutoff)).limit(n - below))

@@ -198,11 +198,19 @@ def build_stats(
     min_freq: int = MIN_FREQ,
     top_k: int | None = TOP_K,
     check_docs: int = OOV_CHECK_DOCS,
+    counts: DataFrame | None = None,
+    lowercase: bool = True,
+    tokenizer: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """One row on a vocabulary build: sizes, settings and OOV on the first documents."""
-    counts = count_vocab(docs)
+    """One row on a vocabulary build: sizes, settings and OOV on the first documents.
+
+    With ``counts``, the stored word counts of the build, the text is read only for the
+    number of documents and the check on the first ones; these are cut into words as ``counts`` was.
+    """
+    if counts is None:
+        counts = count_vocab(docs, "text", lowercase, tokenizer)
     vocab = assign_ids(counts, min_freq, top_k)
-    oov = oov_stats(count_vocab(oov_sample_docs(docs, check_docs)), vocab)
+    oov = oov_stats(count_vocab(oov_sample_docs(docs, check_docs), "text", lowercase, tokenizer), vocab)
     return one_row(
         docs.agg(F.count(F.lit(1)).alias("n_documents")),
         _words(vocab).agg(F.count(F.lit(1)).alias("vocab_size")),

@@ -36,7 +36,9 @@ def build_vocabulary(
         stats = vocabulary.coverage_stats(counts, coverage_percent)
     else:
         vocab = vocabulary.assign_ids(counts, min_freq, top_k)
-        stats = vocabulary.build_stats(docs, min_freq, top_k)
+        stats = vocabulary.build_stats(
+            docs, min_freq, top_k, counts=counts, lowercase=lowercase, tokenizer=tokenizer
+        )
     options = artifacts.TokenizerOptions(lowercase=lowercase)
     artifacts.write_tokenizer(materialize(vocab, "vocab"), path, options)
     stats.coalesce(1).write.mode("overwrite").json(f"{path}/stats")
@@ -52,11 +54,15 @@ def make_dataset(
     shuffle: bool = True,
     seed: int = dataset.SEED,
     val_ratio: float | None = None,
+    tokenizer: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Write training rows, metadata and ``stats`` below ``path``; return the rows."""
+    """Write training rows, metadata and ``stats`` below ``path``; return the rows.
+
+    A vocabulary built with a tokenizer of one's own needs the same one here.
+    """
     spark = docs.sparkSession
     vocab, options = artifacts.read_tokenizer(spark, tokenizer_path)
-    encoded = materialize(encoding.encode(docs, vocab, add_bos_eos=True, lowercase=options.lowercase), "encoded")
+    encoded = materialize(encoding.encode(docs, vocab, add_bos_eos=True, lowercase=options.lowercase, tokenizer=tokenizer), "encoded")
     rows = dataset.context_windows(encoded, context_length)
     rows = dataset.limit_samples(rows, max_samples, shuffle, seed)
     if val_ratio is not None:

@@ -28,9 +28,9 @@ def ctes(top_k: str | int | None = 5000, length: int = L, min_freq: int = 5) ->
     return f"""
 WITH toks AS (SELECT doc_id, {words()} AS w FROM documents),
 tokens AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM toks),
-counts AS (SELECT token, count(*) AS count FROM tokens GROUP BY token),
+counts AS MATERIALIZED (SELECT token, count(*) AS count FROM tokens GROUP BY token),
 ranked AS (SELECT token, count, row_number() OVER (ORDER BY count DESC, token) AS rk FROM counts WHERE count >= {min_freq}),
-kept AS (SELECT CAST(rk + 3 AS INTEGER) AS id, token, count FROM ranked {keep}),
+kept AS MATERIALIZED (SELECT CAST(rk + 3 AS INTEGER) AS id, token, count FROM ranked {keep}),
 vocab AS (
   SELECT * FROM (VALUES (0, '<PAD>', CAST(NULL AS BIGINT)), (1, '<UNK>', NULL), (2, '<BOS>', NULL), (3, '<EOS>', NULL))
     AS s(id, token, count)

@@ -150,3 +150,12 @@ def test_profile_and_columns(spark):
     assert (meta.n_samples, meta.context_length, meta.n_unique_targets, meta.ctx_type) == (5, 2, 3, "array<int>")
     stats = dataset.dataset_stats(rows, vocab, encoded(spark, [2], [3]), seed=42).first()
     assert (stats.n_documents, stats.seed) == (2, 42)
+
+
+def test_take_by_key_is_exact_with_equal_keys(spark):
+    from lexiframe.functions.hashing import hash_key
+    from lexiframe.operators.ranking import take_by_key
+
+    df = spark.range(30_000).select((F.col("id") % 100).alias("k"))
+    for n in (9_999, 10_050):
+        assert take_by_key(df, hash_key(1, "k"), n).count() == n

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexiframe.operators import embeddings as emb
 from lexiframe.operators import features as feat
 
-CONTEXTS = [[0, 0, 3, 4], [0, 3, 4, 6], [3, 4, 6, 7], [4, 5, 1, 3], [1, 1, 1, 1]]
+CONTEXTS = [[0, 0, 0, 5], [0, 2, 6, 3], [7, 5, 1, 2], [6, 6, 1, 1], [3, 1, 7, 7]]
 
 
 @pytest.fixture(scope="module")
@@ -44,9 +44,9 @@ def expected_pools(matrix):
 
 def test_context_stats(rows):
     out = feat.with_context_stats(rows)
-    assert column(out, "context_length").tolist() == [2, 3, 4, 4, 4, 0]
-    assert column(out, "unk_count").tolist() == [0, 0, 0, 1, 4, 0]
-    assert column(out, "type_token_ratio").tolist() == [1.0, 1.0, 1.0, 1.0, 0.25, 0.0]
+    assert column(out, "context_length").tolist() == [1, 3, 4, 4, 4, 0]
+    assert column(out, "unk_count").tolist() == [0, 0, 1, 2, 1, 0]
+    assert column(out, "type_token_ratio").tolist() == [1.0, 1.0, 1.0, 0.5, 0.75, 0.0]
 
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 0])
@@ -56,6 +56,32 @@ def test_pools_in_tasks_and_by_join(rows, vectors, matrix, max_bytes):
         np.testing.assert_allclose(column(out, f"{kind}_pooled"), expected, atol=1e-9)
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_pools_agree_on_gaps_and_widths(spark, max_bytes):
+    vectors = spark.createDataFrame([(0, [9.0, 9.0]), (1, [1.0, -2.0]), (2, [3.0, 4.0])], "id int, vec array<float>")
+    data = [(0, 1, [0, 4, 1, 2]), (1, 1, [2]), (2, 1, [7, 99]), (3, 1, []), (4, 1, [1, 2, 3]), (5, 1, None)]
+    rows = spark.createDataFrame(data, "doc_id long, pos int, ctx array<int>")
+    out = feat.pool_embeddings(rows, vectors, feat.POOLS, max_bytes=max_bytes).orderBy("doc_id").collect()
+    assert [list(r.mean_pooled) for r in out] == [[2, 1], [3, 4], [0, 0], [0, 0], [2, 1], [0, 0]]
+    low = [-1e10, -1e10]
+    assert [list(r.max_pooled) for r in out] == [[3, 4], [3, 4], low, low, [3, 4], low]
+    a, b = np.exp(2 / 4), np.exp(3 / 4)
+    np.testing.assert_allclose(out[0].position_pooled, [(a + 3 * b) / (a + b), (-2 * a + 4 * b) / (a + b)])
+
+
+@pytest.mark.parametrize("block", [1, 3, 4, 4096])
+def test_nearest_of_ids_with_gaps(spark, block):
+    ids = [0, 1, 2, 3, 10, 11, 20]
+    m = np.random.RandomState(1).randn(len(ids), 5).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, m)], "id int, vec array<float>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    got = {r.id: list(r.sims) for r in emb.nearest_similarities(table, 3, block).collect()}
+    assert sorted(got) == ids
+    for k, i in enumerate(ids):
+        np.testing.assert_allclose(got[i], np.sort(np.delete(cos[k], k))[::-1][:3], atol=1e-6)
+
+
 def test_unknown_pool(rows, vectors):
     with pytest.raises(ValueError, match="unknown pooling"):
         feat.pool_embeddings(rows, vectors, ("median",))
@@ -75,7 +101,7 @@ def test_nearest_similarities(vectors, matrix, block):
 def test_last_token_similarity(rows, vectors):
     got = column(emb.last_token_similarity(rows, vectors, 5), "last_token_sims")
     table = {r.id: r.sims for r in emb.nearest_similarities(vectors, 5).collect()}
-    np.testing.assert_allclose(got, [table[4], table[6], table[7], table[3], table[1], [0.0] * 5])
+    np.testing.assert_allclose(got, [table[5], table[3], table[2], table[1], table[7], [0.0] * 5])
     with pytest.raises(ValueError, match="top_k"):
         emb.nearest_similarities(vectors, 8)
 

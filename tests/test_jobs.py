@@ -3,9 +3,9 @@ from lexiframe.plans import jobs
 from lexiframe.sources import artifacts
 
 SENTENCES = [
-    "The quick brown fox jumps over the lazy dog.",
-    "A quick brown dog jumps over a lazy fox.",
-    "The fox and the dog are quick friends.",
+    "Rain fell on seven quiet hills.",
+    "Seven boats left before noon, and rain fell.",
+    "Quiet boats drift home.",
 ]
 
 
@@ -15,11 +15,11 @@ def test_corpus_to_generated_text(spark, tmp_path):
     assert docs.count() == 18
 
     vocab = jobs.build_vocabulary(docs, str(tmp_path / "tok"), min_freq=1, top_k=20)
-    assert vocab.count() == 4 + 12
+    assert vocab.count() == 4 + 13
     stats = spark.read.json(str(tmp_path / "tok" / "stats")).first()
-    assert (stats.n_documents, stats.vocab_size, stats.oov_tokens) == (18, 12, 0)
+    assert (stats.n_documents, stats.vocab_size, stats.oov_tokens) == (18, 13, 0)
     covered = jobs.build_vocabulary(docs, str(tmp_path / "cov"), coverage_percent=50.0)
-    assert 4 < covered.count() < 16
+    assert 4 < covered.count() < 17
 
     rows = jobs.make_dataset(docs, str(tmp_path / "tok"), str(tmp_path / "data"), 4, max_samples=100, val_ratio=0.1)
     assert rows.count() == 100
@@ -34,10 +34,10 @@ def test_corpus_to_generated_text(spark, tmp_path):
         built, names, categorical = features.assemble_features(contexts)
         return boosting.mark_categorical(built, names, categorical, vocab.count())
 
-    (tmp_path / "prompts.txt").write_text("the quick\n\na lazy\n")
+    (tmp_path / "prompts.txt").write_text("quiet boats\n\nrain fell\n")
     scorer = generation.model_scorer(prepare, boosting.load_model(spark, str(tmp_path / "run" / "model")))
     texts = jobs.generate_texts(
         spark, str(tmp_path / "prompts.txt"), vocab, scorer, 4, str(tmp_path / "out"), max_new_tokens=1, sampling="greedy"
     )
-    assert sorted(r.generated[:6] for r in texts.collect()) == ["a lazy", "the qu"]
+    assert sorted(r.generated[:6] for r in texts.collect()) == ["quiet ", "rain f"]
     assert spark.read.json(str(tmp_path / "out")).count() == 2

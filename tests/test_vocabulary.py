@@ -109,3 +109,21 @@ def test_build_stats(docs):
     row = v.build_stats(docs, 2, None, check_docs=1).first()
     assert (row.n_documents, row.vocab_size, row.total_tokens, row.unique_tokens) == (3, 5, 18, 10)
     assert (row.oov_check_tokens, row.oov_tokens) == (6, 1)
+
+
+def test_stats_follow_case_and_tokenizer(spark, tmp_path):
+    from lexiframe.plans import jobs
+
+    docs = spark.createDataFrame([(0, "Oak oak-leaf"), (1, "oak Elm")], "doc_id long, text string")
+    plain = jobs.build_vocabulary(docs, str(tmp_path / "cased"), min_freq=1, lowercase=False)
+    stats = spark.read.json(str(tmp_path / "cased" / "stats")).first()
+    assert (stats.vocab_size, stats.unique_tokens, stats.oov_tokens) == (plain.count() - 4, plain.count() - 4, 0)
+
+    def spaces(text):
+        return F.split(text, " ")
+
+    own = jobs.build_vocabulary(docs, str(tmp_path / "own"), min_freq=1, tokenizer=spaces)
+    stats = spark.read.json(str(tmp_path / "own" / "stats")).first()
+    assert (stats.vocab_size, stats.total_tokens, stats.oov_tokens) == (4, 4, 0) and own.count() == 8
+    rows = jobs.make_dataset(docs, str(tmp_path / "own"), str(tmp_path / "data"), 2, shuffle=False, tokenizer=spaces)
+    assert rows.where("y = 1").isEmpty()
