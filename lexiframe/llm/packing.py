@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiframe.llm.keys import original, present
-from lexiframe.llm.tokens import WordEncoder, default_path
+from lexiframe.llm.tokens import default_path, worker_encoder
 from lexiframe.session import materialize
 
 MAX_LEN = 2048
@@ -29,7 +29,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             sizes = [len(encoder.encode(t)) // 4 + 1 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": sizes})

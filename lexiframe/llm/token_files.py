@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiframe.llm.keys import original, present
-from lexiframe.llm.tokens import WordEncoder, default_path
+from lexiframe.llm.tokens import default_path, worker_encoder
 
 END_ID = 2
 IDS_DTYPE = "<u2"  # the vocabulary has fewer than 65,536 entries
@@ -71,7 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
         shard = TaskContext.get().partitionId()
         files, root = _open(folder)
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         ids, sizes = [], []
         total = 0

@@ -7,6 +7,7 @@ IDs of its white-space separated pieces in a row; each worker encodes a piece on
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -56,3 +57,9 @@ class WordEncoder(dict):
         if len(self.words) > CACHE_PIECES:
             self.words.clear()
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker: the file is loaded once, and later tasks find its pieces again."""
+    return WordEncoder(path)
