@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.session import materialize
 
-DEPTH = 4
+DEPTH = 3
 # A segment value that stands in fewer pages than this is taken for a variable one ...
 MIN_SUPPORT = 2
 # ... where its branch has more distinct values than this.
@@ -114,7 +114,8 @@ def template_tree(pages: DataFrame) -> DataFrame:
         named = judged.select(
             "host", "_head", "_value", F.when(alike | variable, F.lit("*")).otherwise(F.col("_value")).alias("_name")
         )
-        nodes = (
+        # Written, the next level starts from a table and not from all joins before it.
+        nodes = materialize(
             keyed.join(named, ["host", "_head", "_value"], "left")
             .withColumn(
                 "template",
@@ -127,7 +128,8 @@ def template_tree(pages: DataFrame) -> DataFrame:
                     ),
                 ).otherwise(F.col("template")),
             )
-            .drop("_head", "_value", "_name")
+            .drop("_head", "_value", "_name"),
+            "nodes",
         )
     overall = counts.agg(((F.sum("n_good") + 1.0) / (F.sum("n_labelled") + 1.0)).alias("share")).first()["share"]
     templates = nodes.groupBy("host", "template").agg(*sums)
