@@ -24,7 +24,9 @@ WORD_LIMIT = 6.0
 # A language is written in a script if at least this share of its words is.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+# So many distinct words are cut into n-grams at a time.
+CHUNK = 1 << 14
 
 # First code points of blocks of letters and the script used there.
 SCRIPTS = (
@@ -85,6 +87,10 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Score of each word for each language: 0 for the best, at least -WORD_LIMIT."""
+        parts = [self._scores(words[a : a + CHUNK]) for a in range(0, len(words), CHUNK)]
+        return np.concatenate(parts)
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         bucket, owner, scripts = word_features(words)
         starts = np.searchsorted(owner, np.arange(len(words)))
         scores = np.add.reduceat(self.table[bucket], starts, axis=0)
@@ -110,11 +116,14 @@ def learn_languages(labelled: DataFrame) -> LanguageModel:
                     counts.update(words_of(text))
                 if not counts:
                     continue
-                bucket, owner, scripts = word_features(list(counts))
-                n = np.fromiter(counts.values(), np.float64, len(counts))
+                words = list(counts)
+                numbers = np.fromiter(counts.values(), np.float64, len(counts))
                 total = totals.setdefault(lang, np.zeros(_SIZE + len(SCRIPT_NAMES)))
-                total[:_SIZE] += np.bincount(bucket, weights=n[owner], minlength=_SIZE)
-                total[_SIZE:] += np.bincount(scripts, weights=n, minlength=len(SCRIPT_NAMES))
+                for a in range(0, len(words), CHUNK):
+                    bucket, owner, scripts = word_features(words[a : a + CHUNK])
+                    n = numbers[a : a + CHUNK]
+                    total[:_SIZE] += np.bincount(bucket, weights=n[owner], minlength=_SIZE)
+                    total[_SIZE:] += np.bincount(scripts, weights=n, minlength=len(SCRIPT_NAMES))
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "cell": at, "n": total[at].astype(np.int64)})

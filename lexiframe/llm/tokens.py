@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 # How the tokenizer cuts a piece of lower-case ASCII into words (fixed value).
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 

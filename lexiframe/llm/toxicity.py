@@ -34,7 +34,7 @@ DENSE_VOTES = (0.5, 1.0, 3.0)
 EM_ROUNDS = 25
 # How sure the given label is to begin with.
 LABEL_TRUST = 0.9
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 # Common insults, the lexicon to begin with.
 INSULTS = "clown disgusting dumb fool garbage idiot jerk loser moron pathetic scum stupid trash ugly vermin worthless".split()

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-# A worker forgets its cache beyond this many words (some 90 MB).
-CACHE_WORDS = 400_000
+# A worker forgets its cache beyond this many words (some 45 MB).
+CACHE_WORDS = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
