@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 # How the tokenizer cuts a piece of lower-case ASCII into words (fixed value).
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -23,12 +23,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> Tokenizer:
+    """Loaded once a worker; the caches of pieces go with each task."""
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder(dict):
     """Piece (bytes) -> its IDs as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.words: dict[str, bytes] = {}
 
     def _encode(self, word: str) -> bytes:
@@ -57,9 +63,3 @@ class WordEncoder(dict):
         if len(self.words) > CACHE_PIECES:
             self.words.clear()
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
-
-
-@lru_cache(maxsize=1)
-def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker: the file is loaded once, and later tasks find its pieces again."""
-    return WordEncoder(path)
