@@ -31,7 +31,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(path)
         for batch in batches:
-            sizes = [len(encoder.encode(t)) // 4 + 1 for t in batch["text"]]
+            sizes = [len(ids) // 4 + 1 for ids in encoder.encode_all(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": sizes})
 
     counted = docs.select(present("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long")

@@ -79,8 +79,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         def chunks() -> Iterator[bytes]:
             for batch in batches:
                 ids.append(batch.column(0))
-                for text in batch.column(1):
-                    data = np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")
+                for found in encoder.encode_all(text.as_py() for text in batch.column(1)):
+                    data = np.frombuffer(found + end, "<u4")
                     sizes.append(len(data))
                     yield data.astype(IDS_DTYPE).tobytes()
 

@@ -7,14 +7,18 @@ IDs of its white-space separated pieces in a row; each worker encodes a piece on
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 from tokenizers import Tokenizer
 
 CACHE_PIECES = 400_000
+# So many texts are split at a time; their new words go to the tokenizer as one text.
+GROUP = 64
 # How the tokenizer cuts a piece of lower-case ASCII into words (fixed value).
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
 
 
 def default_path() -> str:
@@ -44,6 +48,16 @@ class WordEncoder(dict):
             found = self.words[word] = np.array(ids, "<u4").tobytes()
         return found
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words as one text; should the tokenizer cut any of them further, each is encoded when met."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(starts) != len(words):
+            return
+        data, at = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+        self.words.update((w, data[a:b]) for w, a, b in zip(words, at[:-1], at[1:]))
+
     def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8", "surrogatepass")
         if "<|" in text:  # may hold a special token
@@ -57,9 +71,22 @@ class WordEncoder(dict):
         self[piece] = value
         return value
 
-    def encode(self, text: str | None) -> bytes:
-        if len(self) > CACHE_PIECES:
-            self.clear()
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The IDs of each text; a null text has none."""
+        for group in batched(texts, GROUP):
+            if len(self) > CACHE_PIECES:
+                self.clear()
+            if len(self.words) > CACHE_PIECES:
+                self.words.clear()
+            split = [(text or "").encode("utf-8", "surrogatepass").split() for text in group]
+            new = [p for p in set().union(*split) if p not in self and b"<|" not in p]
+            words = set(_ASCII_WORDS.findall(b" ".join([p for p in new if p.isascii()]).decode("ascii").lower()))
+            for piece in new:
+                if not piece.isascii():
+                    text = piece.decode("utf-8", "surrogatepass")
+                    words.add(text[:-1] if text[-1] in ",." else text)
+            words = [w for w in words if w not in self.words and (w.isascii() or w.isalpha())]
+            if words:
+                self._learn(words)
+            for pieces in split:
+                yield b"".join(map(self.__getitem__, pieces))
