@@ -112,7 +112,10 @@ def unk_ratios(rows: DataFrame) -> DataFrame:
 
 
 def dataset_profile(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row: sizes, different contexts and targets, padding and UNK shares."""
+    """One row: sizes, different contexts and targets, padding and UNK shares, and the most frequent targets.
+
+    ``top_targets`` holds (y, token, count, frequency), the most frequent first; it is empty without rows.
+    """
     cells = rows.agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.max(F.size("ctx")).alias("context_length"),
@@ -120,7 +123,11 @@ def dataset_profile(rows: DataFrame, vocab: DataFrame) -> DataFrame:
         (F.sum(unk_count(F.col("ctx"))) / F.sum(F.size("ctx"))).alias("unk_ratio_x"),
         F.avg((F.col("y") == UNK).cast("double")).alias("unk_ratio_y"),
     )
-    return one_row(cells, vocab.agg(F.count(F.lit(1)).alias("vocab_size")), n_unique(rows))
+    fields = ("y", "token", "count", "frequency")
+    top = top_targets(rows, vocab).select(F.struct((-F.col("count")).alias("order"), *fields).alias("t"))
+    ordered = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(*[t[f].alias(f) for f in fields]))
+    sizes = vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
+    return one_row(cells, sizes, n_unique(rows), top.agg(ordered.alias("top_targets")))
 
 
 def dataset_stats(rows: DataFrame, vocab: DataFrame, docs: DataFrame, **settings) -> DataFrame:

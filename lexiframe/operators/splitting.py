@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions.hashing import hash_key
 from lexiframe.operators.dataset import ROW_KEYS, SEED
 from lexiframe.operators.ranking import SMALL_BUCKET, key_cutoff, number_in_order
+from lexiframe.operators.running import BLOCK, running_sums
 from lexiframe.session import materialize
 
 # Fixed value: default share of validation rows.
@@ -109,9 +110,12 @@ def stratified_split(
     head = F.substring("_key", 1, digits)
     hashed = rows.select(label, key.alias("_key"))
     counts = hashed.groupBy(label, head.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
-    # At most 16**digits rows per class.
-    upto = W.partitionBy(label).orderBy("_head").rowsBetween(W.unboundedPreceding, 0)
-    reached = counts.withColumn("_cum", F.sum("_n").over(upto)).join(quotas, label)
+    counts = materialize(counts.withColumn("_at", F.conv("_head", 16, 10).cast("long")), "prefixes")
+    # A class has up to 16**digits prefixes; they are summed in blocks, so a hot class is not one window.
+    span, levels = 16**digits, 0
+    while span > BLOCK:
+        span, levels = -(-span // BLOCK) + 1, levels + 1
+    reached = running_sums(counts, [label], "_at", {"_cum": "_n"}, BLOCK, levels).join(quotas, label)
     cut = reached.where((F.col("_cum") >= F.col("n_train")) & (F.col("_cum") - F.col("_n") < F.col("n_train")))
     cut = cut.select(label, "_head", (F.col("n_train") - F.col("_cum") + F.col("_n")).alias("_left"))
     cut = materialize(cut, "cuts")

@@ -139,7 +139,10 @@ SELECT count(*) AS n_samples, CAST(max(len(ctx)) AS INTEGER) AS context_length,
   round(avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END), 8) AS unk_ratio_y,
   (SELECT count(*) FROM vocab) AS vocab_size,
   (SELECT count(*) FROM (SELECT DISTINCT ctx FROM wins)) AS n_unique_contexts,
-  count(DISTINCT y) AS n_unique_targets FROM wins"""
+  count(DISTINCT y) AS n_unique_targets,
+  (SELECT string_agg(t.y || ':' || v.token || ':' || t.n, ' ' ORDER BY t.n DESC, t.y)
+   FROM (SELECT y, count(*) AS n FROM wins GROUP BY y ORDER BY n DESC, y LIMIT 10) t JOIN vocab v ON v.id = t.y) AS top_targets
+FROM wins"""
 
 ORACLES["dataset_profile"] = ctes() + PROFILE
 

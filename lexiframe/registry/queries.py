@@ -205,13 +205,21 @@ def build_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.withColumn("oov_rate", F.round("oov_rate", 6))
 
 
+def _profile_rounded(profile: DataFrame) -> DataFrame:
+    """Ratios rounded, the most frequent targets as y:token:count."""
+    ratios = ("padding_ratio", "unk_ratio_x", "unk_ratio_y")
+    targets = F.transform("top_targets", lambda t: F.concat_ws(":", t["y"].cast("string"), t["token"], t["count"].cast("string")))
+    return profile.withColumn("top_targets", F.array_join(targets, " ")).select(
+        *[F.round(c, 8).alias(c) if c in ratios else F.col(c) for c in profile.columns]
+    )
+
+
 @query
 def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
     vocab = materialize(vocab_of(spark, sf), "vocab")
     rows = windows(spark, sf, stored=True)
     stats = dataset.dataset_stats(rows, vocab, documents(spark, sf), min_freq=5, top_k=5000, seed=SEED)
-    ratios = ("padding_ratio", "unk_ratio_x", "unk_ratio_y")
-    return stats.select(*[F.round(c, 8).alias(c) if c in ratios else F.col(c) for c in stats.columns])
+    return _profile_rounded(stats)
 
 
 # --- text and token IDs ------------------------------------------------------------
@@ -424,9 +432,7 @@ def n_unique(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
     vocab = materialize(vocab_of(spark, sf), "vocab")
-    profile = dataset.dataset_profile(windows(spark, sf, stored=True), vocab)
-    ratios = ("padding_ratio", "unk_ratio_x", "unk_ratio_y")
-    return profile.select(*[F.round(c, 8).alias(c) if c in ratios else F.col(c) for c in profile.columns])
+    return _profile_rounded(dataset.dataset_profile(windows(spark, sf, stored=True), vocab))
 
 
 @query

@@ -112,9 +112,10 @@ def largest_remainder(sizes, n_train):
     return base
 
 
-@pytest.mark.parametrize("bucket", [100_000, 3])
-def test_stratified_split(rows, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, block", [(100_000, 1 << 16), (3, 1 << 16), (3, 8)])
+def test_stratified_split(rows, monkeypatch, bucket, block):
     monkeypatch.setattr(splitting, "SMALL_BUCKET", bucket)
+    monkeypatch.setattr(splitting, "BLOCK", block)
     split = splitting.stratified_split(rows, 0.1, seed=5)
     assert split.count() == 3500 and keys(split) == keys(rows)
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -140,6 +141,7 @@ def test_profile_and_columns(spark):
     assert (row.n_samples, row.context_length, row.vocab_size) == (5, 2, 6)
     assert (row.n_unique_contexts, row.n_unique_targets) == (3, 3)
     assert (row.padding_ratio, row.unk_ratio_x, row.unk_ratio_y) == (0.2, 0.1, 0.2)
+    assert [tuple(t) for t in row.top_targets] == [(3, "t3", 2, 0.4), (4, "t4", 2, 0.4), (1, "t1", 1, 0.2)]
     top = dataset.top_targets(rows, vocab, 2).collect()
     assert [(r.y, r.token, r["count"], r.frequency) for r in top] == [(3, "t3", 2, 0.4), (4, "t4", 2, 0.4)]
     named = dataset.top_targets(rows, vocab.where("id <> 3"), 1).first()
