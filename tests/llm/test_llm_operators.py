@@ -336,3 +336,19 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), URL_RULES).count() == 0
     given = spark.createDataFrame([(f"https://good.example.net/en/{i}?x=1", 0) for i in range(30)], "url string, good int")
     assert {r.verdict for r in urls.judge_urls(pages, URL_RULES, given).collect() if r.page_id in range(30)} == {"block"}
+
+
+def test_words_are_encoded_in_groups():
+    """The IDs are the tokenizer's own, also where it cuts a word of letters further."""
+    from tokenizers import Tokenizer
+
+    from lexiframe.llm.tokens import WordEncoder, default_path
+
+    odd = [
+        None, "", " \n\t", "it's DON'T 're !'s a,b 12ab", "a\x1cb \x00x x\x1c\x1d \x1e", "<|endoftext|> x<|y <| |>",
+        "É é é Å \x85q  w", "İstanbul, ısı. ﬁn ß", "日本語、 中文 한국어. 한", "", "it's",
+    ]
+    texts = odd + [" ".join(t or "" for t in odd)] * 2 + [f"word{i} Ω{i} ωα{chr(97 + i % 26)}" for i in range(200)]
+    tokenizer = Tokenizer.from_file(default_path())
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(WordEncoder(default_path()).encode_all(texts)) == want
