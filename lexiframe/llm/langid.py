@@ -27,6 +27,8 @@ UNKNOWN = "und"
 CACHE_WORDS = 150_000
 # So many distinct words are cut into n-grams at a time.
 CHUNK = 1 << 14
+# Texts are decoded together as long as they have at most so many characters; a longer one goes alone.
+CHARACTERS = 1 << 21
 
 # First code points of blocks of letters and the script used there.
 SCRIPTS = (
@@ -183,6 +185,19 @@ def viterbi(scores: np.ndarray, word_at: list[np.ndarray], penalty: float) -> li
     return out
 
 
+def slices_of(texts: pd.Series, most: int = CHARACTERS) -> Iterator[pd.Series]:
+    """Successive texts with at most ``most`` characters together, or one longer text."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        size = len(text) if text else 0
+        if i > start and total + size > most:
+            yield texts.iloc[start:i]
+            start, total = i, 0
+        total += size
+    if start < len(texts):
+        yield texts.iloc[start:]
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``docs(text, ...)`` with ``lang_pred``, ``score`` and ``spans``; other columns stay, but for such of these names.
 
@@ -190,7 +205,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = S
     the letter runs of the text. ``lang_pred`` is the language with most letters in
     its distinct words (ties: the first in order), ``score`` its share of these letters. A null text, one without letters, or an empty model
     gives ``und``, 0 and no spans. Repeated rows get a result each. A narrow step; a task
-    holds one Arrow batch of texts.
+    holds one Arrow batch of texts, and decodes ``CHARACTERS`` of it at a time.
     """
     languages = model.languages
     names = np.array(languages, object)
@@ -200,7 +215,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = S
         known: dict[str, int] = {}
         scores = np.zeros((0, len(languages)), np.float32)
         letters = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in (part for texts in batches for part in slices_of(texts)):
             if len(known) > CACHE_WORDS:
                 known.clear()
                 scores, letters = scores[:0], letters[:0]

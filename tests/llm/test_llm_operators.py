@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +353,12 @@ def test_words_are_encoded_in_groups():
     tokenizer = Tokenizer.from_file(default_path())
     want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert list(WordEncoder(default_path()).encode_all(texts)) == want
+
+
+def test_texts_are_decoded_in_slices():
+    texts = pd.Series(["abc", None, "", "x" * 10, "ab", "cd", "e"], index=range(5, 12))
+    for most in (1, 3, 5, 100):
+        parts = list(langid.slices_of(texts, most))
+        assert pd.concat(parts).equals(texts)
+        assert all(sum(len(t or "") for t in p) <= most or sum(1 for t in p if t) == 1 for p in parts)
+    assert list(langid.slices_of(pd.Series([], dtype=object))) == []
