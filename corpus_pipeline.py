@@ -14,6 +14,8 @@ from lexiframe.llm.keys import original, present
 from lexiframe.session import let_workers_import, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Texts are long: an Arrow batch of Spark's 10,000 of them takes too much of a Python worker's memory.
+BATCH_ROWS = 2500
 # A text whose main language has a smaller share of its distinct words' letters is rejected.
 MIN_LANGUAGE_SHARE = 0.35
 
@@ -22,14 +24,23 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).withColumn("doc_id", present("doc_id"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows for the jobs of this session; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts in no known language or without a main one; the rest stays as it is."""
+    _small_batches(spark)
     found = langid.identify_languages(docs.select(*COLUMNS), langid.learn_languages(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id stays."""
+    _small_batches(spark)
     found = jaccard.similar_components(docs)
     copies = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     copies = copies.select(present("doc_id")).distinct()
@@ -39,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in an earlier document go; documents left without a word go with them."""
+    _small_batches(spark)
     cut = repeats.remove_repeats(docs.select(*COLUMNS))
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     changed = F.col("n_removed") > 0
@@ -49,12 +61,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.drop_contaminated(docs.select(*COLUMNS), items).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their bucket, batch and slot."""
+    _small_batches(spark)
     return packing.pack(packing.token_lengths(docs))
 
 
