@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import BOS, EOS, left_pad_context
-from lexiframe.operators.boosting import BoostedModel, predict_proba
 from lexiframe.operators.encoding import decode, encode
+from lexiframe.operators.next_token import NextTokenModel, predict_proba
 from lexiframe.operators.sampling import METHODS, TEMPERATURE, TOP_K, TOP_P, sample_tokens, samples_per_prompt
 from lexiframe.session import materialize
 
@@ -20,17 +20,9 @@ MAX_NEW_TOKENS = 50
 Scorer = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
-def model_scorer(prepare: Callable[[DataFrame], DataFrame], model: BoostedModel) -> Scorer:
-    """Scores by a boosted model; ``prepare`` adds ``features`` to rows with ``ctx``."""
-    token_of = F.array(*[F.lit(i) for i in model.class_ids])
-
-    def score(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        scored = predict_proba(prepare(rows), model)
-        return scored.select(*keys, F.posexplode("p").alias("_class", "p")).select(
-            *keys, token_of[F.col("_class")].alias("token_id"), "p"
-        )
-
-    return score
+def model_scorer(model: NextTokenModel) -> Scorer:
+    """Scores by a table of next-token probabilities."""
+    return lambda rows, keys: predict_proba(rows, model, keys)
 
 
 def continue_ids(

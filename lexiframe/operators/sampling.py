@@ -74,19 +74,21 @@ def draw(
     """``n_samples`` weighted draws per context, reproducible for a seed.
 
     The token drawn is the first, by ID, whose running sum exceeds a number that
-    depends only on seed, context, step and sample.
+    depends only on seed, context, step and sample. The number of the draw is in
+    ``sample_idx``, or in ``draw_idx`` where the context has a column of that name.
     """
+    name = "draw_idx" if "sample_idx" in ctx else "sample_idx"
     upto = W.partitionBy(*ctx).orderBy("token_id").rowsBetween(W.unboundedPreceding, 0)
     everything = W.partitionBy(*ctx)
     steps = scored.select(
         *ctx, "token_id", (F.sum("p").over(upto) / F.sum("p").over(everything)).alias("_cum")
     )
     samples = F.array(*[F.lit(i) for i in range(n_samples)]) if n_samples <= 16 else F.sequence(F.lit(0), F.lit(n_samples - 1))
-    rows = steps.withColumn("sample_idx", F.explode(samples))
-    rows = rows.withColumn("_u", unit_draw(seed, *ctx, F.lit(step), F.col("sample_idx")))
+    rows = steps.withColumn(name, F.explode(samples))
+    rows = rows.withColumn("_u", unit_draw(seed, *ctx, F.lit(step), F.col(name)))
     hit = F.min(F.when(F.col("_cum") > F.col("_u"), F.col("token_id")))
     # Rounding may leave the last sum just below 1.
-    return rows.groupBy(*ctx, "sample_idx").agg(F.coalesce(hit, F.max("token_id")).alias("token_id"))
+    return rows.groupBy(*ctx, name).agg(F.coalesce(hit, F.max("token_id")).alias("token_id"))
 
 
 def sample_tokens(

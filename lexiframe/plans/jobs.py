@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.operators import boosting, dataset, encoding, features, generation, metrics, splitting, vocabulary
+from lexiframe.operators import dataset, encoding, generation, next_token, splitting, vocabulary
 from lexiframe.session import materialize
 from lexiframe.sources import artifacts, corpus
 
@@ -78,34 +78,21 @@ def train_model(
     rows: DataFrame,
     vocab: DataFrame,
     path: str,
-    options: boosting.BoostOptions = boosting.BoostOptions(),
-    feature_options: features.FeatureOptions = features.FeatureOptions(),
-    embeddings: DataFrame | None = None,
-    max_classes: int | None = None,
+    order: int = next_token.ORDER,
     valid_size: float = splitting.VALID_SIZE,
+    seed: int = dataset.SEED,
     shuffle: bool = True,
-) -> tuple[boosting.BoostedModel, DataFrame]:
-    """Features, stratified split, fit; write model and report below ``path``."""
+) -> tuple[next_token.NextTokenModel, DataFrame]:
+    """Stratified split, counts of the training rows; write model and report below ``path``."""
     spark = rows.sparkSession
     size = vocab.count()
-    built, names, categorical = features.assemble_features(rows.select("doc_id", "pos", "ctx", "y"), feature_options, embeddings)
-    split = splitting.stratified_split(materialize(built, "features"), valid_size, options.seed, shuffle)
-    split = boosting.mark_categorical(split, names, categorical, size)
-    class_ids = boosting.frequent_classes(rows, max_classes, size)
-    model = boosting.fit_next_token_model(split, class_ids, options, max_bins=max(32, size))
-    boosting.save_model(spark, model, f"{path}/model")
-
-    scored = boosting.predict_proba(split, model).withColumn("y", boosting.class_index(F.col("y"), class_ids))
-    report = metrics.metrics_report(
-        scored,
-        best_iteration=model.best_iteration,
-        num_classes=len(class_ids),
-        num_features=len(names),
-        num_categorical_features=len(categorical),
-        **boosting.options_as_settings(options),
-    )
+    rows = materialize(rows.select("doc_id", "pos", "ctx", "y"), "rows")
+    split = materialize(splitting.stratified_split(rows, valid_size, seed, shuffle), "split")
+    model = next_token.fit_next_token_model(split.where(F.col("split") == "train"), order)
+    next_token.save_model(model, f"{path}/model")
+    report = next_token.model_report(split, model, size, order=order, num_classes=size)
     report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
-    return model, spark.read.json(f"{path}/report")
+    return next_token.load_model(spark, f"{path}/model"), spark.read.json(f"{path}/report")
 
 
 def generate_texts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiframe.registry.queries import CHAT_WINDOW, L, MAX_SAMPLES, N_CLASSES, SCORED_TOP_K, SEED
+from lexiframe.registry.queries import CHAT_WINDOW, L, MAX_SAMPLES, SCORED_TOP_K, SEED
 
 ORACLES: dict[str, str] = {}
 
@@ -439,32 +439,40 @@ ORACLES["sample_temperature"] = f"{HOT}{drawn('hot', 1)} SELECT ctx_id, {PICK} F
 ORACLES["samples_per_prompt"] = """
 SELECT item_id AS prompt_id, md5(text) AS prompt_md5, CAST(unnest(range(3)) AS INTEGER) AS sample_idx FROM benchmark"""
 
-PREDICTED = f"""{ctes(SCORED_TOP_K, 1)},
-tops AS (SELECT y FROM wins WHERE y <> 1 GROUP BY y ORDER BY count(*) DESC, y LIMIT {N_CLASSES - 1}),
-class_ids AS (SELECT y AS id, row_number() OVER (ORDER BY y) - 1 AS c FROM (SELECT 1 AS y UNION ALL SELECT y FROM tops)),
-rows AS (
-  SELECT doc_id, pos, ctx[1] AS ctx_id, coalesce(c, (SELECT c FROM class_ids WHERE id = 1)) AS y
-  FROM wins w LEFT JOIN class_ids k ON w.y = k.id),
-shares AS (
-  SELECT ctx_id, [{", ".join(f"avg(CASE WHEN y = {c} THEN 1.0::DOUBLE ELSE 0.0 END)" for c in range(N_CLASSES))}] AS p
-  FROM rows GROUP BY ctx_id),
-predictions AS (
-  SELECT r.*, s.p, list_position(p, list_max(p)) - 1 AS y_pred,
-    list_transform(p, lambda x: least(greatest(x, 1e-15::DOUBLE), 1.0 - 1e-15::DOUBLE)) AS clipped
-  FROM rows r JOIN shares s USING (ctx_id)),
-losses AS (SELECT *, -ln(clipped[y + 1] / list_sum(clipped)) AS loss, CASE WHEN y = y_pred THEN 1.0 ELSE 0.0 END AS hit FROM predictions)
+
+
+def predicted(learnt: str) -> str:
+    """Prediction and loss of all windows by the rows ``learnt``; -1 stands for the empty context."""
+    clip = "least(greatest({0}, 1e-15::DOUBLE), 1.0::DOUBLE - 1e-15::DOUBLE)"
+    return f"""
+, learnt AS MATERIALIZED (SELECT ctx[1] AS ctx_id, y AS token_id FROM {learnt}),
+seen_pairs AS (
+  SELECT ctx_id, token_id, count(*) AS n FROM learnt GROUP BY ALL
+  UNION ALL SELECT -1, token_id, count(*) FROM learnt GROUP BY token_id),
+model AS MATERIALIZED (SELECT ctx_id, token_id, n / sum(n) OVER (PARTITION BY ctx_id) AS p FROM seen_pairs),
+sums AS (SELECT ctx_id, count(*) AS seen, sum({clip.format("p")}) AS mass FROM model GROUP BY ctx_id),
+firsts AS (SELECT ctx_id, token_id AS y_pred FROM model QUALIFY {BEST} = 1),
+asked AS (
+  SELECT doc_id, pos, y, CASE WHEN ctx[1] IN (SELECT ctx_id FROM sums) THEN ctx[1] ELSE -1 END AS ctx_id FROM wins),
+losses AS (
+  SELECT a.doc_id, a.pos, a.y, f.y_pred, CASE WHEN a.y = f.y_pred THEN 1.0 ELSE 0.0 END AS hit,
+    -ln({clip.format("coalesce(m.p, 0)")} / (s.mass + ((SELECT count(*) FROM vocab) - s.seen) * 1e-15::DOUBLE)) AS loss
+  FROM asked a JOIN sums s USING (ctx_id) JOIN firsts f USING (ctx_id)
+  LEFT JOIN model m ON m.ctx_id = a.ctx_id AND m.token_id = a.y)
 """
+
+
+PREDICTED = ctes(SCORED_TOP_K, 1) + predicted("wins")
 ORACLES["argmax_class"] = f"""{PREDICTED}
-SELECT doc_id, CAST(y_pred AS INTEGER) AS y_pred, count(*) AS n_rows FROM predictions GROUP BY ALL"""
+SELECT doc_id, CAST(y_pred AS INTEGER) AS y_pred, count(*) AS n_rows FROM losses GROUP BY ALL"""
 ORACLES["accuracy"] = PREDICTED + "SELECT round(avg(hit), 8) AS accuracy FROM losses"
 ORACLES["label_accuracy"] = "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM labels"
 ORACLES["multi_logloss"] = PREDICTED + "SELECT round(avg(loss), 8) AS logloss FROM losses"
 ORACLES["perplexity"] = PREDICTED + "SELECT round(exp(avg(loss)), 7) AS perplexity FROM losses"
-ORACLES["metrics_report"] = f"""{PREDICTED},
-placed AS (SELECT *, row_number() OVER (ORDER BY {HASH}) AS place, count(*) OVER () AS total FROM losses)
-SELECT CASE WHEN place <= total - CAST(floor(total * 0.1) AS BIGINT) THEN 'train' ELSE 'val' END AS split, count(*) AS n_rows,
+ORACLES["metrics_report"] = f"""{ctes(SCORED_TOP_K, 1)}{SPLIT}{predicted("split_rows WHERE split = 'train'")}
+SELECT split, count(*) AS n_rows,
   round(avg(hit), 7) AS accuracy, round(avg(loss), 7) AS logloss, round(exp(avg(loss)), 7) AS perplexity
-FROM placed GROUP BY 1"""
+FROM losses JOIN split_rows USING (doc_id, pos) GROUP BY split"""
 
 # --- conversations -----------------------------------------------------------------
 
@@ -520,6 +528,48 @@ step{i + 1} AS (
     return out
 
 
+ORACLES["fit_next_token_model"] = f"""{ctes(SCORED_TOP_K, 2)},
+places_of AS (SELECT ctx, y, unnest(range(3)) AS n FROM wins),
+grams AS (SELECT CASE n WHEN 0 THEN '' WHEN 1 THEN ctx[2] || '' ELSE ctx[1] || ' ' || ctx[2] END AS ctx, y FROM places_of),
+gram_counts AS (SELECT ctx, y, count(*) AS n FROM grams GROUP BY ALL)
+SELECT ctx, count(*) AS n_tokens, CAST(sum(n) AS BIGINT) AS total, {digest("y", "n")} FROM gram_counts GROUP BY ctx"""
+
+PROMPTS = f"""
+prompt_tokens AS (
+  SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
+  FROM (SELECT item_id, {words()} AS w FROM benchmark)),
+prompt_ids AS (
+  SELECT item_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM prompt_tokens LEFT JOIN kept USING (token) GROUP BY ALL),
+opened AS (SELECT b.item_id AS doc_id, list_concat([2], coalesce(ids, [])) AS ids FROM benchmark b LEFT JOIN prompt_ids USING (item_id))
+"""
+
+# Step by step: the token whose share of [0, 1) holds the number drawn.
+ORACLES["generate_batch"] = f"""{TOP.replace("WITH toks", "WITH RECURSIVE toks")},
+ends AS (
+  SELECT ctx_id, token_id, sum(p) OVER (PARTITION BY ctx_id ORDER BY token_id) / sum(p) OVER (PARTITION BY ctx_id) AS hi FROM top),
+ranges AS MATERIALIZED (
+  SELECT ctx_id, token_id, hi, lag(hi, 1, 0.0) OVER w AS lo, lead(token_id) OVER w IS NULL AS final
+  FROM ends WINDOW w AS (PARTITION BY ctx_id ORDER BY token_id)),
+{PROMPTS},
+said AS (
+  SELECT doc_id AS prompt_id, s.sample_idx, 0 AS step, ids[len(ids)] AS last FROM opened, (VALUES (0), (1)) AS s(sample_idx)
+  UNION ALL
+  SELECT g.prompt_id, g.sample_idx, g.step + 1, r.token_id
+  FROM (
+    SELECT *, CAST('0x' || substr(md5('{SEED}:' || prompt_id || ':' || sample_idx || ':' || step || ':0'), 1, 8) AS BIGINT)
+      / 4294967296.0::DOUBLE AS u FROM said WHERE step < 50 AND (step = 0 OR last <> 3)) g
+  JOIN ranges r ON r.ctx_id = g.last AND g.u >= r.lo AND (g.u < r.hi OR r.final)),
+spoken AS (
+  SELECT doc_id AS prompt_id, s.sample_idx, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
+  FROM opened, (VALUES (0), (1)) AS s(sample_idx)
+  UNION ALL
+  SELECT prompt_id, sample_idx, last, len(ids) + step FROM said JOIN opened ON doc_id = prompt_id WHERE step > 0),
+texts AS (
+  SELECT prompt_id, sample_idx, string_agg(token, ' ' ORDER BY pos) AS t FROM spoken JOIN kept USING (id) GROUP BY ALL)
+SELECT doc_id AS prompt_id, s.sample_idx, coalesce(t, '') AS generated
+FROM opened CROSS JOIN (VALUES (0), (1)) AS s(sample_idx)
+LEFT JOIN texts ON texts.prompt_id = doc_id AND texts.sample_idx = s.sample_idx"""
+
 ORACLES["generate_by_bigrams"] = f"""{SCORED},
 best AS (SELECT ctx_id, token_id FROM scored QUALIFY {BEST} = 1),
 prompt_tokens AS (

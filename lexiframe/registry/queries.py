@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import context_length, left_pad_context, pad_ids, truncate_ids, type_token_ratio, unk_count
 from lexiframe.functions.text import tokenize
-from lexiframe.operators import boosting, conversations, dataset, embeddings, encoding, features, generation, metrics
-from lexiframe.operators import sampling, splitting, vocabulary
+from lexiframe.operators import conversations, dataset, embeddings, encoding, features, generation, metrics
+from lexiframe.operators import next_token, sampling, splitting, vocabulary
 from lexiframe.operators.running import BLOCK
 from lexiframe.session import materialize, new_path
 from lexiframe.sources import artifacts, corpus, word_vectors
@@ -28,8 +28,7 @@ QUERIES: dict[str, Query] = {}
 L = 16
 SEED = 42
 MAX_SAMPLES = 100_000
-SCORED_TOP_K = 500
-N_CLASSES = 8
+SCORED_TOP_K = 5000
 CHAT_WINDOW = 32
 
 
@@ -618,28 +617,32 @@ def samples_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.samples_per_prompt(prompts, 3)
 
 
+def _last_token_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the last token as context, and the vocabulary."""
+    vocab = materialize(vocab_of(spark, sf, SCORED_TOP_K), "vocab")
+    ids = materialize(encoding.encode(documents(spark, sf), vocab, add_bos_eos=True), "encoded")
+    return dataset.context_windows(ids, 1), vocab
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows with the class of the next token and p(class | last token)."""
-    rows = windows(spark, sf, SCORED_TOP_K, 1, stored=True)
-    class_ids = boosting.frequent_classes(rows, N_CLASSES, SCORED_TOP_K + 4)
-    rows = rows.select(
-        "doc_id", "pos", F.col("ctx")[0].alias("ctx_id"), boosting.class_index(F.col("y"), class_ids).alias("y")
-    )
-    shares = [F.avg((F.col("y") == c).cast("double")) for c in range(N_CLASSES)]
-    known = materialize(rows.groupBy("ctx_id").agg(F.array(*shares).alias("p")), "shares")
-    return rows.join(known, "ctx_id")
+    """Rows with the most likely next token after the last one, and the loss."""
+    rows, vocab = _last_token_rows(spark, sf)
+    return next_token.score_targets(rows, next_token.fit_next_token_model(rows, 1), vocab.count())
+
+
+def _whole_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows, vocab = _last_token_rows(spark, sf)
+    return next_token.model_report(rows, next_token.fit_next_token_model(rows, 1), vocab.count(), ())
 
 
 @query
 def argmax_class(spark: SparkSession, sf: str) -> DataFrame:
-    picked = predictions(spark, sf).select("doc_id", "y", metrics.argmax_class(F.col("p")).alias("y_pred"))
-    return picked.groupBy("doc_id", "y_pred").agg(F.count(F.lit(1)).alias("n_rows"))
+    return predictions(spark, sf).groupBy("doc_id", "y_pred").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    picked = predictions(spark, sf).withColumn("y_pred", metrics.argmax_class(F.col("p")))
-    return metrics.accuracy(picked).withColumn("accuracy", F.round("accuracy", 8))
+    return metrics.accuracy(predictions(spark, sf)).withColumn("accuracy", F.round("accuracy", 8))
 
 
 @query
@@ -650,18 +653,21 @@ def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def multi_logloss(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.multi_logloss(predictions(spark, sf)).withColumn("logloss", F.round("logloss", 8))
+    return _whole_report(spark, sf).select(rounded(F.col("logloss"), "logloss", 8))
 
 
 @query
 def perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.perplexity(predictions(spark, sf)).withColumn("perplexity", F.round("perplexity", 7))
+    return _whole_report(spark, sf).select(rounded(F.col("perplexity"), "perplexity", 7))
 
 
 @query
 def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splitting.train_val_split(materialize(predictions(spark, sf), "predictions"), 0.1, SEED)
-    report = metrics.metrics_report(rows)
+    """The model knows the training rows only; unseen contexts back off to the empty one."""
+    rows, vocab = _last_token_rows(spark, sf)
+    rows = materialize(splitting.train_val_split(rows, 0.1, SEED), "split")
+    model = next_token.fit_next_token_model(rows.where(F.col("split") == "train"), 1)
+    report = next_token.model_report(rows, model, vocab.count())
     return report.select(
         "split", "n_rows", *[F.round(c, 7).alias(c) for c in ("accuracy", "logloss", "perplexity")]
     )
@@ -724,44 +730,23 @@ def streaming_rolling_context(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- model and generation ----------------------------------------------------------
 
-MODEL_TOP_K = 200
-MODEL_L = 4
-
-
-def _model_features(rows: DataFrame) -> DataFrame:
-    built, names, categorical = features.assemble_features(rows, features.FeatureOptions())
-    return boosting.mark_categorical(built, names, categorical, MODEL_TOP_K + 4)
-
-
-def _fitted(spark: SparkSession, sf: str, rounds: int, classes: int) -> tuple[boosting.BoostedModel, DataFrame, DataFrame]:
-    vocab = materialize(vocab_of(spark, sf, MODEL_TOP_K), "vocab")
-    ids = materialize(encoding.encode(documents(spark, sf), vocab, add_bos_eos=True), "encoded")
-    rows = splitting.train_val_split(dataset.context_windows(ids, MODEL_L), 0.1, SEED)
-    rows = _model_features(rows)
-    class_ids = boosting.frequent_classes(rows, classes, MODEL_TOP_K + 4)
-    options = boosting.BoostOptions(num_leaves=16, num_boost_round=rounds, learning_rate=0.3)
-    return boosting.fit_next_token_model(rows, class_ids, options, max_bins=MODEL_TOP_K + 4), rows, vocab
-
-
 @query
 def fit_next_token_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of the fitted model per split; the loss falls with every round."""
-    model, rows, _ = _fitted(spark, sf, rounds=2, classes=4)
-    scored_rows = boosting.predict_proba(rows, model)
-    scored_rows = scored_rows.withColumn("y", boosting.class_index(F.col("y"), model.class_ids))
-    return metrics.metrics_report(
-        scored_rows, best_iteration=model.best_iteration, num_classes=model.num_classes, rounds=len(model.trees)
+    """Per context of up to two tokens: its tokens and their counts."""
+    model = next_token.fit_next_token_model(windows(spark, sf, SCORED_TOP_K, 2), 2)
+    return model.table.groupBy(joined(F.col("ctx")).alias("ctx")).agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.sum("n").alias("total"), checksum(F.col("token_id"), F.col("n"))
     )
 
 
 @query
 def generate_batch(spark: SparkSession, sf: str) -> DataFrame:
-    model, _, vocab = _fitted(spark, sf, rounds=1, classes=4)
+    """Two samples per prompt, up to the default length or EOS."""
+    rows, vocab = _last_token_rows(spark, sf)
+    scorer = generation.model_scorer(next_token.fit_next_token_model(rows, 1))
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    scorer = generation.model_scorer(_model_features, model)
-    return generation.generate_batch(
-        prompts, vocab, scorer, MODEL_L, num_samples=2, max_new_tokens=3, sampling="top_k", top_k=3, seed=SEED
-    )
+    texts = generation.generate_batch(prompts, vocab, scorer, 1, num_samples=2, sampling="top_k", seed=SEED)
+    return texts.select("prompt_id", "sample_idx", "generated")
 
 
 @query

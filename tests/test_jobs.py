@@ -1,4 +1,4 @@
-from lexiframe.operators import boosting, features, generation
+from lexiframe.operators import generation, next_token
 from lexiframe.plans import jobs
 from lexiframe.sources import artifacts
 
@@ -26,16 +26,11 @@ def test_corpus_to_generated_text(spark, tmp_path):
     assert artifacts.read_dataset(spark, str(tmp_path / "data"), "val").count() == 10
     assert spark.read.json(str(tmp_path / "data" / "stats")).first().n_documents == 18
 
-    options = boosting.BoostOptions(num_leaves=4, num_boost_round=1, min_data_in_leaf=1)
-    model, report = jobs.train_model(rows, vocab, str(tmp_path / "run"), options, max_classes=4)
-    assert {r.split for r in report.collect()} == {"train", "val"} and model.num_classes == 4
-
-    def prepare(contexts):
-        built, names, categorical = features.assemble_features(contexts)
-        return boosting.mark_categorical(built, names, categorical, vocab.count())
+    model, report = jobs.train_model(rows, vocab, str(tmp_path / "run"))
+    assert {r.split: r.num_classes for r in report.collect()} == {"train": 17, "val": 17} and model.order == 2
 
     (tmp_path / "prompts.txt").write_text("quiet boats\n\nrain fell\n")
-    scorer = generation.model_scorer(prepare, boosting.load_model(spark, str(tmp_path / "run" / "model")))
+    scorer = generation.model_scorer(next_token.load_model(spark, str(tmp_path / "run" / "model")))
     texts = jobs.generate_texts(
         spark, str(tmp_path / "prompts.txt"), vocab, scorer, 4, str(tmp_path / "out"), max_new_tokens=1, sampling="greedy"
     )
