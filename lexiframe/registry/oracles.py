@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiframe.registry.queries import CHAT_WINDOW, L, MAX_SAMPLES, SCORED_TOP_K, SEED
+from lexiframe.registry.queries import CHAT_WINDOW, L, MAX_SAMPLES, MODEL_TOP_K, SCORED_TOP_K, SEED
 
 ORACLES: dict[str, str] = {}
 
@@ -462,14 +462,14 @@ losses AS (
 """
 
 
-PREDICTED = ctes(SCORED_TOP_K, 1) + predicted("wins")
+PREDICTED = ctes(MODEL_TOP_K, 1) + predicted("wins")
 ORACLES["argmax_class"] = f"""{PREDICTED}
 SELECT doc_id, CAST(y_pred AS INTEGER) AS y_pred, count(*) AS n_rows FROM losses GROUP BY ALL"""
 ORACLES["accuracy"] = PREDICTED + "SELECT round(avg(hit), 8) AS accuracy FROM losses"
 ORACLES["label_accuracy"] = "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM labels"
 ORACLES["multi_logloss"] = PREDICTED + "SELECT round(avg(loss), 8) AS logloss FROM losses"
 ORACLES["perplexity"] = PREDICTED + "SELECT round(exp(avg(loss)), 7) AS perplexity FROM losses"
-ORACLES["metrics_report"] = f"""{ctes(SCORED_TOP_K, 1)}{SPLIT}{predicted("split_rows WHERE split = 'train'")}
+ORACLES["metrics_report"] = f"""{ctes(MODEL_TOP_K, 1)}{SPLIT}{predicted("split_rows WHERE split = 'train'")}
 SELECT split, count(*) AS n_rows,
   round(avg(hit), 7) AS accuracy, round(avg(loss), 7) AS logloss, round(exp(avg(loss)), 7) AS perplexity
 FROM losses JOIN split_rows USING (doc_id, pos) GROUP BY split"""
@@ -528,7 +528,7 @@ step{i + 1} AS (
     return out
 
 
-ORACLES["fit_next_token_model"] = f"""{ctes(SCORED_TOP_K, 2)},
+ORACLES["fit_next_token_model"] = f"""{ctes(MODEL_TOP_K, 2)},
 places_of AS (SELECT ctx, y, unnest(range(3)) AS n FROM wins),
 grams AS (SELECT CASE n WHEN 0 THEN '' WHEN 1 THEN ctx[2] || '' ELSE ctx[1] || ' ' || ctx[2] END AS ctx, y FROM places_of),
 gram_counts AS (SELECT ctx, y, count(*) AS n FROM grams GROUP BY ALL)

@@ -28,7 +28,8 @@ QUERIES: dict[str, Query] = {}
 L = 16
 SEED = 42
 MAX_SAMPLES = 100_000
-SCORED_TOP_K = 5000
+SCORED_TOP_K = 500
+MODEL_TOP_K = 5000
 CHAT_WINDOW = 32
 
 
@@ -617,9 +618,9 @@ def samples_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.samples_per_prompt(prompts, 3)
 
 
-def _last_token_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _last_token_rows(spark: SparkSession, sf: str, top_k: int = MODEL_TOP_K) -> tuple[DataFrame, DataFrame]:
     """Rows with the last token as context, and the vocabulary."""
-    vocab = materialize(vocab_of(spark, sf, SCORED_TOP_K), "vocab")
+    vocab = materialize(vocab_of(spark, sf, top_k), "vocab")
     ids = materialize(encoding.encode(documents(spark, sf), vocab, add_bos_eos=True), "encoded")
     return dataset.context_windows(ids, 1), vocab
 
@@ -733,7 +734,7 @@ def streaming_rolling_context(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fit_next_token_model(spark: SparkSession, sf: str) -> DataFrame:
     """Per context of up to two tokens: its tokens and their counts."""
-    model = next_token.fit_next_token_model(windows(spark, sf, SCORED_TOP_K, 2), 2)
+    model = next_token.fit_next_token_model(windows(spark, sf, MODEL_TOP_K, 2), 2)
     return model.table.groupBy(joined(F.col("ctx")).alias("ctx")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum("n").alias("total"), checksum(F.col("token_id"), F.col("n"))
     )
@@ -742,7 +743,7 @@ def fit_next_token_model(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def generate_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Two samples per prompt, up to the default length or EOS."""
-    rows, vocab = _last_token_rows(spark, sf)
+    rows, vocab = _last_token_rows(spark, sf, SCORED_TOP_K)
     scorer = generation.model_scorer(next_token.fit_next_token_model(rows, 1))
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
     texts = generation.generate_batch(prompts, vocab, scorer, 1, num_samples=2, sampling="top_k", seed=SEED)
