@@ -18,6 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BATCH_ROWS = 2500
 # A text whose main language has a smaller share of its distinct words' letters is rejected.
 MIN_LANGUAGE_SHARE = 0.35
+# Near copies share so much of their shingles of so many words; 4 words and 85 % hold for op6_ngram_jaccard only.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
@@ -39,9 +41,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each component of near-duplicates (5-word shingles, Jaccard >= 0.8) the document with the smallest id stays."""
     _small_batches(spark)
-    found = jaccard.similar_components(docs)
+    found = jaccard.similar_components(docs, NEAR_WORDS, NEAR_PERCENT)
     copies = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     copies = copies.select(present("doc_id")).distinct()
     kept = _by_row(docs).join(copies, "doc_id", "left_anti")
