@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {}
 L = 16
 SEED = 42
 MAX_SAMPLES = 100_000
-SCORED_TOP_K = 500
+SCORED_TOP_K = 5000
 MODEL_TOP_K = 5000
 CHAT_WINDOW = 32
 
