@@ -534,7 +534,7 @@ def last_token_similarity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def prototype_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf)
-    centres = features.fit_prototypes(vecs, 50, n_init=3)
+    centres = features.fit_prototypes(vecs, 50)
     pooled = features.prototype_similarity(features.pool_embeddings(rows, vecs, ("mean",)), centres)
     sims = F.col("prototype_sims")
     return pooled.groupBy("doc_id").agg(
