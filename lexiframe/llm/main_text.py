@@ -114,13 +114,18 @@ def events(page: str) -> Iterator[tuple[str, str, bool, str]]:
             stack.append((name, dropped))
 
 
+def label_of(page: str) -> str | None:
+    """``article`` if the page has exactly one, or else ``main``, or None."""
+    found = Counter(m["name"].lower() for m in _TOKEN.finditer(page) if m["name"] and not m["end"])
+    return next((x for x in ("article", "main") if found[x] == 1), None)
+
+
 def label_counts(page: str) -> Counter:
     """Words and tags of a page by feature and whether they lie inside its one labelled element.
 
     A page without exactly one ``article`` (or else ``main``) element is no labelled page.
     """
-    found = Counter(m["name"].lower() for m in _TOKEN.finditer(page) if m["name"] and not m["end"])
-    label = next((x for x in ("article", "main") if found[x] == 1), None)
+    label = label_of(page)
     counts: Counter = Counter()
     if label is None:
         return counts
@@ -142,13 +147,17 @@ def _feature(kind: str, name: str, dropped: bool) -> str:
 
 
 def weights_of(pages: DataFrame, n_pages: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most ``n_pages`` labelled pages, chosen by a hash of ``page_id``.
+    """Weights from at most ``n_pages`` labelled pages, chosen by a hash of ``page_id`` among all labelled ones.
 
     With p the smoothed share of a feature inside the labelled element, a word scores p
     and a tag -TAG_COST * (1 - p). The table has one row per element name.
     """
-    ids = pages.where(F.col("html").isNotNull()).select("page_id").distinct()
-    ids = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
+    @F.pandas_udf("boolean")
+    def labelled(html: pd.Series) -> pd.Series:
+        return pd.Series([label_of(page) is not None for page in html], dtype=bool)
+
+    with_label = pages.where(F.col("html").isNotNull()).select("page_id", "html").where(labelled("html"))
+    ids = with_label.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(n_pages)
     sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
