@@ -109,4 +109,68 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
 FROM d LEFT JOIN sizes USING (doc_id)
 """
 
+# crc32 over the bytes of a distinct word: the table of 256 remainders, then one step a byte.
+OP11 = r"""
+WITH remainders AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) AS c
+        FROM range(256) r(i))),
+words AS MATERIALIZED (
+  SELECT 0 AS kind, doc_id, {WORDS} AS w FROM documents
+  UNION ALL SELECT 1, NULL, {WORDS} FROM benchmark),
+used AS MATERIALIZED (SELECT kind, doc_id, unnest(w) AS word FROM words),
+types AS MATERIALIZED (SELECT DISTINCT word, hex(encode(word)) AS h FROM used),
+buckets AS MATERIALIZED (
+  SELECT word, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(0, CAST(length(h) // 2 AS BIGINT)),
+      lambda j: CAST('0x' || substr(h, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM types, remainders),
+counts AS MATERIALIZED (
+  SELECT b, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t
+  FROM used JOIN buckets USING (word) GROUP BY b),
+gains AS MATERIALIZED (
+  SELECT b, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM counts) + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM counts) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM counts),
+weights AS (
+  SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM used JOIN buckets USING (word) JOIN gains USING (b) WHERE kind = 0 GROUP BY doc_id),
+scored AS MATERIALIZED (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+      (CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE
+    ))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (doc_id) WHERE kind = 0),
+ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all_n
+  FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * all_n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranks ON scored.doc_id = ranks.doc_id
+""".replace("{WORDS}", _ITEM_WORDS)
+
+OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+found AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= 3
+"""
+
 ORACLES = {"op2_decontaminate": OP2, "op5_substring_dedup": OP5, "op6_ngram_jaccard": OP6, "op9_quality_rules": OP9}
+ORACLES |= {"op11_importance_resampling": OP11, "op13_hard_negatives": OP13}
