@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -22,10 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lexiframe.llm.tokens import default_path
-
-# A worker's caches hold at most so many pieces, and none longer than LONGEST bytes.
-CACHE_PIECES, LONGEST = 200_000, 64
+# A generation of a worker's caches holds at most so many words or pieces, none longer than LONGEST.
+CACHE_WORDS, CACHE_PIECES, LONGEST = 400_000, 100_000, 64
 # Rows and bytes of text after which a result batch is handed on.
 BATCH_ROWS, BATCH_BYTES = 1024, 8_000_000
 
@@ -52,8 +51,18 @@ BY_PIECE = {
         ],
     },
 }
-# The same cut for a lower-case ASCII piece.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# The same rules for texts of ASCII, Latin letters and some marks: no such character composes, and
+# each has one lower-case form.
+_LETTERS = "\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_PLAIN = re.compile(f"[\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00de{_LETTERS}\u2010-\u2027\u20ac]*")
+_ASCII_SPACE = re.compile("[\\t-\\r ]+")
+_WORDS = re.compile(f"[a-z{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\t-\\r a-z0-9{_LETTERS}]+")
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def byte_alphabet() -> list[str]:
@@ -63,6 +72,27 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+class Recent:
+    """A bounded cache of two generations: what is not asked for during one whole generation is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.longest, self.young, self.old = most, LONGEST, {}, {}
+
+    def find(self, key):
+        """A value the young generation lacks, which it then takes over, or None."""
+        found = self.old.pop(key, None)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(key) > self.longest:
+            return
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Bpe:
     """One tokenizer file. Only files without other affixes than a word end, and plain added tokens, are taken."""
 
@@ -79,108 +109,128 @@ class Bpe:
         if missing:
             raise ValueError(f"the vocabulary lacks the symbols of {len(missing)} bytes: {path}")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {
-            (self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)
-        }
+        # A pair of IDs is looked up as one number.
+        self.size = 1 + max(self.vocab.values())
+        self.ranks = {self.vocab[a] * self.size + self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.whole_words = bool(model.get("ignore_merges"))
         self.added = {t["content"].encode(): t["id"] for t in added}
         self.specials = re.compile(
             b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")"
         ) if added else None
         n = 1 + max([*self.vocab.values(), *self.added.values()])
-        self.strings: list[str] = [""] * n
+        self.strings: list[str | None] = [None] * n
         for text, i in [*self.vocab.items(), *((t.decode(), i) for t, i in self.added.items())]:
             self.strings[i] = text
-        self.known = {*self.vocab.values(), *self.added.values()}
+        self.gaps = None in self.strings
         self.rules = Tokenizer.from_file(path)
         self.by_piece = all(spec[k] == v for k, v in BY_PIECE.items())
         self.decoder = (spec["decoder"] or {"type": None})["type"]
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.byte_of = {c: b for b, c in self.alphabet.items()}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_PIECES)
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """The symbols left after all merges, lowest rank first, leftmost first among equals."""
-        n, ids, ranks = len(symbols), list(symbols), self.ranks
+        """The symbols left after all merges, lowest rank first, leftmost first among equals.
+
+        An entry of the queue is the number rank * n + place.
+        """
+        n, ids, size, rank_of = len(symbols), list(symbols), self.size, self.ranks.get
+        queue = [
+            r * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(a * size + b)) is not None
+        ]
+        if not queue:
+            return ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(*found, i) for i in range(n - 1) if (found := ranks.get((ids[i], ids[i + 1])))]
         heapify(queue)
         while queue:
-            rank, merged, i = heappop(queue)
-            j = after[i]
-            if ids[i] < 0 or j >= n or ranks.get((ids[i], ids[j]), (-1,))[0] != rank:
+            rank, i = divmod(heappop(queue), n)
+            a, j = ids[i], after[i]
+            if a < 0 or j >= n or rank_of(a * size + ids[j]) != rank:
                 continue  # stale
-            ids[i], ids[j] = merged, -1
+            ids[i] = merged = self.merged[rank]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := ranks.get((merged, ids[k])):
-                    heappush(queue, (*found, i))
+                if (r := rank_of(merged * size + ids[k])) is not None:
+                    heappush(queue, r * n + i)
             h = before[i]
-            if h >= 0 and (found := ranks.get((ids[h], merged))):
-                heappush(queue, (*found, h))
+            if h >= 0 and (r := rank_of(ids[h] * size + merged)) is not None:
+                heappush(queue, r * n + h)
         return [i for i in ids if i >= 0]
 
     def _word(self, word: str) -> bytes:
-        """IDs of a word written in the byte alphabet, as little-endian unsigned 32-bit integers."""
-        found = self.words.get(word)
+        """IDs of a word, as little-endian unsigned 32-bit integers."""
+        found = self.words.find(word)
         if found is None:
-            if self.whole_words and word + self.ends in self.vocab:
-                ids = [self.vocab[word + self.ends]]
+            text = word.encode().decode("latin-1").translate(self.alphabet)
+            if self.whole_words and text + self.ends in self.vocab:
+                ids = [self.vocab[text + self.ends]]
             else:
-                symbols = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.ends]]
-                ids = self.merge(symbols)
-            found = np.array(ids, "<u4").tobytes()
-            if len(word) <= LONGEST:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
-                self.words[word] = found
+                ids = self.merge([*map(self.vocab.__getitem__, text[:-1]), self.vocab[text[-1] + self.ends]])
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            self.words.put(word, found)
         return found
 
-    def _plain(self, text: str) -> bytes:
-        """IDs of a text without added tokens, cut into words by the file's own rules."""
+    def all_ids(self, words: list[str]) -> bytes:
+        """The IDs of words in a row."""
+        get, new = self.words.young.get, self._word
+        return b"".join([get(w) or new(w) for w in words])
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of a text without added tokens, by the file's own rules."""
         if self.rules.normalizer is not None:
             text = self.rules.normalizer.normalize_str(text)
-        cut = self.rules.pre_tokenizer
-        words = cut.pre_tokenize_str(text) if cut is not None else [(text, None)]
-        return b"".join(self._word(word) for word, _ in words if word)
-
-    def _piece(self, piece: bytes) -> bytes:
-        if piece.isascii():
-            words = _ASCII_WORDS.findall(piece.decode("ascii").lower())
-            found = b"".join(self._word(w.translate(self.alphabet)) for w in words)
-        else:
-            found = self._plain(piece.decode("utf-8"))
-        if len(piece) <= LONGEST:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = found
+        if self.rules.pre_tokenizer is None:
+            return [text]
+        # The rules write words in the byte alphabet.
+        found = self.rules.pre_tokenizer.pre_tokenize_str(text)
+        return [bytes(map(self.byte_of.__getitem__, word)).decode("utf-8") for word, _ in found if word]
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.find(piece)
+        if found is None:
+            words = _WORDS.findall(piece.lower()) if _PLAIN.fullmatch(piece) else self._cut(piece)
+            found = self.all_ids(words)
+            self.pieces.put(piece, found)
         return found
 
-    def _segment(self, text: bytes) -> bytes:
+    def plain_words(self, text: str) -> list[str] | None:
+        """The words of a text that can be cut as a whole, else None."""
+        if not self.by_piece or not _PLAIN.fullmatch(text) or ("<|" in text and self.specials.search(text.encode())):
+            return None
+        return _WORDS.findall(text.lower())
+
+    def _segment(self, text: str) -> bytes:
+        if not text:
+            return b""
         if not self.by_piece:
-            return self._plain(text.decode("utf-8")) if text else b""
-        get, new = self.pieces.get, self._piece
-        return b"".join([new(p) if (f := get(p)) is None else f for p in text.split()])
+            return self.all_ids(self._cut(text))
+        if _PLAIN.fullmatch(text):
+            return self.all_ids(_WORDS.findall(text.lower()))
+        get, new = self.pieces.young.get, self._piece
+        return b"".join([new(p) if (f := get(p)) is None else f for p in _ASCII_SPACE.split(text) if p])
 
     def encode(self, text: bytes | None) -> bytes:
         """The IDs of a text in UTF-8, as little-endian unsigned 32-bit integers; null has none."""
         if not text:
             return b""
         if self.specials is None or not self.specials.search(text):
-            return self._segment(text)
+            return self._segment(text.decode("utf-8"))
         parts = self.specials.split(text)
         return b"".join(
-            np.array([self.added[p]], "<u4").tobytes() if at % 2 else self._segment(p) for at, p in enumerate(parts)
+            struct.pack("<I", self.added[p]) if at % 2 else self._segment(p.decode("utf-8")) for at, p in enumerate(parts)
         )
 
     def decode(self, ids: bytes | None) -> str:
         """The vocabulary strings of the IDs in a row; IDs outside the vocabulary are left out."""
         found = np.frombuffer(ids or b"", "<u4").tolist()
-        if not self.known.issuperset(found):
-            found = [i for i in found if i in self.known]
+        if found and max(found) >= len(self.strings):
+            found = [i for i in found if i < len(self.strings)]
         texts = map(self.strings.__getitem__, found)
+        if self.gaps:
+            texts = (t for t in texts if t is not None)
         if self.decoder is None:
             return " ".join(texts)
         if self.decoder == "ByteLevel":

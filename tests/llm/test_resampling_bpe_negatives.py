@@ -107,6 +107,8 @@ def strings():
     alphabet = "abcdefgh XYZ'sdtll0189.,!?-_\n\t\x0b\x1c\x00\x85  éÉßİıΣςσ́̈日本語한글ࠀ😀🇩🇪‍ﬁİǅ"
     made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     made += ["it's they'LL 'sI'd''s", "a<|endoftext|>b <|startoftext|><|endoftext|> <|endoftext|", "<|ENDOFTEXT|>"]
+    made += ["".join(chr(rng.randint(0x20, 0x24F)) for _ in range(40)) for _ in range(300)]
+    made += ["".join(chr(rng.choice([*range(0x370, 0x600), *range(0x2000, 0x2070), 97, 32])) for _ in range(30)) for _ in range(300)]
     made += ["", " ", "hello", "x" * 3000, "internationalisation " * 40, "ÅÅÅ Å Å", "٣४ ½ ⅷ ²"]
     return made
 
@@ -133,11 +135,12 @@ def test_merging_by_queue_equals_merging_by_scans():
         symbols = [model.vocab[c] for c in word[:-1]] + [model.vocab[word[-1] + model.ends]]
         ids = list(symbols)
         while True:
-            pairs = [(model.ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in model.ranks]
+            found = [(model.ranks.get(a * model.size + b), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+            pairs = [p for p in found if p[0] is not None]
             if not pairs:
                 break
-            _, i = min(pairs)
-            ids[i : i + 2] = [model.ranks[ids[i], ids[i + 1]][1]]
+            rank, i = min(pairs)
+            ids[i : i + 2] = [model.merged[rank]]
         assert model.merge(symbols) == ids
 
 
