@@ -1,9 +1,10 @@
 """Flat files of token IDs with 64-bit document offsets, and their reading back.
 
 One file pair per range partition of ``doc_id``: ``ids-00007.bin`` holds the IDs of its
-documents one after the other as unsigned integers; ``offsets-00007.bin`` holds, as
-unsigned 64-bit integers, the place of every document in the whole corpus and, last, the
-place after the last one. ``shards`` (Parquet) holds one row per pair with the bases.
+documents one after the other as unsigned integers of 16 bits, or 32 where the vocabulary
+needs them; ``offsets-00007.bin`` holds, as unsigned 64-bit integers, the place of every
+document in the whole corpus and, last, the place after the last one. ``shards`` (Parquet)
+holds one row per pair with the bases.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexiframe.llm.bpe import load
 from lexiframe.llm.keys import original, present
 from lexiframe.llm.tokens import WordEncoder, default_path
 
 END_ID = 2
-IDS_DTYPE = "<u2"  # the vocabulary has fewer than 65,536 entries
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -57,9 +58,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     it, over one row per file; a second step writes the offsets. A null text is empty and
     gets the end ID alone; a null ``doc_id`` sorts last; rows with equal ``doc_id`` are
     ordered by text; no rows give no files. The order in a file is a total one, so a task
-    repeated after a loss writes the same bytes.
+    repeated after a loss writes the same bytes. IDs take 2 bytes, or 4 where the
+    vocabulary or ``end_id`` is larger than 65,536; ``parts`` says how many.
     """
     path = tokenizer_path or default_path()
+    width = 2 if max(len(load(path).strings), end_id + 1) <= 2**16 else 4
     files, _ = _open(folder)
     files.create_dir(_open(folder)[1])
     spark = docs.sparkSession
@@ -82,7 +85,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
                 for found in encoder.encode_all(text.as_py() for text in batch.column(1)):
                     data = np.frombuffer(found + end, "<u4")
                     sizes.append(len(data))
-                    yield data.astype(IDS_DTYPE).tobytes()
+                    yield data.astype(f"<u{width}").tobytes()
 
         _write(files, _ids_name(root, shard), chunks())
         if not sizes:
@@ -93,6 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         yield pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([shard], pa.int32()),
+                "width": pa.array([width], pa.int32()),
                 "n_docs": pa.array([len(sizes)], pa.int64()),
                 "n_tokens": pa.array([total], pa.int64()),
                 "doc_ids": pa.array([keys.to_pylist()], pa.list_(pa.int64())),
@@ -102,7 +106,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
 
     parts = f"{folder}/parts"
     placed.mapInArrow(
-        encode, "shard int, n_docs long, n_tokens long, doc_ids array<long>, sizes array<long>"
+        encode, "shard int, width int, n_docs long, n_tokens long, doc_ids array<long>, sizes array<long>"
     ).write.parquet(parts)
     parts = spark.read.parquet(parts)
     # One row per file: this window stays small.
@@ -137,14 +141,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     One task per group of files; a file is mapped, not read into memory.
     """
-    parts = spark.read.parquet(f"{folder}/parts").select("shard", "n_docs", "n_tokens", "doc_ids")
+    parts = spark.read.parquet(f"{folder}/parts").select("shard", "width", "n_docs", "n_tokens", "doc_ids")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = _open(folder)
         for batch in batches:
             for row in batch.itertuples():
                 offsets = np.asarray(_read(files, _offsets_name(root, row.shard), "<u8", row.n_docs + 1))
-                ids = _read(files, _ids_name(root, row.shard), IDS_DTYPE, row.n_tokens)
+                ids = _read(files, _ids_name(root, row.shard), f"<u{row.width}", row.n_tokens)
                 local = (offsets - offsets[0]).astype(np.int64)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(local[:-1], local[1:])]
                 out = pd.DataFrame({"start": offsets[:-1].astype(np.int64), "n_tokens": np.diff(local), "ids_crc32": crc})

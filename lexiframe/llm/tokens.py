@@ -1,92 +1,64 @@
-"""Encoding with a public tokenizer, one distinct word at a time.
+"""Encoding of many texts with a public tokenizer, one distinct word at a time.
 
-The tokenizer drops white space and never joins across it, so a text's IDs are the
-IDs of its white-space separated pieces in a row; each worker encodes a piece once.
+Texts are cut into words as the tokenizer file says (``bpe.Bpe``); words met for the first
+time go to the tokenizer together, as one text. A worker keeps the IDs of recent words
+from task to task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import batched
 
 import numpy as np
-from tokenizers import Tokenizer
 
-CACHE_PIECES = 400_000
-# So many texts are split at a time; their new words go to the tokenizer as one text.
-GROUP = 64
-# How the tokenizer cuts a piece of lower-case ASCII into words (fixed value).
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+")
+from lexiframe.llm.bpe import Bpe, default_path, load
 
+__all__ = ["WordEncoder", "default_path"]
 
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+# So many texts are split at a time; their new words go to the tokenizer as one text.
+GROUP = 64
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str) -> Tokenizer:
-    """Loaded once a worker; the caches of pieces go with each task."""
-    return Tokenizer.from_file(path)
+def _places(ids: list[bytes | None]) -> list[int]:
+    """Where None stands."""
+    places, at = [], -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        places.append(at)
+    return places
 
 
-class WordEncoder(dict):
-    """Piece (bytes) -> its IDs as little-endian unsigned 32-bit integers."""
+class WordEncoder:
+    """Texts to IDs as little-endian unsigned 32-bit integers; any file ``bpe.Bpe`` takes."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = _tokenizer(path)
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            found = self.words[word] = np.array(ids, "<u4").tobytes()
-        return found
+        self.bpe: Bpe = load(path)
 
     def _learn(self, words: list[str]) -> None:
         """Encode words as one text; should the tokenizer cut any of them further, each is encoded when met."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        found = self.bpe.rules.encode(" ".join(words), add_special_tokens=False)
         ids, word = np.array(found.ids, "<u4"), np.array(found.word_ids)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         if len(starts) != len(words):
             return
         data, at = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-        self.words.update((w, data[a:b]) for w, a, b in zip(words, at[:-1], at[1:]))
-
-    def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "surrogatepass")
-        if "<|" in text:  # may hold a special token
-            value = self._encode(text)
-        elif text.isascii():
-            value = b"".join(map(self._encode, _ASCII_WORDS.findall(text.lower())))
-        elif len(text) > 1 and text[-1] in ",." and text[-2].isalpha():
-            value = self._encode(text[:-1]) + self._encode(text[-1])
-        else:
-            value = self._encode(text)
-        self[piece] = value
-        return value
+        for w, a, b in zip(words, at[:-1], at[1:]):
+            self.bpe.words.put(w, data[a:b])
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The IDs of each text; a null text has none."""
+        recent = self.bpe.words
         for group in batched(texts, GROUP):
-            if len(self) > CACHE_PIECES:
-                self.clear()
-            if len(self.words) > CACHE_PIECES:
-                self.words.clear()
-            split = [(text or "").encode("utf-8", "surrogatepass").split() for text in group]
-            new = [p for p in set().union(*split) if p not in self and b"<|" not in p]
-            words = set(_ASCII_WORDS.findall(b" ".join([p for p in new if p.isascii()]).decode("ascii").lower()))
-            for piece in new:
-                if not piece.isascii():
-                    text = piece.decode("utf-8", "surrogatepass")
-                    words.add(text[:-1] if text[-1] in ",." else text)
-            words = [w for w in words if w not in self.words and (w.isascii() or w.isalpha())]
-            if words:
-                self._learn(words)
-            for pieces in split:
-                yield b"".join(map(self.__getitem__, pieces))
+            cut = [self.bpe.plain_words(text or "") for text in group]
+            found = [None if words is None else list(map(recent.young.get, words)) for words in cut]
+            lacking = [(words, ids, _places(ids)) for words, ids in zip(cut, found) if ids is not None and None in ids]
+            new = {words[i] for words, _, places in lacking for i in places}
+            new = [w for w in new if recent.find(w) is None and len(w) <= recent.longest]
+            if new:
+                self._learn(new)
+            for words, ids, places in lacking:
+                for i in places:
+                    ids[i] = self.bpe.all_ids(words[i : i + 1])
+            for text, ids in zip(group, found):
+                yield self.bpe.encode(text.encode("utf-8", "surrogatepass")) if ids is None else b"".join(ids)
