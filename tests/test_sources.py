@@ -79,16 +79,16 @@ def test_lines_keep_ten_characters_paragraphs_do_not(spark, tmp_path):
 
 
 def test_no_document_is_an_error(spark, tmp_path):
-    with pytest.raises(ValueError, match="No valid text"):
+    with pytest.raises(ValueError, match="no document"):
         corpus.read_corpus(spark, write(tmp_path / "a.txt", "short\n\ntiny"))
 
 
 def test_csv(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'id,text\n1,"two\nlines, ""quoted"""\n2,\n3,NA\n4,007\n5,short\n')
     assert texts(corpus.read_corpus(spark, path, is_csv=True)) == ['two\nlines, "quoted"', "007", "short"]
-    with pytest.raises(ValueError, match="Available columns"):
+    with pytest.raises(ValueError, match="no column"):
         corpus.read_csv_texts(spark, path, "body")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no header"):
         corpus.read_csv_texts(spark, write(tmp_path / "empty.csv", ""))
 
 
