@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import EOS, PAD, UNK, last_token
+from lexiframe.operators.lookup import HEAD_BYTES, lookup
 from lexiframe.session import materialize
 
 # The vector of unknown words.
@@ -38,7 +39,7 @@ def unknown_vector(vectors: DataFrame, unk_init: str = "random") -> list[float]:
         means = vectors.select(F.posexplode("vec").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("v"))
         # One number per dimension.
         return [r["v"] for r in means.orderBy("d").collect()]
-    raise ValueError(f"Unknown unk_init method: {unk_init}")
+    raise ValueError(f"unk_init is one of {UNK_INITS}, not {unk_init!r}")
 
 
 def _vector(values: list[float]) -> Column:
@@ -60,7 +61,7 @@ def align_embeddings(
     """
     width = dimension(vectors)
     if dim is not None and dim != width:
-        raise ValueError(f"Expected embedding dimension {dim}, got {width}")
+        raise ValueError(f"vectors have {width} components, not {dim}")
     unknown = _vector(unknown_vector(vectors, unk_init))
     joined = vocab.select("id", "token").join(vectors.select("token", "vec"), "token", "left")
     vec = F.coalesce(F.col("vec"), unknown)
@@ -81,7 +82,7 @@ def embedding_size_check(embeddings: DataFrame, vocab: DataFrame) -> None:
     """An error unless there is exactly one vector per vocabulary ID."""
     n_vec, n_ids = embeddings.count(), vocab.count()
     if n_vec != n_ids or not vocab.join(embeddings, "id", "left_anti").isEmpty():
-        raise ValueError(f"Embedding matrix size {n_vec} doesn't match vocabulary size {n_ids}")
+        raise ValueError(f"{n_vec} vectors for the {n_ids} IDs of the vocabulary")
 
 
 def nearest_similarities(embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, block: int = SIMILARITY_BLOCK) -> DataFrame:
@@ -121,15 +122,21 @@ def nearest_similarities(embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, bloc
 
 
 def last_token_similarity(
-    rows: DataFrame, embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, ctx: str = "ctx", name: str = "last_token_sims"
+    rows: DataFrame,
+    embeddings: DataFrame,
+    top_k: int = TOP_K_SIMILAR,
+    ctx: str = "ctx",
+    name: str = "last_token_sims",
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """Add the similarities of the last token of the context; zeros when there is none.
 
-    Computed once per vocabulary entry, then joined.
+    Computed once per vocabulary entry, then looked up; rows that end in a frequent token do not move.
     """
     table = materialize(nearest_similarities(embeddings, top_k), "similarities")
     zeros = F.array_repeat(F.lit(0.0), top_k)
-    joined = rows.withColumn("_last", last_token(F.col(ctx))).join(
-        table.select(F.col("id").alias("_last"), F.col("sims").alias("_sims")), "_last", "left"
-    )
+    asked = rows.withColumn("_last", last_token(F.col(ctx)))
+    # The ID is the rank of a token by frequency.
+    entries = table.select(F.col("id").alias("_last"), F.col("sims").alias("_sims"), F.col("id").alias("_rank"))
+    joined = lookup(asked, entries, "_last", "_rank", head_bytes)
     return joined.select(*rows.columns, F.coalesce("_sims", zeros).alias(name))

@@ -3,7 +3,8 @@
 Both directions explode a row, look every element up by an equi-join with the
 vocabulary and gather the row again. The input is partitioned by its key first,
 while it is still text; explode and broadcast join keep that partitioning, so that
-gathering needs no second shuffle and the exploded tokens never travel.
+gathering needs no second shuffle. Of a vocabulary too large to broadcast its most
+frequent words are, and only elements they do not answer travel (``lookup``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import SPECIAL_TOKENS, UNK, truncate_ids, wrap_bos_eos
 from lexiframe.functions.text import tokenize
+from lexiframe.operators.lookup import HEAD_BYTES, look_up_elements
 from lexiframe.session import partition_by
 
 
@@ -29,6 +31,7 @@ def encode(
     tokenizer: Callable[[Column], Column] | None = None,
     keep: Sequence[str] = (),
     ids: str = "ids",
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """``keys``, ``keep`` and the ``array<int>`` of token IDs; unknown words become UNK.
 
@@ -36,11 +39,8 @@ def encode(
     """
     words = tokenizer(F.col(text)) if tokenizer else tokenize(F.col(text), lowercase)
     tokens = partition_by(df, *keys).select(*keys, *keep, F.posexplode_outer(words).alias("_pos", "token"))
-    found = tokens.join(vocab.select("token", "id"), "token", "left")
-    element = F.struct(F.col("_pos"), F.coalesce("id", F.lit(UNK)).alias("id"))
-    placed = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), element)))
-    encoded = found.groupBy(*keys, *keep).agg(placed.alias("_placed"))
-    value = F.col("_placed.id")
+    encoded = look_up_elements(tokens, vocab, "token", "id", F.lit(UNK), keys, keep, head_bytes=head_bytes)
+    value = F.col("_found")
     if add_bos_eos:
         value = wrap_bos_eos(value)
     out = encoded.select(*keys, *keep, value.alias(ids))
@@ -57,18 +57,15 @@ def decode(
     skip_special: bool = True,
     keep: Sequence[str] = (),
     text: str = "text",
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """Token IDs back to text, joined by single blanks.
 
     An ID outside the vocabulary reads as UNK, so it vanishes with ``skip_special``.
     """
-    unknown = SPECIAL_TOKENS[UNK]
     elements = partition_by(df, *keys).select(*keys, *keep, F.posexplode_outer(ids).alias("_pos", "id"))
-    found = elements.join(vocab.select("id", "token"), "id", "left")
-    token = F.coalesce("token", F.lit(unknown))
-    wanted = F.col("_pos").isNotNull()
-    if skip_special:
-        wanted = wanted & ~token.isin(SPECIAL_TOKENS)
-    placed = F.sort_array(F.collect_list(F.when(wanted, F.struct(F.col("_pos"), token.alias("token")))))
-    decoded = found.groupBy(*keys, *keep).agg(placed.alias("_placed"))
-    return decoded.select(*keys, *keep, F.array_join(F.col("_placed.token"), " ").alias(text))
+    unknown = F.lit(SPECIAL_TOKENS[UNK])
+    decoded = look_up_elements(elements, vocab, "id", "token", unknown, keys, keep, head_bytes=head_bytes)
+    special = F.array(*map(F.lit, SPECIAL_TOKENS))
+    tokens = F.filter("_found", lambda t: ~F.array_contains(special, t)) if skip_special else F.col("_found")
+    return decoded.select(*keys, *keep, F.array_join(tokens, " ").alias(text))

@@ -2,8 +2,7 @@
 
 The text is read once, by ``count_vocab``; everything else works on the table of
 counts, which is as long as there are different words. No join here carries a
-broadcast hint: a vocabulary cut by ``top_k`` has a size Catalyst derives from the
-LIMIT and broadcasts by itself, a larger one is joined by shuffle.
+broadcast hint: a vocabulary is a stored table, whose size Catalyst knows.
 """
 
 from __future__ import annotations
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 from lexiframe.functions.hashing import hash_key
 from lexiframe.functions.ids import SPECIAL_TOKENS
 from lexiframe.functions.text import tokenize
-from lexiframe.operators.ranking import number_in_order, take_by_key, take_first
+from lexiframe.operators.ranking import SMALL_LIMIT, number_in_order, take_by_key, take_first
 from lexiframe.operators.summary import one_row
+from lexiframe.session import materialize
 
 # Defaults of the vocabulary step.
 MIN_FREQ = 5
@@ -27,9 +27,6 @@ OOV_SAMPLE_WORDS = 20
 OOV_CHECK_DOCS = 100
 HISTOGRAM_ROWS = 20
 
-# A vocabulary up to this size is numbered by one task.
-SMALL_VOCAB = 1_000_000
-
 
 def _frequency_order() -> list[Column]:
     return [F.desc("count"), F.asc("token")]
@@ -50,14 +47,43 @@ def count_vocab(
     return docs.select(F.explode(words).alias("token")).groupBy("token").count()
 
 
-def build_vocab(counts: DataFrame, min_freq: int = MIN_FREQ, top_k: int | None = TOP_K) -> DataFrame:
-    """Words seen at least ``min_freq`` times, the ``top_k`` most frequent, ties by word."""
+def _threshold(frequent: DataFrame, top_k: int):
+    """The frequency at which ``top_k`` words are reached, its number of words, and how many of them are due.
+
+    None when there are no more words than that. Reads the counts of counts: one row per
+    different frequency, see ``coverage_cutoff``.
+    """
+    hist = frequent.groupBy("count").agg(F.count(F.lit(1)).alias("types"))
+    upto = W.orderBy(F.desc("count")).rowsBetween(W.unboundedPreceding, 0)
+    cum = hist.select("count", "types", F.sum("types").over(upto).alias("cum"), F.sum("types").over(W.partitionBy()).alias("all"))
+    hit = cum.where((F.col("cum") >= top_k) & (F.col("all") > top_k)).orderBy(F.desc("count")).first()
+    return hit and (hit["count"], hit["types"], top_k - hit["cum"] + hit["types"])
+
+
+def _most_frequent(counts: DataFrame, min_freq: int, top_k: int | None) -> DataFrame:
+    """The words of a vocabulary, in no order: all above the threshold frequency, and the first of those at it."""
     frequent = counts.where(F.col("count") >= min_freq)
     if top_k is None:
-        return frequent.orderBy(*_frequency_order())
-    if top_k <= SMALL_VOCAB:
-        return frequent.orderBy(*_frequency_order()).limit(top_k)
-    return take_first(frequent, _frequency_order(), top_k)
+        return frequent
+    frequent = materialize(frequent, "frequent")
+    found = _threshold(frequent, top_k)
+    if found is None:
+        return frequent
+    cut, tied, due = found
+    ties = frequent.where(F.col("count") == cut)
+    if tied <= SMALL_LIMIT:
+        ties = ties.orderBy("token").limit(due)
+    else:
+        ties = number_in_order(ties, ["token"], "_place").where(F.col("_place") <= due).drop("_place")
+    return frequent.where(F.col("count") > cut).unionByName(ties)
+
+
+def build_vocab(counts: DataFrame, min_freq: int = MIN_FREQ, top_k: int | None = TOP_K) -> DataFrame:
+    """Words seen at least ``min_freq`` times, the ``top_k`` most frequent, ties by word.
+
+    Only the words at the frequency where ``top_k`` is reached are put in order to cut them.
+    """
+    return _most_frequent(counts, min_freq, top_k).orderBy(*_frequency_order())
 
 
 def special_rows(spark) -> DataFrame:
@@ -71,15 +97,14 @@ def special_rows(spark) -> DataFrame:
 def assign_ids(counts: DataFrame, min_freq: int = MIN_FREQ, top_k: int | None = TOP_K) -> DataFrame:
     """The vocabulary (id, token, count): special tokens first, then words by frequency from 4 on."""
     first = len(SPECIAL_TOKENS)
-    if top_k is not None and top_k <= SMALL_VOCAB:
-        words = build_vocab(counts, min_freq, top_k)
+    words = _most_frequent(counts, min_freq, top_k)
+    if top_k is not None and top_k <= SMALL_LIMIT:
         words = words.withColumn("_rank", F.row_number().over(W.orderBy(*_frequency_order())))
     else:
-        words = number_in_order(counts.where(F.col("count") >= min_freq), _frequency_order(), "_rank")
-        if top_k is not None:
-            words = words.where(F.col("_rank") <= top_k)
+        words = number_in_order(words, _frequency_order(), "_rank")
     words = words.select((F.col("_rank") + (first - 1)).cast("int").alias("id"), "token", "count")
-    return special_rows(counts.sparkSession).unionByName(words)
+    # Written, it has a known size and is not counted again by every reader.
+    return materialize(special_rows(counts.sparkSession).unionByName(words), "vocabulary")
 
 
 def _words(vocab: DataFrame) -> DataFrame:

@@ -14,12 +14,12 @@ def as_counts(spark, counter):
 
 def test_counts_and_order(docs):
     counts = {r.token: r["count"] for r in v.count_vocab(docs).collect()}
-    assert counts["the"] == 5 and counts["cat"] == 2
+    assert counts["one"] == 5 and counts["heron"] == 2
     kept = [(r.token, r["count"]) for r in v.build_vocab(v.count_vocab(docs), 2, None).collect()]
-    assert kept == [("the", 5), ("cat", 2), ("dog", 2), ("on", 2), ("sat", 2)]
+    assert kept == [("one", 5), ("frog", 2), ("heron", 2), ("slept", 2), ("under", 2)]
     top = v.assign_ids(v.count_vocab(docs), 2, 2).orderBy("id").collect()
     assert [(r.id, r.token) for r in top] == [
-        (0, "<PAD>"), (1, "<UNK>"), (2, "<BOS>"), (3, "<EOS>"), (4, "the"), (5, "cat"),
+        (0, "<PAD>"), (1, "<UNK>"), (2, "<BOS>"), (3, "<EOS>"), (4, "one"), (5, "frog"),
     ]
 
 
@@ -32,7 +32,7 @@ def test_unlimited_ids_equal_limited_ones(docs):
 
 def test_custom_tokenizer(docs):
     counts = v.count_vocab(docs, tokenizer=lambda t: F.array(F.substring(t, 1, 3)))
-    assert [tuple(r) for r in counts.collect()] == [("the", 3)]
+    assert [tuple(r) for r in counts.collect()] == [("one", 3)]
 
 
 def test_pandas_udf_as_tokenizer(spark, docs):
@@ -50,10 +50,10 @@ def test_oov(spark, docs):
     row = v.oov_stats(counts, vocab).first()
     assert (row.total_tokens, row.oov_tokens, row.oov_types) == (18, 5, 5)
     assert row.oov_rate == pytest.approx(500 / 18)
-    assert [r.token for r in v.sample_oov_words(counts, vocab, 2).collect()] == ["and", "are"]
+    assert [r.token for r in v.sample_oov_words(counts, vocab, 2).collect()] == ["and", "log"]
     empty = v.oov_stats(counts.where("false"), vocab).first()
     assert tuple(empty) == (0, 0, 0.0, 0)
-    assert {r.token for r in v.in_vocab(counts, vocab).collect()} == {"the", "cat", "dog", "on", "sat"}
+    assert {r.token for r in v.in_vocab(counts, vocab).collect()} == {"one", "frog", "heron", "slept", "under"}
 
 
 def test_sampled_docs(spark):
@@ -127,3 +127,26 @@ def test_stats_follow_case_and_tokenizer(spark, tmp_path):
     assert (stats.vocab_size, stats.total_tokens, stats.oov_tokens) == (4, 4, 0) and own.count() == 8
     rows = jobs.make_dataset(docs, str(tmp_path / "own"), str(tmp_path / "data"), 2, shuffle=False, tokenizer=spaces)
     assert rows.where("y = 1").isEmpty()
+
+
+@pytest.mark.parametrize("top_k", [1, 7, 30, 59, 60, 61, 500])
+@pytest.mark.parametrize("small", [10_000, 3])
+def test_threshold_equals_a_full_sort(spark, monkeypatch, top_k, small):
+    """Most words tie; the cut falls inside, at the end and beyond the ties."""
+    monkeypatch.setattr(v, "SMALL_LIMIT", small)
+    rng = random.Random(top_k)
+    counter = {f"w{i:02}": rng.choice([1, 2, 2, 2, 3, 9]) for i in range(70)}
+    counter = {w: c for w, c in counter.items() if c > 1} | {"rare": 1}
+    expected = sorted(((w, c) for w, c in counter.items() if c >= 2), key=lambda x: (-x[1], x[0]))[:top_k]
+    counts = as_counts(spark, counter)
+    assert [tuple(r) for r in v.build_vocab(counts, 2, top_k).collect()] == expected
+    ids = v.assign_ids(counts, 2, top_k).where("id >= 4").orderBy("id").collect()
+    assert [(r.id, r.token, r["count"]) for r in ids] == [(i, *e) for i, e in enumerate(expected, 4)]
+
+
+def test_no_task_gets_the_first_rows_of_all_others(spark):
+    """A limit of 20,000 is no top-n of 20,000 rows per partition."""
+    counts = spark.range(60_000).selectExpr("concat('w', id) AS token", "if(id < 100, 9, 2) AS count")
+    plan = v.build_vocab(counts, 2, 20_000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    assert v.build_vocab(counts, 2, 20_000).count() == 20_000
