@@ -7,11 +7,22 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.functions.hashing import unit_draw
 from lexiframe.functions.ids import BOS, EOS, left_pad_context
 from lexiframe.operators.encoding import decode, encode
-from lexiframe.operators.next_token import NextTokenModel, predict_proba
-from lexiframe.operators.sampling import METHODS, TEMPERATURE, TOP_K, TOP_P, sample_tokens, samples_per_prompt
-from lexiframe.session import materialize
+from lexiframe.operators.next_token import NextTokenModel, predict_proba, with_known_context
+from lexiframe.operators.sampling import (
+    METHODS,
+    TEMPERATURE,
+    TOP_K,
+    TOP_P,
+    cumulative_arrays,
+    pick_from_arrays,
+    restricted,
+    sample_tokens,
+    samples_per_prompt,
+)
+from lexiframe.session import discard, materialize
 
 # Fixed value: default length of a generated text.
 MAX_NEW_TOKENS = 50
@@ -20,9 +31,45 @@ MAX_NEW_TOKENS = 50
 Scorer = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
-def model_scorer(model: NextTokenModel) -> Scorer:
+# From rows with a context, the number of the step and the keys to (keys..., token_id).
+Picker = Callable[[DataFrame, int, Sequence[str]], DataFrame]
+
+
+class ModelScorer:
+    """Scores by a table of next-token probabilities.
+
+    For drawing, the probabilities of each context are tempered, cut and summed up once, so a step
+    joins a prompt with one row and searches in its array.
+    """
+
+    def __init__(self, model: NextTokenModel):
+        self.model = model
+
+    def __call__(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return predict_proba(rows, self.model, keys)
+
+    def picker(self, sampling: str, top_k: int, top_p: float, temperature: float, seed: int) -> Picker:
+        if sampling == "greedy":
+            best = self.model.heads.select(F.col("ctx").alias("known"), F.col("best").alias("token_id"))
+        else:
+            kept = restricted(self.model.table, sampling, top_k, top_p, temperature, ("ctx",))
+            arrays = cumulative_arrays(kept, ("ctx",)).withColumnRenamed("ctx", "known")
+            arrays = materialize(arrays, "draws")
+
+        def pick(rows: DataFrame, step: int, keys: Sequence[str]) -> DataFrame:
+            known = with_known_context(rows.select(*keys, "ctx"), self.model)
+            if sampling == "greedy":
+                return known.join(best, "known").select(*keys, "token_id")
+            u = unit_draw(seed, *keys, F.lit(step), F.lit(0))
+            found = known.join(arrays, "known").withColumn("_u", u)
+            return found.select(*keys, pick_from_arrays(F.col("ids"), F.col("cum"), F.col("_u")).alias("token_id"))
+
+        return pick
+
+
+def model_scorer(model: NextTokenModel) -> ModelScorer:
     """Scores by a table of next-token probabilities."""
-    return lambda rows, keys: predict_proba(rows, model, keys)
+    return ModelScorer(model)
 
 
 def continue_ids(
@@ -41,19 +88,27 @@ def continue_ids(
     """Append up to ``max_new_tokens`` IDs to ``ids``; the new ones are also in ``new_ids``.
 
     Each step is written to the shared folder, so lineage stays one step long and
-    finished rows are not scored again.
+    finished rows are not scored again; the copy of the step before is deleted.
     """
     if sampling not in METHODS:
-        raise ValueError(f"Unknown sampling method: {sampling}")
+        raise ValueError(f"sampling is one of {METHODS}, not {sampling!r}")
+    pick = scorer.picker(sampling, top_k, top_p, temperature, seed) if isinstance(scorer, ModelScorer) else None
     none = F.array().cast("array<int>")
     state = rows.select(*keys, "ids", none.alias("new_ids"), F.lit(False).alias("done"))
+    former = None
     for step in range(max_new_tokens):
         state = materialize(state, "generated")
+        if former is not None:
+            discard(former)
+        former = state
         active = state.where(~F.col("done"))
         if step > 0 and active.isEmpty():
             break
-        scored = scorer(active.withColumn("ctx", left_pad_context(F.col("ids"), context_length)), keys)
-        picked = sample_tokens(scored, sampling, top_k, top_p, temperature, seed, step, keys)
+        asked = active.withColumn("ctx", left_pad_context(F.col("ids"), context_length))
+        if pick:
+            picked = pick(asked, step, keys)
+        else:
+            picked = sample_tokens(scorer(asked, keys), sampling, top_k, top_p, temperature, seed, step, keys)
         picked = picked.select(*keys, F.col("token_id").cast("int").alias("_next"))
         added = F.when(F.col("_next").isNotNull(), F.array("_next")).otherwise(none)
         ended = F.coalesce(F.col("_next") == EOS, F.lit(False)) & F.lit(stop_at_eos)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,6 +91,23 @@ def draw(
     return rows.groupBy(*ctx, name).agg(F.coalesce(hit, F.max("token_id")).alias("token_id"))
 
 
+def restricted(
+    scored: DataFrame,
+    method: str,
+    top_k: int = TOP_K,
+    top_p: float = TOP_P,
+    temperature: float = TEMPERATURE,
+    ctx: Sequence[str] = ("ctx_id",),
+) -> DataFrame:
+    """The tokens a sampling method draws from, with their probabilities."""
+    if method not in METHODS or method == "greedy":
+        raise ValueError(f"one of {METHODS[1:]} draws, not {method!r}")
+    tempered = apply_temperature(scored, temperature, ctx)
+    if method == "top_k":
+        return filter_top_k(tempered, top_k, ctx)
+    return filter_top_p(tempered, top_p, ctx) if method == "top_p" else tempered
+
+
 def sample_tokens(
     scored: DataFrame,
     method: str = "greedy",
@@ -104,17 +121,42 @@ def sample_tokens(
     """One token per context by the named rule."""
     if method == "greedy":
         return pick_greedy(scored, ctx).select(*ctx, "token_id")
-    if method == "top_k":
-        kept = filter_top_k(apply_temperature(scored, temperature, ctx), top_k, ctx)
-    elif method == "top_p":
-        kept = filter_top_p(apply_temperature(scored, temperature, ctx), top_p, ctx)
-    elif method == "temperature":
-        kept = apply_temperature(scored, temperature, ctx)
-    else:
-        raise ValueError(f"Unknown sampling method: {method}")
+    kept = restricted(scored, method, top_k, top_p, temperature, ctx)
     return draw(kept, seed, step, 1, ctx).select(*ctx, "token_id")
 
 
+def cumulative_arrays(scored: DataFrame, ctx: Sequence[str] = ("ctx_id",)) -> DataFrame:
+    """(ctx..., ids, cum): per context its tokens by ID, and their running shares of the sum.
+
+    One row per context, no longer than the vocabulary.
+    """
+    upto = W.partitionBy(*ctx).orderBy("token_id").rowsBetween(W.unboundedPreceding, 0)
+    share = F.sum("p").over(upto) / F.sum("p").over(W.partitionBy(*ctx))
+    steps = scored.select(*ctx, F.struct(F.col("token_id").alias("id"), share.alias("cum")).alias("_step"))
+    placed = steps.groupBy(*ctx).agg(F.sort_array(F.collect_list("_step")).alias("_steps"))
+    return placed.select(*ctx, F.col("_steps.id").alias("ids"), F.col("_steps.cum").alias("cum"))
+
+
+def pick_from_arrays(ids: Column, cum: Column, u: Column) -> Column:
+    """The first token whose running share exceeds ``u``, by binary search; the last one where rounding leaves none."""
+    n = F.size(ids)
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))
+    whole = F.struct(F.lit(0).alias("low"), n.alias("high"))
+
+    def halve(span: Column, _: Column) -> Column:
+        low, high = span["low"], span["high"]
+        middle = F.shiftright(low + high, 1)
+        right = F.get(cum, middle) <= u
+        return F.when(low >= high, span).otherwise(
+            F.struct(
+                F.when(right, middle + 1).otherwise(low).alias("low"), F.when(right, high).otherwise(middle).alias("high")
+            )
+        )
+
+    place = F.aggregate(halvings, whole, halve)["low"]
+    return F.when(n > 0, F.get(ids, F.least(place, n - 1)))
+
+
 def samples_per_prompt(prompts: DataFrame, num_samples: int = 1) -> DataFrame:
     """Every prompt ``num_samples`` times, with ``sample_idx``."""
     return prompts.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))

@@ -89,7 +89,7 @@ SELECT count(text) AS n_docs, round_even(avg(length(text)), 0) AS avg_chars,
 ORACLES["write_read_vocab"] = ctes() + "SELECT id, token, count FROM vocab"
 
 ORACLES["write_read_tokenizer"] = (
-    ctes(1000) + "SELECT id, token, 0 AS pad_id, 1 AS unk_id, 2 AS bos_id, 3 AS eos_id, true AS lowercase FROM vocab"
+    ctes() + "SELECT id, token, 0 AS pad_id, 1 AS unk_id, 2 AS bos_id, 3 AS eos_id, true AS lowercase FROM vocab"
 )
 
 SPLIT = f"""
@@ -195,8 +195,13 @@ SELECT token, count(*) AS count FROM t WHERE token <> '' GROUP BY token"""
 ORACLES["build_vocab"] = ctes() + "SELECT token, count FROM kept"
 ORACLES["assign_ids"] = ctes() + "SELECT id, token, count FROM vocab"
 ORACLES["assign_ids_unlimited"] = ctes(None, min_freq=1) + "SELECT id, token, count FROM vocab"
-ORACLES["in_vocab"] = ctes() + "SELECT token, count FROM counts SEMI JOIN kept USING (token)"
-ORACLES["not_in_vocab"] = ctes() + "SELECT token, count FROM counts ANTI JOIN kept USING (token)"
+COUNTS = f"""
+WITH toks AS (SELECT {words()} AS w FROM documents),
+counts AS MATERIALIZED (SELECT token, count(*) AS count FROM (SELECT unnest(w) AS token FROM toks) GROUP BY token),
+kept AS MATERIALIZED (SELECT token, count FROM counts WHERE count >= 5 ORDER BY count DESC, token LIMIT 5000)
+"""
+ORACLES["in_vocab"] = COUNTS + "SELECT token, count FROM kept"
+ORACLES["not_in_vocab"] = COUNTS + "SELECT c.token, c.count FROM counts c LEFT JOIN kept k USING (token) WHERE k.token IS NULL"
 ORACLES["oov_stats"] = f"""{ctes()}, o AS ({oov("counts")})
 SELECT total_tokens, oov_tokens, round(oov_tokens / total_tokens * 100, 6) AS oov_rate, oov_types FROM o"""
 ORACLES["sample_oov_words"] = (
@@ -312,17 +317,11 @@ ORACLES["type_token_ratio_feature"] = ctes() + per_doc(
     "wins", f"CASE WHEN len({REAL}) > 0 THEN len(list_distinct({REAL})) / len({REAL}) ELSE 0.0 END"
 )
 
-ENGLISH = f"""
-, en_tokens AS (SELECT unnest({words()}) AS token FROM documents WHERE lang = 'en'),
-en_counts AS (SELECT token, count(*) AS count FROM en_tokens GROUP BY token HAVING count(*) >= 5),
-en_vocab AS (SELECT token, row_number() OVER (ORDER BY count DESC, token) + 3 AS id FROM en_counts),
-en_all AS (
-  SELECT * FROM (VALUES ('<PAD>', 0), ('<UNK>', 1), ('<BOS>', 2), ('<EOS>', 3)) AS s(token, id)
-  UNION ALL SELECT token, id FROM en_vocab WHERE id <= 5003),
-vecs AS (SELECT token, embedding AS vec FROM en_all JOIN embeddings ON vec_id = id)
+VECTORS = """
+, vecs AS (SELECT token, embedding AS vec FROM vocab JOIN embeddings ON vec_id = id)
 """
 
-ORACLES["align_embeddings"] = f"""{ctes(1000)}{ENGLISH},
+ORACLES["align_embeddings"] = f"""{ctes()}{VECTORS},
 dims AS (SELECT unnest(vec) AS v, generate_subscripts(vec, 1) AS d FROM vecs),
 means AS (SELECT d, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM dims GROUP BY d),
 shared AS (SELECT list(m ORDER BY d) AS vec FROM means),
@@ -333,7 +332,7 @@ aligned AS (
   FROM vocab v LEFT JOIN vecs w USING (token))
 SELECT id, token, found, round({WEIGHTED.format(d=DIM, v="vec")}, 3) AS weighted FROM aligned"""
 
-ORACLES["embedding_coverage"] = f"""{ctes(1000)}{ENGLISH}
+ORACLES["embedding_coverage"] = f"""{ctes()}{VECTORS}
 SELECT count(*) AS vocab_size, count(w.token) AS n_found, round(count(w.token) / count(*) * 100, 6) AS coverage
 FROM vocab v LEFT JOIN vecs w USING (token)"""
 
@@ -441,19 +440,22 @@ SELECT item_id AS prompt_id, md5(text) AS prompt_md5, CAST(unnest(range(3)) AS I
 
 
 
+# A context of the last two tokens, of the last one, and the empty one, as text.
+SUFFIXES = "[ctx[1] || ' ' || ctx[2], ctx[2] || '', '']"
+
+
 def predicted(learnt: str) -> str:
-    """Prediction and loss of all windows by the rows ``learnt``; -1 stands for the empty context."""
+    """Prediction and loss of all windows by the rows ``learnt``, by the longest context these know."""
     clip = "least(greatest({0}, 1e-15::DOUBLE), 1.0::DOUBLE - 1e-15::DOUBLE)"
     return f"""
-, learnt AS MATERIALIZED (SELECT ctx[1] AS ctx_id, y AS token_id FROM {learnt}),
-seen_pairs AS (
-  SELECT ctx_id, token_id, count(*) AS n FROM learnt GROUP BY ALL
-  UNION ALL SELECT -1, token_id, count(*) FROM learnt GROUP BY token_id),
+, learnt AS MATERIALIZED (SELECT unnest({SUFFIXES}) AS ctx_id, y AS token_id FROM {learnt}),
+seen_pairs AS (SELECT ctx_id, token_id, count(*) AS n FROM learnt GROUP BY ALL),
 model AS MATERIALIZED (SELECT ctx_id, token_id, n / sum(n) OVER (PARTITION BY ctx_id) AS p FROM seen_pairs),
-sums AS (SELECT ctx_id, count(*) AS seen, sum({clip.format("p")}) AS mass FROM model GROUP BY ctx_id),
+sums AS MATERIALIZED (SELECT ctx_id, count(*) AS seen, sum({clip.format("p")}) AS mass FROM model GROUP BY ctx_id),
 firsts AS (SELECT ctx_id, token_id AS y_pred FROM model QUALIFY {BEST} = 1),
 asked AS (
-  SELECT doc_id, pos, y, CASE WHEN ctx[1] IN (SELECT ctx_id FROM sums) THEN ctx[1] ELSE -1 END AS ctx_id FROM wins),
+  SELECT doc_id, pos, y, coalesce(two.ctx_id, one.ctx_id, '') AS ctx_id
+  FROM (SELECT *, {SUFFIXES} AS s FROM wins) LEFT JOIN sums two ON two.ctx_id = s[1] LEFT JOIN sums one ON one.ctx_id = s[2]),
 losses AS (
   SELECT a.doc_id, a.pos, a.y, f.y_pred, CASE WHEN a.y = f.y_pred THEN 1.0 ELSE 0.0 END AS hit,
     -ln({clip.format("coalesce(m.p, 0)")} / (s.mass + ((SELECT count(*) FROM vocab) - s.seen) * 1e-15::DOUBLE)) AS loss
@@ -462,14 +464,14 @@ losses AS (
 """
 
 
-PREDICTED = ctes(MODEL_TOP_K, 1) + predicted("wins")
+PREDICTED = ctes(MODEL_TOP_K, 2) + predicted("wins")
 ORACLES["argmax_class"] = f"""{PREDICTED}
 SELECT doc_id, CAST(y_pred AS INTEGER) AS y_pred, count(*) AS n_rows FROM losses GROUP BY ALL"""
 ORACLES["accuracy"] = PREDICTED + "SELECT round(avg(hit), 8) AS accuracy FROM losses"
 ORACLES["label_accuracy"] = "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM labels"
 ORACLES["multi_logloss"] = PREDICTED + "SELECT round(avg(loss), 8) AS logloss FROM losses"
 ORACLES["perplexity"] = PREDICTED + "SELECT round(exp(avg(loss)), 7) AS perplexity FROM losses"
-ORACLES["metrics_report"] = f"""{ctes(MODEL_TOP_K, 1)}{SPLIT}{predicted("split_rows WHERE split = 'train'")}
+ORACLES["metrics_report"] = f"""{ctes(MODEL_TOP_K, 2)}{SPLIT}{predicted("split_rows WHERE split = 'train'")}
 SELECT split, count(*) AS n_rows,
   round(avg(hit), 7) AS accuracy, round(avg(loss), 7) AS logloss, round(exp(avg(loss)), 7) AS perplexity
 FROM losses JOIN split_rows USING (doc_id, pos) GROUP BY split"""
@@ -543,22 +545,32 @@ prompt_ids AS (
 opened AS (SELECT b.item_id AS doc_id, list_concat([2], coalesce(ids, [])) AS ids FROM benchmark b LEFT JOIN prompt_ids USING (item_id))
 """
 
-# Step by step: the token whose share of [0, 1) holds the number drawn.
-ORACLES["generate_batch"] = f"""{TOP.replace("WITH toks", "WITH RECURSIVE toks")},
+# Step by step: the token whose share of [0, 1) holds the number drawn, after the longest known context.
+ORACLES["generate_batch"] = f"""{ctes(SCORED_TOP_K, 2).replace("WITH toks", "WITH RECURSIVE toks")},
+grams AS (SELECT unnest({SUFFIXES}) AS ctx_id, y AS token_id FROM wins),
+gram_counts AS MATERIALIZED (SELECT ctx_id, token_id, count(*) AS n FROM grams GROUP BY ALL),
+scored AS (SELECT ctx_id, token_id, n / sum(n) OVER (PARTITION BY ctx_id) AS p FROM gram_counts),
+best AS (SELECT * FROM scored QUALIFY {BEST} <= 10),
+top AS (SELECT ctx_id, token_id, p / sum(p) OVER (PARTITION BY ctx_id) AS p FROM best),
 ends AS (
   SELECT ctx_id, token_id, sum(p) OVER (PARTITION BY ctx_id ORDER BY token_id) / sum(p) OVER (PARTITION BY ctx_id) AS hi FROM top),
 ranges AS MATERIALIZED (
   SELECT ctx_id, token_id, hi, lag(hi, 1, 0.0) OVER w AS lo, lead(token_id) OVER w IS NULL AS final
   FROM ends WINDOW w AS (PARTITION BY ctx_id ORDER BY token_id)),
+contexts AS MATERIALIZED (SELECT DISTINCT ctx_id FROM ranges),
 {PROMPTS},
 said AS (
-  SELECT doc_id AS prompt_id, s.sample_idx, 0 AS step, ids[len(ids)] AS last FROM opened, (VALUES (0), (1)) AS s(sample_idx)
+  SELECT doc_id AS prompt_id, s.sample_idx, 0 AS step, ids[len(ids)] AS last, CASE WHEN len(ids) > 1 THEN ids[len(ids) - 1] ELSE 0 END AS prior
+  FROM opened, (VALUES (0), (1)) AS s(sample_idx)
   UNION ALL
-  SELECT g.prompt_id, g.sample_idx, g.step + 1, r.token_id
+  SELECT g.prompt_id, g.sample_idx, g.step + 1, r.token_id, g.last
   FROM (
-    SELECT *, CAST('0x' || substr(md5('{SEED}:' || prompt_id || ':' || sample_idx || ':' || step || ':0'), 1, 8) AS BIGINT)
-      / 4294967296.0::DOUBLE AS u FROM said WHERE step < 50 AND (step = 0 OR last <> 3)) g
-  JOIN ranges r ON r.ctx_id = g.last AND g.u >= r.lo AND (g.u < r.hi OR r.final)),
+    SELECT said.*, coalesce(two.ctx_id, one.ctx_id, '') AS ctx_id,
+      CAST('0x' || substr(md5('{SEED}:' || prompt_id || ':' || sample_idx || ':' || step || ':0'), 1, 8) AS BIGINT)
+      / 4294967296.0::DOUBLE AS u
+    FROM said LEFT JOIN contexts two ON two.ctx_id = prior || ' ' || last LEFT JOIN contexts one ON one.ctx_id = last || ''
+    WHERE step < 50 AND (step = 0 OR last <> 3)) g
+  JOIN ranges r ON r.ctx_id = g.ctx_id AND g.u >= r.lo AND (g.u < r.hi OR r.final)),
 spoken AS (
   SELECT doc_id AS prompt_id, s.sample_idx, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
   FROM opened, (VALUES (0), (1)) AS s(sample_idx)

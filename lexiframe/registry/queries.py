@@ -163,7 +163,7 @@ def write_read_vocab(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def write_read_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokenizer")
-    artifacts.write_tokenizer(materialize(vocab_of(spark, sf, 1000), "vocab"), path)
+    artifacts.write_tokenizer(vocab_of(spark, sf), path)
     vocab, options = artifacts.read_tokenizer(spark, path)
     settings = [F.lit(getattr(options, n)).alias(n) for n in ("pad_id", "unk_id", "bos_id", "eos_id", "lowercase")]
     return vocab.select("id", "token", *settings)
@@ -479,23 +479,21 @@ def type_token_ratio_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors for the words of the English documents: vector i for the word with ID i."""
-    english = table(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id", "text")
-    words = vocabulary.assign_ids(vocabulary.count_vocab(corpus.spread(english, "doc_id")), 5, 5000)
-    return words.join(vectors(spark, sf), "id").select("token", "vec")
+    """Vectors for the words of all documents: vector i for the word with ID i; IDs without a vector stay without."""
+    return vocab_of(spark, sf).join(vectors(spark, sf), "id").select("token", "vec")
 
 
 @query
 def align_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     vecs = materialize(_word_vectors(spark, sf), "vectors")
-    aligned = embeddings.align_embeddings(vocab_of(spark, sf, 1000), vecs, "mean", special_rules=True)
+    aligned = embeddings.align_embeddings(vocab_of(spark, sf), vecs, "mean", special_rules=True)
     return aligned.select("id", "token", "found", rounded(weighted(F.col("vec")), "weighted", 3))
 
 
 @query
 def embedding_coverage(spark: SparkSession, sf: str) -> DataFrame:
     vecs = materialize(_word_vectors(spark, sf), "vectors")
-    aligned = embeddings.align_embeddings(vocab_of(spark, sf, 1000), vecs, "zero", special_rules=False)
+    aligned = embeddings.align_embeddings(vocab_of(spark, sf), vecs, "zero", special_rules=False)
     return embeddings.embedding_coverage(aligned).withColumn("coverage", F.round("coverage", 6))
 
 
@@ -618,22 +616,22 @@ def samples_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.samples_per_prompt(prompts, 3)
 
 
-def _last_token_rows(spark: SparkSession, sf: str, top_k: int = MODEL_TOP_K) -> tuple[DataFrame, DataFrame]:
-    """Rows with the last token as context, and the vocabulary."""
+def _model_rows(spark: SparkSession, sf: str, top_k: int = MODEL_TOP_K) -> tuple[DataFrame, DataFrame]:
+    """Rows with as many tokens of context as the model looks at, and the vocabulary."""
     vocab = materialize(vocab_of(spark, sf, top_k), "vocab")
     ids = materialize(encoding.encode(documents(spark, sf), vocab, add_bos_eos=True), "encoded")
-    return dataset.context_windows(ids, 1), vocab
+    return dataset.context_windows(ids, next_token.ORDER), vocab
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows with the most likely next token after the last one, and the loss."""
-    rows, vocab = _last_token_rows(spark, sf)
-    return next_token.score_targets(rows, next_token.fit_next_token_model(rows, 1), vocab.count())
+    """Rows with the most likely next token after the last two, or fewer where these are unknown, and the loss."""
+    rows, vocab = _model_rows(spark, sf)
+    return next_token.score_targets(rows, next_token.fit_next_token_model(rows), vocab.count())
 
 
 def _whole_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows, vocab = _last_token_rows(spark, sf)
-    return next_token.model_report(rows, next_token.fit_next_token_model(rows, 1), vocab.count(), ())
+    rows, vocab = _model_rows(spark, sf)
+    return next_token.model_report(rows, next_token.fit_next_token_model(rows), vocab.count(), ())
 
 
 @query
@@ -664,10 +662,10 @@ def perplexity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The model knows the training rows only; unseen contexts back off to the empty one."""
-    rows, vocab = _last_token_rows(spark, sf)
+    """The model knows the training rows only; unseen contexts back off to shorter ones."""
+    rows, vocab = _model_rows(spark, sf)
     rows = materialize(splitting.train_val_split(rows, 0.1, SEED), "split")
-    model = next_token.fit_next_token_model(rows.where(F.col("split") == "train"), 1)
+    model = next_token.fit_next_token_model(rows.where(F.col("split") == "train"))
     report = next_token.model_report(rows, model, vocab.count())
     return report.select(
         "split", "n_rows", *[F.round(c, 7).alias(c) for c in ("accuracy", "logloss", "perplexity")]
@@ -743,10 +741,10 @@ def fit_next_token_model(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def generate_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Two samples per prompt, up to the default length or EOS."""
-    rows, vocab = _last_token_rows(spark, sf, SCORED_TOP_K)
-    scorer = generation.model_scorer(next_token.fit_next_token_model(rows, 1))
+    rows, vocab = _model_rows(spark, sf, SCORED_TOP_K)
+    scorer = generation.model_scorer(next_token.fit_next_token_model(rows))
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    texts = generation.generate_batch(prompts, vocab, scorer, 1, num_samples=2, sampling="top_k", seed=SEED)
+    texts = generation.generate_batch(prompts, vocab, scorer, next_token.ORDER, num_samples=2, sampling="top_k", seed=SEED)
     return texts.select("prompt_id", "sample_idx", "generated")
 
 

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where the copies of ``materialize`` lie, and those made inside each open ``copies_of`` of a thread.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_open = threading.local()
+
 
 def build_session(app: str = "lexiframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tested with."""
@@ -49,11 +58,47 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The copy survives lost executors, is column-pruned by later readers and has a
-    known file size, so Catalyst can decide by size whether to broadcast it.
+    known file size, so Catalyst can decide by size whether to broadcast it. It stays until
+    ``discard`` or the end of an enclosing ``copies_of``.
     """
     path = new_path(df.sparkSession, name)
+    for made in getattr(_open, "scopes", ()):
+        made.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[stored] = path
+    return stored
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(conf).delete(path, True)
+    # Shuffle files go with the plans that made them.
+    gc.collect()
+    jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete copies made by ``materialize``; nothing may read them any more. Other tables are left alone."""
+    paths = [path for path in (_paths.pop(t, None) for t in tables) if path]
+    if paths:
+        _delete(tables[0].sparkSession, paths)
+
+
+@contextlib.contextmanager
+def copies_of(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete all copies made inside when the block ends, but for the tables put into the list it gives."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    made, kept = [], []
+    scopes.append(made)
+    try:
+        yield kept
+    finally:
+        scopes.pop()
+        stay = {_paths.get(t) for t in kept}
+        _delete(spark, [path for path in made if path not in stay])
 
 
 def partition_by(df: DataFrame, *keys: str) -> DataFrame:

@@ -20,5 +20,5 @@ def test_words_after_rank_500_are_scored(spark):
 
 def test_query_settings_reach_generation(spark):
     """Generation starts from words after rank 500 too, which were UNK with 500."""
-    _, vocab = queries._last_token_rows(spark, SF, queries.SCORED_TOP_K)
+    _, vocab = queries._model_rows(spark, SF, queries.SCORED_TOP_K)
     assert vocab.count() == queries.vocab_of(spark, SF, 5000).count()
