@@ -88,17 +88,33 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def copies_of(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Delete all copies made inside when the block ends, but for the tables put into the list it gives."""
+def recorded_copies() -> Iterator[list[str]]:
+    """The paths of all copies this thread makes inside the block."""
     scopes = _open.__dict__.setdefault("scopes", [])
-    made, kept = [], []
+    made: list[str] = []
     scopes.append(made)
     try:
-        yield kept
+        yield made
     finally:
         scopes.pop()
-        stay = {_paths.get(t) for t in kept}
-        _delete(spark, [path for path in made if path not in stay])
+
+
+def delete_copies(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded copies; those gone already do no harm."""
+    if paths:
+        _delete(spark, paths)
+
+
+@contextlib.contextmanager
+def copies_of(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete all copies made inside when the block ends, but for the tables put into the list it gives."""
+    kept: list[DataFrame] = []
+    with recorded_copies() as made:
+        try:
+            yield kept
+        finally:
+            stay = {_paths.get(t) for t in kept}
+            delete_copies(spark, [path for path in made if path not in stay])
 
 
 def partition_by(df: DataFrame, *keys: str) -> DataFrame:
