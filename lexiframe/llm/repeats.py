@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.keys import original, present
 from lexiframe.llm.words import BASES, Powers, Rolling, WordHashes, covered, mix, signed
-from lexiframe.session import materialize
+from lexiframe.session import discard, materialize
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 12
@@ -99,6 +99,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
         .select("doc_id", "__text", "anchor", "start", "n", (first_of > F.col("_first")).alias("whole")),
         "marked",
     )
+    discard(found, stretches)
     # A later document with the same stretch repeats all of its windows.
     whole = marked.where("whole").select("doc_id", "__text", "start", "n")
     # In the first document of a stretch the match with other stretches is extended window by window.
@@ -135,7 +136,10 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
         .where(first_of > F.col("_first"))
         .select("doc_id", "__text", "start", F.lit(1).alias("n"))
     )
-    return whole.union(parts)
+    # Short rows in place of the tables they come from.
+    repeats = materialize(whole.union(parts), "repeats")
+    discard(marked, windows)
+    return repeats
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
