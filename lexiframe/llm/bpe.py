@@ -15,7 +15,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 # A generation of a worker's caches holds at most so many words or pieces, none longer than LONGEST.
-CACHE_WORDS, CACHE_PIECES, LONGEST = 400_000, 100_000, 64
+CACHE_WORDS, CACHE_PIECES, LONGEST = 300_000, 50_000, 64
 # Rows and bytes of text after which a result batch is handed on.
 BATCH_ROWS, BATCH_BYTES = 1024, 8_000_000
 
@@ -123,13 +123,18 @@ class Bpe:
         for text, i in [*self.vocab.items(), *((t.decode(), i) for t, i in self.added.items())]:
             self.strings[i] = text
         self.gaps = None in self.strings
-        self.rules = Tokenizer.from_file(path)
+        self.path = path
         self.by_piece = all(spec[k] == v for k, v in BY_PIECE.items())
         self.decoder = (spec["decoder"] or {"type": None})["type"]
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.byte_of = {c: b for b, c in self.alphabet.items()}
         self.words, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_PIECES)
 
+    @cached_property
+    def rules(self) -> Tokenizer:
+        """The library's tokenizer, for its rules of cutting; a worker that only decodes has none."""
+        return Tokenizer.from_file(self.path)
+
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols left after all merges, lowest rank first, leftmost first among equals.
 
