@@ -24,7 +24,7 @@ SIMILARITY_BLOCK = 4096
 def dimension(vectors: DataFrame, vec: str = "vec") -> int:
     first = vectors.select(F.size(vec).alias("d")).first()
     if first is None:
-        raise ValueError("no embeddings loaded")
+        raise ValueError("the table holds no vectors")
     return first["d"]
 
 

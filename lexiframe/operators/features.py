@@ -6,17 +6,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexiframe.functions.ids import PAD, context_length, type_token_ratio, unk_count
 from lexiframe.operators.dataset import ROW_KEYS, feature_names
 from lexiframe.operators.embeddings import TOP_K_SIMILAR, last_token_similarity
+from lexiframe.session import materialize
 
 # Fixed values of the features.
 EMPTY_MAX = -1e10
@@ -30,6 +33,8 @@ POOLS = ("mean", "max", "position")
 MATRIX_BYTES = 128 << 20
 # Contexts pooled at a time inside a task; bounds the gathered block.
 POOL_ROWS = 1024
+# IDs of a block of a larger table, and contexts that meet it in one group.
+POOL_BLOCK, POOL_GROUP = 4096, 50_000
 
 
 def with_context_stats(rows: DataFrame, ctx: str = "ctx") -> DataFrame:
@@ -113,47 +118,87 @@ def _pool_in_tasks(
     )
 
 
-def pool_by_join(
+def pool_by_blocks(
     rows: DataFrame,
     embeddings: DataFrame,
     kinds: Sequence[str] = POOLS,
     ctx: str = "ctx",
     keys: Sequence[str] = ROW_KEYS,
+    block: int = POOL_BLOCK,
+    group_rows: int = POOL_GROUP,
 ) -> DataFrame:
-    """The same pools by joining every context position with its vector.
+    """The same pools as a product of the sparse matrix of contexts with blocks of the embedding table.
 
-    For embedding tables too large to hand to every worker: the join is by shuffle then. Only
-    keys, places and IDs travel, PAD positions not at all; a row gathers no more than L vectors.
+    For tables too large to hand to every worker. A context sends each block of ``block`` IDs it
+    touches one row with the IDs and their places, and gets one partial sum back, not vectors.
+    A block that many rows ask for (that of the frequent words, or of UNK) is copied to as many
+    groups as keep each below some ``group_rows`` rows.
     """
     dim = embeddings.select(F.size("vec").alias("d")).first()["d"]
-    elements = rows.select(*keys, F.size(ctx).alias("_l"), F.posexplode(ctx).alias("_j", "_id")).where(F.col("_id") != PAD)
-    vectors = embeddings.where(F.col("id") != PAD).select(F.col("id").alias("_id"), F.col("vec").alias("_vec"))
-    weight = F.exp(F.col("_j") / F.col("_l")).alias("w")
-    found = F.struct("_j", weight, F.col("_vec").cast("array<double>").alias("v"))
-    gathered = elements.join(vectors, "_id").groupBy(*keys).agg(F.sort_array(F.collect_list(found)).alias("_found"))
-    none = F.array().cast("array<struct<_j:int,w:double,v:array<double>>>")
-    gathered = rows.join(gathered, list(keys), "left").withColumn("_found", F.coalesce("_found", none))
+    number = lambda x: F.floor(x / F.lit(block)).cast("long")
+    places = F.transform(ctx, lambda x, i: F.struct(i.alias("j"), x.cast("long").alias("id")))
+    places = F.filter(places, lambda e: (e["id"] != PAD) & (e["id"] >= 0))
+    asked = rows.select(*keys, F.size(ctx).alias("_l"), places.alias("_places"))
+    asked = asked.withColumn("_b", F.explode(F.array_distinct(F.transform("_places", lambda e: number(e["id"])))))
+    inside = F.filter("_places", lambda e: number(e["id"]) == F.col("_b"))
+    asked = asked.select(*keys, "_l", "_b", inside.alias("_in")).select(
+        *keys, "_l", "_b", F.col("_in.j").alias("_j"), F.col("_in.id").alias("_id")
+    )
+    # One row per block of IDs.
+    groups = asked.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("long").alias("_groups"))
+    groups = materialize(groups, "groups")
+    left = asked.join(groups, "_b").withColumn("_s", F.pmod(F.xxhash64(*keys), F.col("_groups"))).drop("_groups")
+    table = embeddings.where(F.col("id") != PAD).select(F.col("id").cast("long").alias("_id"), "vec", number(F.col("id")).alias("_b"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))
+    right = table.join(groups, "_b").select("_id", "vec", "_b", copies.alias("_s"))
+
+    made = left.select(*keys).schema
+    for part in StructType.fromDDL("_n long, _w double, _total array<double>, _weighted array<double>, _most array<double>"):
+        made = made.add(part)
+    names = list(keys)
+
+    def multiply(contexts: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if contexts.empty or vectors.empty:
+            return pd.DataFrame(columns=made.names)
+        order = np.argsort(vectors["_id"].to_numpy())
+        known, m = vectors["_id"].to_numpy()[order], np.stack(vectors["vec"].to_numpy()[order]).astype(np.float64)
+        sizes = contexts["_id"].map(len).to_numpy()
+        of = np.repeat(np.arange(len(contexts)), sizes)
+        ids, j = np.concatenate(contexts["_id"].to_numpy()), np.concatenate(contexts["_j"].to_numpy())
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        found = known[at] == ids
+        of, at, weight = of[found], at[found], np.exp(j[found] / contexts["_l"].to_numpy()[of[found]])
+        asking, starts = np.unique(of, return_index=True)
+        out = contexts[names].iloc[asking].reset_index(drop=True)
+        counts = np.diff(np.append(starts, len(of)))
+        out["_n"], out["_w"] = counts, np.add.reduceat(weight, starts) if len(of) else []
+        for name, wanted in (("_total", "mean"), ("_weighted", "position"), ("_most", "max")):
+            if wanted not in kinds or not len(of):
+                out[name] = None
+            elif wanted == "max":
+                out[name] = list(np.maximum.reduceat(m[at], starts))
+            else:
+                out[name] = list(np.add.reduceat(m[at] * (weight[:, None] if wanted == "position" else 1.0), starts))
+        return out
 
-    def fold(start: float, merge):
-        return F.aggregate("_found", F.array_repeat(F.lit(start), dim), merge)
+    partial = left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInPandas(multiply, made)
+    parts = F.collect_list(F.struct("_total", "_weighted", "_most")).alias("_parts")
+    gathered = partial.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), parts)
+    renamed = gathered.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_n", "_w", "_parts")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    both = rows.join(renamed, same, "left")
 
-    def over(total, divisor):
-        return F.transform(total, lambda x: F.when(divisor > 0, x / divisor).otherwise(F.lit(0.0)))
+    def fold(name: str, start: float, merge):
+        zero = F.array_repeat(F.lit(start), dim)
+        return F.aggregate("_parts", zero, lambda acc, e: F.zip_with(acc, e[name], merge))
 
+    nothing, lowest = F.array_repeat(F.lit(0.0), dim), F.array_repeat(F.lit(EMPTY_MAX), dim)
     pools = {
-        "mean": over(
-            fold(0.0, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b)), F.size("_found").cast("double")
-        ),
-        "max": F.when(
-            F.size("_found") > 0,
-            fold(float("-inf"), lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: F.greatest(a, b))),
-        ).otherwise(F.array_repeat(F.lit(EMPTY_MAX), dim)),
-        "position": over(
-            fold(0.0, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b * e["w"])),
-            F.aggregate("_found", F.lit(0.0), lambda acc, e: acc + e["w"]),
-        ),
-    }
-    return gathered.select(*rows.columns, *[pools[k].alias(f"{k}_pooled") for k in kinds])
+        "mean": F.when(F.col("_n") > 0, F.transform(fold("_total", 0.0, lambda a, b: a + b), lambda x: x / F.col("_n"))).otherwise(nothing),
+        "max": F.when(F.col("_n") > 0, fold("_most", float("-inf"), lambda a, b: F.greatest(a, b))).otherwise(lowest),
+        "position": F.when(F.col("_n") > 0, F.transform(fold("_weighted", 0.0, lambda a, b: a + b), lambda x: x / F.col("_w"))).otherwise(nothing),
+    }
+    return both.select(*[rows[c] for c in rows.columns], *[pools[k].alias(f"{k}_pooled") for k in kinds])
 
 
 def pool_embeddings(
@@ -175,7 +220,7 @@ def pool_embeddings(
         raise ValueError(f"unknown pooling: {sorted(unknown)}")
     small = matrix_if_small(embeddings, max_bytes)
     if small is None:
-        return pool_by_join(rows, embeddings, kinds, ctx, keys)
+        return pool_by_blocks(rows, embeddings, kinds, ctx, keys)
     return _pool_in_tasks(rows, *small, kinds, ctx)
 
 
@@ -277,30 +322,35 @@ def assemble_features(
     pca: dict[str, PipelineModel] | None = None,
     ctx: str = "ctx",
     keys: Sequence[str] = ROW_KEYS,
+    length: int | None = None,
 ) -> tuple[DataFrame, list[str], list[str]]:
     """(rows with ``features``, feature names, names of the categorical ones).
 
     Fixed order: IDs, statistics, mean pool, prototypes, last token, position pool, max
-    pool. ``prototypes`` and ``pca`` models are fit here when not given; pass those of
-    the training rows to score other rows.
+    pool. ``prototypes`` and ``pca`` models come from training rows, as ``ContextFeatures``
+    fits them: asking for these features without them is an error. ``length`` is the width
+    of a context, looked up when not given.
     """
     options.check(embeddings is not None)
-    first = rows.select(F.size(ctx).alias("n")).first()
-    length = first["n"] if first else 0
+    if options.prototypes and prototypes is None:
+        raise ValueError("prototype features need fitted prototypes")
+    if length is None:
+        first = rows.select(F.size(ctx).alias("n")).first()
+        length = first["n"] if first else 0
     out, names, inputs = rows, [], []
     categorical = feature_names(length) if options.token_ids else []
 
     def add(column: str, width: int, label: str) -> None:
-        inputs.append(array_to_vector(F.col(column).cast("array<double>")).alias(f"_f_{column}"))
+        inputs.append(F.col(column).cast("array<double>"))
         names.extend(f"{label}_{i}" for i in range(width))
 
     stats = [n for n in ("context_length", "unk_count", "type_token_ratio") if getattr(options, n)]
     if options.token_ids:
-        inputs.append(array_to_vector(F.col(ctx).cast("array<double>")).alias("_f_ids"))
+        inputs.append(F.col(ctx).cast("array<double>"))
         names.extend(categorical)
     if stats:
         out = with_context_stats(out, ctx)
-        inputs.extend(F.col(s).cast("double").alias(f"_f_{s}") for s in stats)
+        inputs.extend(F.array(F.col(s).cast("double")) for s in stats)
         names.extend(stats)
 
     if options.needs_embeddings:
@@ -314,15 +364,15 @@ def assemble_features(
         if kinds:
             out = pool_embeddings(out, embeddings, kinds, ctx, keys)
         if options.prototypes:
-            if prototypes is None:
-                prototypes = fit_prototypes(embeddings, options.n_prototypes)
             out = prototype_similarity(out, prototypes)
         if options.last_token:
             out = last_token_similarity(out, embeddings, options.top_k_similar, ctx)
         reduced = dim if options.reduce_to is None else min(dim, options.reduce_to)
         for kind in kinds:
             if reduced < dim and (kind != "mean" or options.mean_pooled):
-                out = pca_reduce(out, f"{kind}_pooled", reduced, (pca or {}).get(kind), dim)
+                if kind not in (pca or {}):
+                    raise ValueError(f"reducing the {kind} pool needs a fitted PCA")
+                out = pca_reduce(out, f"{kind}_pooled", reduced, pca[kind], dim)
         if options.mean_pooled:
             add("mean_pooled", reduced, "mean")
         if options.prototypes:
@@ -334,7 +384,4 @@ def assemble_features(
         if options.max_pooled:
             add("max_pooled", reduced, "max")
 
-    columns = [f"_in{i}" for i in range(len(inputs))]
-    prepared = out.select(*rows.columns, *[c.alias(n) for c, n in zip(inputs, columns)])
-    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(prepared)
-    return assembled.select(*rows.columns, "features"), names, categorical
+    return out.select(*rows.columns, array_to_vector(F.concat(*inputs)).alias("features")), names, categorical

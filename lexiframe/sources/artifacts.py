@@ -49,7 +49,7 @@ def import_vocab_json(spark: SparkSession, path: str) -> DataFrame:
             F.coalesce("r.tokens", F.array().cast("array<string>")).alias("tokens"), F.col("r.frequencies").alias("freq")
         )
     else:
-        raise ValueError(f"Invalid vocabulary format in {path}")
+        raise ValueError(f"neither a list nor an object of tokens in {path}")
     words = parsed.select(F.posexplode("tokens").alias("_pos", "token"))
     words = words.select((F.col("_pos") + len(SPECIAL_TOKENS)).cast("int").alias("id"), "token")
     counts = parsed.where(F.col("freq").isNotNull()).select(F.explode("freq").alias("token", "count"))

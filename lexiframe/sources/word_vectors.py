@@ -41,7 +41,7 @@ def read_text_embeddings(
     if dim is not None:
         width = latest.agg(F.max(F.size("vec")).alias("most"), F.min(F.size("vec")).alias("least")).first()
         if width["most"] is None:
-            raise ValueError(f"No embeddings loaded from {path}")
+            raise ValueError(f"there are no word vectors in {path}")
         if (width["least"], width["most"]) != (dim, dim):
-            raise ValueError(f"Expected embedding dimension {dim}, got {width['least']} to {width['most']}")
+            raise ValueError(f"vectors have {width['least']} to {width['most']} components, not {dim}")
     return latest

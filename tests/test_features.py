@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lexiframe.operators import embeddings as emb
 from lexiframe.operators import features as feat
+from lexiframe.operators.feature_model import ContextFeatures, ContextFeaturesModel
 
 CONTEXTS = [[0, 0, 0, 5], [0, 2, 6, 3], [7, 5, 1, 2], [6, 6, 1, 1], [3, 1, 7, 7]]
 
@@ -144,11 +145,11 @@ def test_align_embeddings(spark):
     assert aligned(unk_init="mean")["owl"] == [3.0, 3.0]
     row = emb.embedding_coverage(emb.align_embeddings(vocab, vectors)).first()
     assert (row.vocab_size, row.n_found) == (7, 4)
-    with pytest.raises(ValueError, match="dimension"):
+    with pytest.raises(ValueError, match="components"):
         emb.align_embeddings(vocab, vectors, dim=3)
     with pytest.raises(ValueError, match="unk_init"):
         aligned(unk_init="ones")
-    with pytest.raises(ValueError, match="doesn't match"):
+    with pytest.raises(ValueError, match="for the"):
         emb.embedding_size_check(vectors.select(F.lit(1).alias("id"), "vec"), vocab)
 
 
@@ -159,14 +160,15 @@ def test_assembly(rows, vectors):
         mean_pooled=True, prototypes=True, last_token=True, position_pooled=True, max_pooled=True,
         n_prototypes=2, top_k_similar=3, reduce_to=4,
     )
-    built, names, _ = feat.assemble_features(rows.where("doc_id < 5"), options, vectors)
+    with pytest.raises(ValueError, match="fitted"):
+        feat.assemble_features(rows, options, vectors)
+    model = ContextFeatures(options, vectors).fit(rows)
+    built, names = model.transform(rows.where("doc_id < 5")), model.names
     values = column(built.select("doc_id", vector_to_array("features").alias("f")), "f")
     assert values.shape == (5, len(names)) == (5, 4 + 3 + 4 + 2 + 3 + 4 + 4)
     assert np.isfinite(values).all()
-    full, names, _ = feat.assemble_features(
-        rows.where("doc_id < 5"), feat.FeatureOptions(mean_pooled=True, prototypes=True, last_token=True, n_prototypes=2, top_k_similar=3), vectors
-    )
-    assert len(names) == 4 + 3 + 10 + 2 + 3
+    options = feat.FeatureOptions(mean_pooled=True, prototypes=True, last_token=True, n_prototypes=2, top_k_similar=3)
+    assert len(ContextFeatures(options, vectors).fit(rows).names) == 4 + 3 + 10 + 2 + 3
     only = feat.FeatureOptions(False, False, False, False, mean_pooled=True)
     assert len(feat.assemble_features(rows, only, vectors)[1]) == 10
 
@@ -176,3 +178,48 @@ def test_option_errors(rows, vectors):
         feat.assemble_features(rows, feat.FeatureOptions(mean_pooled=True))
     with pytest.raises(ValueError, match="no features"):
         feat.assemble_features(rows, feat.FeatureOptions(False, False, False, False))
+
+
+@pytest.mark.parametrize(("block", "group_rows"), [(1, 1), (3, 2), (4, 50), (4096, 50_000)])
+def test_pools_by_blocks_equal_the_matrix(spark, block, group_rows):
+    """Gaps, IDs beyond the table, nulls and a hot ID, with blocks and groups of any size."""
+    rng = np.random.RandomState(3)
+    ids = [1, 2, 3, 5, 8, 9, 13]
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.randn(3)]) for i in ids], "id int, vec array<float>")
+    data = [(i, j, [int(x) for x in rng.choice([0, 1, 1, 1, 2, 3, 4, 5, 8, 9, 13, 40], rng.randint(0, 7))]) for i in range(12) for j in range(3)]
+    rows = spark.createDataFrame([*data, (99, 0, None), (None, 1, [1, 2])], "doc_id long, pos int, ctx array<int>")
+    small = feat.pool_embeddings(rows, vectors, feat.POOLS).collect()
+    blocks = feat.pool_by_blocks(rows, vectors, feat.POOLS, block=block, group_rows=group_rows)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.pos)
+    for a, b in zip(sorted(small, key=key), sorted(blocks.collect(), key=key), strict=True):
+        assert (a.doc_id, a.pos, a.ctx) == (b.doc_id, b.pos, b.ctx)
+        for kind in feat.POOLS:
+            np.testing.assert_allclose(a[f"{kind}_pooled"], b[f"{kind}_pooled"], atol=1e-12)
+
+
+def test_feature_model_saved_and_loaded(spark, rows, vectors, tmp_path):
+    """Fit on some rows, saved, loaded: equal features on others, none for no rows."""
+    options = feat.FeatureOptions(
+        mean_pooled=True, prototypes=True, last_token=True, position_pooled=True, max_pooled=True,
+        n_prototypes=3, top_k_similar=2, reduce_to=4,
+    )
+    model = ContextFeatures(options, vectors).fit(rows.where("doc_id < 4"))
+    model.save(str(tmp_path / "m"))
+    loaded = ContextFeaturesModel.load(str(tmp_path / "m"))
+    assert loaded.names == model.names and loaded.categorical == model.categorical
+    others = rows.where("doc_id >= 3")
+    one, two = (column(m.transform(others).select("doc_id", vector_to_array("features").alias("f")), "f") for m in (model, loaded))
+    np.testing.assert_allclose(one, two)
+    assert one.shape[1] == len(model.names)
+    assert loaded.transform(rows.where("false")).collect() == []
+    with pytest.raises(ValueError, match="at least one row"):
+        ContextFeatures(options, vectors).fit(rows.where("false"))
+
+
+def test_pca_of_all_components_keeps_lengths(spark):
+    m = np.random.RandomState(1).randn(40, 5) + 2
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "doc_id long, v array<double>")
+    model = feat.fit_pca(df, "v", 5)
+    reduced = model.transform(df.select("doc_id", array_to_vector("v").alias("_raw"))).orderBy("doc_id").collect()
+    centred = m - m.mean(axis=0)
+    np.testing.assert_allclose([r._reduced.dot(r._reduced) for r in reduced], (centred**2).sum(axis=1))

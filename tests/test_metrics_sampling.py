@@ -105,7 +105,7 @@ def test_every_method_gives_one_token(spark, method):
 
 
 def test_unknown_method(spark):
-    with pytest.raises(ValueError, match="Unknown sampling"):
+    with pytest.raises(ValueError, match="draws"):
         s.sample_tokens(scored(spark, [1.0]), "beam")
 
 

@@ -105,7 +105,7 @@ def test_word_vectors(spark, tmp_path):
     assert first == {"the": [1.0, 0.0, 0.0]}
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         word_vectors.read_text_embeddings(spark, path, skip_invalid=False).collect()
-    with pytest.raises(ValueError, match="dimension"):
+    with pytest.raises(ValueError, match="components"):
         word_vectors.read_text_embeddings(spark, path, dim=4)
 
 
@@ -128,7 +128,7 @@ def test_import_vocab_json(spark, tmp_path):
         rows = artifacts.import_vocab_json(spark, path).where("id >= 4").orderBy("id").collect()
         assert [(r.id, r.token) for r in rows] == [(4, "the"), (5, "cat")]
         assert [r["count"] for r in rows] == counts
-    with pytest.raises(ValueError, match="Invalid"):
+    with pytest.raises(ValueError, match="neither"):
         artifacts.import_vocab_json(spark, write(tmp_path / "v.json", "3"))
 
 
