@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,6 +90,28 @@ def target_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("y").count()
 
 
+# Sketches of 2^12 registers; three standard errors of their estimate.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def unique_sketches(rows: DataFrame, part: Column) -> DataFrame:
+    """(part, contexts, targets): HyperLogLog sketches of the rows of every part, a few kB each.
+
+    Sketches of new rows are made alone and merged with stored ones by ``merge_unique``.
+    """
+    contexts = F.concat_ws(" ", F.col("ctx").cast("array<string>"))
+    return rows.groupBy(part).agg(
+        F.hll_sketch_agg(contexts, SKETCH_BITS).alias("contexts"), F.hll_sketch_agg("y", SKETCH_BITS).alias("targets")
+    )
+
+
+def merge_unique(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimates of ``n_unique`` from sketches, without the rows; the error is some 1.04 / sqrt(2^SKETCH_BITS)."""
+    merged = {"n_unique_contexts": "contexts", "n_unique_targets": "targets"}
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(n) for n, c in merged.items()])
+
+
 def top_targets(rows: DataFrame, vocab: DataFrame, n: int = TOP_TARGETS) -> DataFrame:
     """The ``n`` most frequent targets with token, count and share."""
     # One row per vocabulary entry, so the unpartitioned window is bounded by it.

@@ -235,7 +235,11 @@ def build_stats(
     if counts is None:
         counts = count_vocab(docs, "text", lowercase, tokenizer)
     vocab = assign_ids(counts, min_freq, top_k)
-    oov = oov_stats(count_vocab(oov_sample_docs(docs, check_docs), "text", lowercase, tokenizer), vocab)
+    checked = materialize(count_vocab(oov_sample_docs(docs, check_docs), "text", lowercase, tokenizer), "checked")
+    oov = oov_stats(checked, vocab)
+    # At most OOV_SAMPLE_WORDS rows.
+    unknown = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "token")))
+    samples = sample_oov_words(checked, vocab).agg(unknown.alias("_w")).select(F.col("_w.token").alias("sample_oov_words"))
     return one_row(
         docs.agg(F.count(F.lit(1)).alias("n_documents")),
         _words(vocab).agg(F.count(F.lit(1)).alias("vocab_size")),
@@ -243,6 +247,7 @@ def build_stats(
         oov.select(
             F.col("total_tokens").alias("oov_check_tokens"), "oov_tokens", "oov_rate", "oov_types"
         ),
+        samples,
     ).select(
-        "*", F.lit(min_freq).alias("min_freq"), F.lit(top_k).cast("int").alias("top_k")
+        "*", F.array(*map(F.lit, SPECIAL_TOKENS)).alias("special_tokens"), F.lit(min_freq).alias("min_freq"), F.lit(top_k).cast("int").alias("top_k")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiframe.registry.queries import CHAT_WINDOW, L, MAX_SAMPLES, MODEL_TOP_K, SCORED_TOP_K, SEED
+from lexiframe.registry.queries import CHAT_WINDOW, L, MAX_SAMPLES, MODEL_TOP_K, N_GIVEN, SCORED_TOP_K, SEED
 
 ORACLES: dict[str, str] = {}
 
@@ -102,6 +102,16 @@ ORACLES["dataset_metadata"] = f"""{ctes()}{SPLIT}
 SELECT split, count(*) AS n_samples, CAST(max(len(ctx)) AS INTEGER) AS context_length,
   count(DISTINCT y) AS n_unique_targets, {ROW_SUM} FROM split_rows GROUP BY split"""
 
+ORACLES["stored_metadata"] = f"""{ctes()}
+SELECT count(*) AS n_samples, CAST(max(len(ctx)) AS BIGINT) AS context_length, count(DISTINCT y) AS n_unique_targets FROM wins"""
+
+ORACLES["import_vocab_json"] = ORACLES["write_read_vocab"]
+
+ORACLES["write_read_generations"] = f"""
+WITH texts AS (SELECT text, lower(text) AS generated, unnest(range(2)) AS sample_idx FROM benchmark)
+SELECT md5(text) AS prompt_md5, 'top_k' AS sampling, CAST(10 AS BIGINT) AS top_k, count(*) AS n_samples,
+  {digest("sample_idx", "generated")}, (SELECT count(*) FROM texts) AS n_texts FROM texts GROUP BY text"""
+
 WEIGHTED = "list_sum(list_transform(range(1, {d} + 1), lambda i: CAST({v}[i] AS DOUBLE) * i))"
 
 ORACLES["read_text_embeddings"] = f"""
@@ -130,7 +140,11 @@ ORACLES["build_stats"] = f"""{ctes()}{FIRST_COUNTS}, o AS ({oov("first_counts")}
 SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM kept) AS vocab_size,
   (SELECT CAST(sum(count) AS BIGINT) FROM counts) AS total_tokens, (SELECT count(*) FROM counts) AS unique_tokens,
   o.total_tokens AS oov_check_tokens, o.oov_tokens, round(o.oov_tokens / o.total_tokens * 100, 6) AS oov_rate, o.oov_types,
-  5 AS min_freq, 5000 AS top_k FROM o"""
+  5 AS min_freq, 5000 AS top_k, '<PAD> <UNK> <BOS> <EOS>' AS special_tokens,
+  (SELECT string_agg(token, ' ' ORDER BY count DESC, token) FROM (
+     SELECT c.token, c.count FROM first_counts c LEFT JOIN kept k USING (token) WHERE k.id IS NULL
+     ORDER BY c.count DESC, c.token LIMIT 20)) AS sample_oov_words
+FROM o"""
 
 PROFILE = f"""
 SELECT count(*) AS n_samples, CAST(max(len(ctx)) AS INTEGER) AS context_length,
@@ -283,6 +297,11 @@ ORACLES["n_unique"] = f"""{ctes()}
 SELECT (SELECT count(*) FROM (SELECT DISTINCT ctx FROM wins)) AS n_unique_contexts,
   (SELECT count(DISTINCT y) FROM wins) AS n_unique_targets"""
 
+ORACLES["merged_unique"] = f"""{ctes()}
+SELECT (SELECT count(*) FROM (SELECT DISTINCT ctx FROM wins)) AS n_unique_contexts,
+  (SELECT count(DISTINCT y) FROM wins) AS n_unique_targets, true AS n_unique_contexts_merge, true AS n_unique_targets_merge,
+  true AS n_unique_contexts_near, true AS n_unique_targets_near"""
+
 ORACLES["top_targets"] = f"""{ctes()}, t AS (SELECT y, count(*) AS count FROM wins GROUP BY y)
 SELECT y, coalesce(token, 'ID_' || y) AS token, t.count, round(t.count / (SELECT sum(count) FROM t), 8) AS frequency
 FROM t LEFT JOIN vocab v ON v.id = t.y ORDER BY t.count DESC, y LIMIT 10"""
@@ -336,6 +355,8 @@ ORACLES["embedding_coverage"] = f"""{ctes()}{VECTORS}
 SELECT count(*) AS vocab_size, count(w.token) AS n_found, round(count(w.token) / count(*) * 100, 6) AS coverage
 FROM vocab v LEFT JOIN vecs w USING (token)"""
 
+ORACLES["embedding_size_check"] = f"""{ctes()} SELECT count(*) AS n_vectors, {DIM} AS dim FROM vocab"""
+
 # One column per dimension, so that pooling is a plain aggregate.
 EMB_TOP_K = "(SELECT count(*) - 4 FROM embeddings)"
 WIDE = ", ".join(f"CAST(embedding[{d}] AS DOUBLE) AS v{d}" for d in range(1, DIM + 1))
@@ -353,6 +374,20 @@ def pooled(per_dim: str) -> str:
 
 
 ORACLES["mean_pool"] = f"{ctes(EMB_TOP_K)}{pooled('avg({v})')} {per_doc('pooled', 's')}"
+MEANS = ", ".join(f"avg(v{d}) AS v{d}" for d in range(1, DIM + 1))
+POOLED = f"{ctes(EMB_TOP_K)}{CELLS}, means AS MATERIALIZED (SELECT doc_id, pos, {MEANS} FROM cells JOIN wide USING (id) GROUP BY doc_id, pos)"
+COSINES = " + ".join(
+    f"""{i + 1} * coalesce(({" + ".join(f"m.v{d} * p{i}.v{d}" for d in range(1, DIM + 1))})
+      / nullif(sqrt({" + ".join(f"m.v{d} * m.v{d}" for d in range(1, DIM + 1))})
+        * sqrt({" + ".join(f"p{i}.v{d} * p{i}.v{d}" for d in range(1, DIM + 1))}), 0), 0)"""
+    for i in range(N_GIVEN)
+)
+GIVEN = " ".join(f"CROSS JOIN (SELECT * FROM wide WHERE id = {i}) p{i}" for i in range(N_GIVEN))
+ORACLES["given_prototypes"] = f"{POOLED}, sims AS (SELECT m.doc_id, {COSINES} AS s FROM means m {GIVEN}) {per_doc('sims', 's')}"
+CENTRES = ", ".join(f"avg(v{d}) AS c{d}" for d in range(1, DIM + 1))
+SQUARES = " + ".join(f"(v{d} - c{d}) * (v{d} - c{d})" for d in range(1, DIM + 1))
+ORACLES["pca_lengths"] = f"""{POOLED}, centre AS (SELECT {CENTRES} FROM means),
+lengths AS (SELECT doc_id, {SQUARES} AS s FROM means CROSS JOIN centre) {per_doc("lengths", "s")}"""
 ORACLES["max_pool"] = f"{ctes(EMB_TOP_K)}{pooled('max({v})')} {per_doc('pooled', 's')}"
 ORACLES["position_weighted_pool"] = f"{ctes(EMB_TOP_K)}{pooled('(sum({v} * wt) / sum(wt))')} {per_doc('pooled', 's')}"
 
@@ -369,6 +404,9 @@ TOKEN_SIM = f", {NEAREST}, token_sim AS (SELECT id, sum(place * sim) AS s FROM n
 ORACLES["last_token_similarity"] = f"""{ctes(EMB_TOP_K)}{TOKEN_SIM},
 valued AS (SELECT doc_id, s FROM wins JOIN token_sim ON id = ctx[{L}]) {per_doc("valued", "s")}"""
 
+ORACLES["feature_model"] = f"""{ctes(EMB_TOP_K)}{SPLIT}
+SELECT doc_id, count(*) AS n_rows, {L + 3 + 8 + 50 + 8} AS n_features FROM split_rows WHERE split = 'val' GROUP BY doc_id"""
+
 # Features in order: L ids, 3 statistics, mean, 20 similarities, position pool, max pool.
 N_IDS, N_STATS, N_SIMS = L, 3, 20
 MEAN_AT = N_IDS + N_STATS
@@ -476,6 +514,21 @@ SELECT split, count(*) AS n_rows,
   round(avg(hit), 7) AS accuracy, round(avg(loss), 7) AS logloss, round(exp(avg(loss)), 7) AS perplexity
 FROM losses JOIN split_rows USING (doc_id, pos) GROUP BY split"""
 
+ORACLES["class_metrics"] = """
+WITH docs AS (SELECT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS y FROM (SELECT DISTINCT lang FROM docs)),
+grid AS (
+  SELECT s.source, l.lang, l.y, (SELECT count(*) FROM docs d WHERE d.source = s.source AND d.lang = l.lang) AS n
+  FROM (SELECT DISTINCT source FROM docs) s, langs l),
+shares AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS p FROM grid),
+clipped AS (SELECT *, least(greatest(p, 1e-15::DOUBLE), 1.0::DOUBLE - 1e-15::DOUBLE) AS c FROM shares),
+scored AS (SELECT *, -ln(c / sum(c) OVER (PARTITION BY source)) AS loss FROM clipped),
+best AS (SELECT source, y AS y_pred FROM shares QUALIFY row_number() OVER (PARTITION BY source ORDER BY p DESC, y) = 1)
+SELECT source, CAST(sum(n) AS BIGINT) AS n_rows, CAST(y_pred AS INTEGER) AS y_pred,
+  round(sum(CASE WHEN y = y_pred THEN n ELSE 0 END) / sum(n), 8) AS accuracy, round(sum(n * loss) / sum(n), 8) AS report_logloss,
+  round(sum(n * loss) / sum(n), 8) AS logloss, round(exp(sum(n * loss) / sum(n)), 8) AS perplexity
+FROM scored JOIN best USING (source) GROUP BY source, y_pred"""
+
 # --- conversations -----------------------------------------------------------------
 
 SESSIONS = rf"""
@@ -513,29 +566,25 @@ chat AS (
 """
 ORACLES["rolling_context"] = CHAT + "SELECT * FROM chat"
 ORACLES["streaming_rolling_context"] = ORACLES["rolling_context"]
+ORACLES["stateful_rolling_context"] = ORACLES["rolling_context"]
 ORACLES["conversation_stats"] = CHAT + "SELECT * EXCLUDE (ctx) FROM chat"
 
 # --- generation --------------------------------------------------------------------
 
 
-def greedy(steps: int) -> str:
-    """The most likely next token, ``steps`` times; nothing after EOS (3) or an unknown last token."""
-    out = "step0 AS (SELECT doc_id, ids, ids[len(ids)] AS last, false AS done FROM opened)"
-    for i in range(steps):
-        out += f""",
-step{i + 1} AS (
-  SELECT doc_id, CASE WHEN done OR b.token_id IS NULL THEN ids ELSE list_append(ids, b.token_id) END AS ids,
-    CASE WHEN done OR b.token_id IS NULL THEN last ELSE b.token_id END AS last, done OR coalesce(b.token_id = 3, false) AS done
-  FROM step{i} LEFT JOIN best b ON b.ctx_id = last)"""
-    return out
-
-
 ORACLES["fit_next_token_model"] = f"""{ctes(MODEL_TOP_K, 2)},
 places_of AS (SELECT ctx, y, unnest(range(3)) AS n FROM wins),
 grams AS (SELECT CASE n WHEN 0 THEN '' WHEN 1 THEN ctx[2] || '' ELSE ctx[1] || ' ' || ctx[2] END AS ctx, y FROM places_of),
 gram_counts AS (SELECT ctx, y, count(*) AS n FROM grams GROUP BY ALL)
 SELECT ctx, count(*) AS n_tokens, CAST(sum(n) AS BIGINT) AS total, {digest("y", "n")} FROM gram_counts GROUP BY ctx"""
 
+ORACLES["save_load_model"] = f"""{ctes(MODEL_TOP_K, 2)},
+grams AS (SELECT unnest({SUFFIXES}) AS ctx_id, y AS token_id FROM wins),
+gram_counts AS (SELECT ctx_id, token_id, count(*) AS p FROM grams GROUP BY ALL),
+sums AS (SELECT ctx_id, count(*) AS n_tokens, CAST(sum(p) AS BIGINT) AS total FROM gram_counts GROUP BY ctx_id),
+firsts AS (SELECT ctx_id, token_id AS best FROM gram_counts QUALIFY {BEST} = 1)
+SELECT ctx_id AS ctx, n_tokens, total, best, n_tokens AS seen, 2 AS order FROM sums JOIN firsts USING (ctx_id)"""
+
 PROMPTS = f"""
 prompt_tokens AS (
   SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
@@ -582,15 +631,16 @@ SELECT doc_id AS prompt_id, s.sample_idx, coalesce(t, '') AS generated
 FROM opened CROSS JOIN (VALUES (0), (1)) AS s(sample_idx)
 LEFT JOIN texts ON texts.prompt_id = doc_id AND texts.sample_idx = s.sample_idx"""
 
-ORACLES["generate_by_bigrams"] = f"""{SCORED},
-best AS (SELECT ctx_id, token_id FROM scored QUALIFY {BEST} = 1),
-prompt_tokens AS (
-  SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos
-  FROM (SELECT item_id, {words()} AS w FROM benchmark)),
-prompt_ids AS (
-  SELECT item_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM prompt_tokens LEFT JOIN kept USING (token) GROUP BY ALL),
-opened AS (SELECT b.item_id AS doc_id, list_concat([2], coalesce(ids, [])) AS ids FROM benchmark b LEFT JOIN prompt_ids USING (item_id)),
-{greedy(4)},
-said AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM step4),
-texts AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS t FROM said JOIN kept USING (id) GROUP BY doc_id)
-SELECT o.doc_id AS prompt_id, 0 AS sample_idx, coalesce(t, '') AS generated FROM opened o LEFT JOIN texts USING (doc_id)"""
+# Greedily, up to 50 tokens; nothing follows EOS (3) or an unknown last token.
+ORACLES["generate_by_bigrams"] = f"""{SCORED.replace("WITH toks", "WITH RECURSIVE toks")},
+best AS MATERIALIZED (SELECT ctx_id, token_id FROM scored QUALIFY {BEST} = 1),
+{PROMPTS},
+said AS (
+  SELECT doc_id AS prompt_id, 0 AS step, ids[len(ids)] AS last FROM opened
+  UNION ALL
+  SELECT prompt_id, step + 1, b.token_id FROM said JOIN best b ON b.ctx_id = last WHERE step < 50 AND (step = 0 OR last <> 3)),
+spoken AS (
+  SELECT doc_id AS prompt_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM opened
+  UNION ALL SELECT prompt_id, last, len(ids) + step FROM said JOIN opened ON doc_id = prompt_id WHERE step > 0),
+texts AS (SELECT prompt_id, string_agg(token, ' ' ORDER BY pos) AS t FROM spoken JOIN kept USING (id) GROUP BY prompt_id)
+SELECT o.doc_id AS prompt_id, 0 AS sample_idx, coalesce(t, '') AS generated FROM opened o LEFT JOIN texts ON prompt_id = o.doc_id"""

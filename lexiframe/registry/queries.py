@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,11 @@ from lexiframe.functions.ids import context_length, left_pad_context, pad_ids, t
 from lexiframe.functions.text import tokenize
 from lexiframe.operators import conversations, dataset, embeddings, encoding, features, generation, metrics
 from lexiframe.operators import next_token, sampling, splitting, vocabulary
+from lexiframe.operators.feature_model import ContextFeatures, ContextFeaturesModel
 from lexiframe.operators.running import BLOCK
 from lexiframe.session import materialize, new_path
 from lexiframe.sources import artifacts, corpus, word_vectors
-from lexiframe.streaming.conversations import stream_rolling_context
+from lexiframe.streaming.conversations import keep_rolling_context, stream_rolling_context
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,6 +185,46 @@ def dataset_metadata(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stored_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """What ``write_dataset`` says about the rows it has written."""
+    path = new_path(spark, "dataset")
+    artifacts.write_dataset(windows(spark, sf, stored=True), path)
+    return spark.read.json(f"{path}/metadata").select("n_samples", "context_length", "n_unique_targets")
+
+
+@query
+def import_vocab_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary by way of one JSON object of tokens and frequencies."""
+    path = new_path(spark, "vocab-json")
+    words = F.sort_array(F.collect_list(F.struct("id", "token", "count")))
+    record = vocab_of(spark, sf).where("id >= 4").agg(words.alias("w")).select(
+        F.to_json(
+            F.struct(
+                F.col("w.token").alias("tokens"),
+                F.map_from_arrays(F.col("w.token"), F.col("w.count")).alias("frequencies"),
+            )
+        ).alias("value")
+    )
+    record.write.text(path)
+    return artifacts.import_vocab_json(spark, path)
+
+
+@query
+def write_read_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of prompts as written with the settings, and as plain text."""
+    path = new_path(spark, "generations")
+    texts = table(spark, sf, "benchmark").select(F.col("text").alias("prompt"), F.lower("text").alias("generated"))
+    rows = sampling.samples_per_prompt(texts, 2).select("prompt", "sample_idx", "generated")
+    artifacts.write_generations(rows, f"{path}/json", sampling="top_k", top_k=10)
+    artifacts.write_generations(rows, f"{path}/text", as_text=True)
+    stored = spark.read.json(f"{path}/json").groupBy(F.md5("prompt").alias("prompt_md5"), "sampling", "top_k").agg(
+        F.count(F.lit(1)).alias("n_samples"), checksum(F.col("sample_idx"), F.col("generated"))
+    )
+    lines = spark.read.text(f"{path}/text").where(F.col("value").startswith("Generated: "))
+    return stored.crossJoin(lines.agg(F.count(F.lit(1)).alias("n_texts")))
+
+
 @query
 def read_text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "vectors")
@@ -202,7 +244,10 @@ def read_prompts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def build_stats(spark: SparkSession, sf: str) -> DataFrame:
     stats = vocabulary.build_stats(documents(spark, sf))
-    return stats.withColumn("oov_rate", F.round("oov_rate", 6))
+    lists = [F.array_join(c, " ").alias(c) for c in ("special_tokens", "sample_oov_words")]
+    return stats.withColumn("oov_rate", F.round("oov_rate", 6)).select(
+        *[c for c in stats.columns if c not in ("special_tokens", "sample_oov_words")], *lists
+    )
 
 
 def _profile_rounded(profile: DataFrame) -> DataFrame:
@@ -429,6 +474,23 @@ def n_unique(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.n_unique(windows(spark, sf, stored=True))
 
 
+@query
+def merged_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches per part of the rows, merged: the same estimate as one sketch of all, near the exact count."""
+    rows = windows(spark, sf, stored=True)
+    parts = dataset.unique_sketches(rows, F.pmod("doc_id", F.lit(7)).alias("part"))
+    merged = dataset.merge_unique(materialize(parts, "sketches"))
+    single = dataset.merge_unique(dataset.unique_sketches(rows, F.lit(0).alias("part")))
+    names = ("n_unique_contexts", "n_unique_targets")
+    exact = dataset.n_unique(rows)
+    pairs = merged.select(*[F.col(n).alias(f"_{n}") for n in names]).crossJoin(single.select(*[F.col(n).alias(f"_1{n}") for n in names]))
+    return exact.crossJoin(pairs).select(
+        *names,
+        *[(F.col(f"_{n}") == F.col(f"_1{n}")).alias(f"{n}_merge") for n in names],
+        *[(F.abs(F.col(f"_{n}") / F.col(n) - 1) < dataset.SKETCH_ERROR).alias(f"{n}_near") for n in names],
+    )
+
+
 @query
 def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
     vocab = materialize(vocab_of(spark, sf), "vocab")
@@ -497,6 +559,15 @@ def embedding_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.embedding_coverage(aligned).withColumn("coverage", F.round("coverage", 6))
 
 
+@query
+def embedding_size_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Aligned vectors fit their vocabulary; the check raises an error where they do not."""
+    vocab = vocab_of(spark, sf)
+    aligned = materialize(embeddings.align_embeddings(vocab, _word_vectors(spark, sf), "zero"), "aligned")
+    embeddings.embedding_size_check(aligned, vocab)
+    return aligned.agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("vec")).alias("dim"))
+
+
 def _pooled(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf)
     return per_doc(features.pool_embeddings(rows, vecs, (kind,)), weighted(F.col(f"{kind}_pooled")))
@@ -550,6 +621,45 @@ def pca_reduce(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+N_GIVEN = 4
+
+
+@query
+def given_prototypes(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosines of the pooled contexts to the first vectors of the table as prototypes."""
+    rows, vecs = embedded_windows(spark, sf)
+    centres = vecs.where(F.col("id") < N_GIVEN).orderBy("id").collect()
+    pooled = features.pool_embeddings(rows, vecs, ("mean",))
+    sims = features.prototype_similarity(pooled, np.array([r["vec"] for r in centres], dtype=np.float64))
+    return per_doc(sims, weighted(F.col("prototype_sims")))
+
+
+@query
+def pca_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """With all components a reduced row is as long as the centred one."""
+    rows, vecs = embedded_windows(spark, sf)
+    pooled = features.pool_embeddings(rows, vecs, ("mean",)).select("doc_id", "mean_pooled")
+    pooled = materialize(pooled, "pooled")
+    dim = embeddings.dimension(vecs)
+    model = features.fit_pca(pooled, "mean_pooled", dim)
+    reduced = model.transform(pooled.withColumn("_raw", array_to_vector("mean_pooled")))
+    square = F.aggregate(vector_to_array("_reduced"), F.lit(0.0), lambda a, x: a + x * x)
+    return per_doc(reduced, square)
+
+
+@query
+def feature_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Prototypes and PCA fit on the training rows, saved, loaded and applied to the validation rows."""
+    rows, vecs = embedded_windows(spark, sf, stored=True)
+    split = materialize(splitting.train_val_split(rows, 0.1, SEED), "split")
+    options = features.FeatureOptions(mean_pooled=True, prototypes=True, max_pooled=True, reduce_to=8)
+    path = new_path(spark, "feature-model")
+    ContextFeatures(options, vecs).fit(split.where(F.col("split") == "train")).save(path)
+    scored = ContextFeaturesModel.load(path).transform(split.where(F.col("split") == "val"))
+    values = scored.select("doc_id", vector_to_array("features").alias("f"))
+    return values.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("f")).alias("n_features"))
+
+
 @query
 def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf)
@@ -672,6 +782,34 @@ def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def source_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the number of their language as ``y`` and the shares of all languages in their source as ``p``."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source").where("lang IS NOT NULL AND source IS NOT NULL")
+    langs = docs.select("lang").distinct().agg(F.sort_array(F.collect_list("lang")).alias("langs"))
+    counts = docs.groupBy("source", "lang").count().groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("n"))
+    counted = F.transform("langs", lambda x: F.coalesce(F.element_at("n", x), F.lit(0)).cast("double"))
+    shares = counts.join(F.broadcast(langs)).select("source", "langs", metrics.normalise(counted).alias("p"))
+    return docs.join(shares, "source").select("doc_id", "source", (F.array_position("langs", F.col("lang")) - 1).cast("int").alias("y"), "p")
+
+
+@query
+def class_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of arrays of probabilities, each by its own function, per source."""
+    rows = source_shares(spark, sf)
+    guessed = rows.withColumn("y_pred", metrics.argmax_class(F.col("p")))
+    report = metrics.metrics_report(rows, "source").select("source", "n_rows", F.col("logloss").alias("report_logloss"))
+    parts = [
+        guessed.groupBy("source").agg(F.max("y_pred").alias("y_pred")),
+        metrics.accuracy(guessed, by=["source"]),
+        metrics.multi_logloss(rows, by=["source"]),
+        metrics.perplexity(rows, by=["source"]),
+    ]
+    for part in parts:
+        report = report.join(part, "source")
+    measures = ("accuracy", "report_logloss", "logloss", "perplexity")
+    return report.select("source", "n_rows", "y_pred", *[F.round(c, 8).alias(c) for c in measures])
+
+
 # --- conversations -----------------------------------------------------------------
 
 
@@ -727,6 +865,20 @@ def streaming_rolling_context(spark: SparkSession, sf: str) -> DataFrame:
     return _contexts_as_text(spark.read.parquet(f"{out}/contexts"))
 
 
+@query
+def stateful_rolling_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The same stream with the state in Spark's own store, the later half after a restart."""
+    turns = table(spark, sf, "conversations")
+    source, out = new_path(spark, "turns"), new_path(spark, "stream")
+    vocab = vocab_of(spark, sf)
+    middle = (turns.agg(F.max("turn")).first()[0] + 1) // 2
+    for part in (F.col("turn") < middle, F.col("turn") >= middle):
+        turns.where(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(turns.schema).parquet(source)
+        keep_rolling_context(stream, vocab, CHAT_WINDOW, out, is_reset=_system(), eos_roles=("assistant",)).awaitTermination()
+    return _contexts_as_text(spark.read.parquet(f"{out}/contexts"))
+
+
 # --- model and generation ----------------------------------------------------------
 
 @query
@@ -738,6 +890,17 @@ def fit_next_token_model(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The model of ``fit_next_token_model`` from where it was saved."""
+    path = new_path(spark, "model")
+    next_token.save_model(next_token.fit_next_token_model(windows(spark, sf, MODEL_TOP_K, 2)), path)
+    model = next_token.load_model(spark, path)
+    per_ctx = model.table.groupBy("ctx").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("n").alias("total"))
+    both = per_ctx.join(model.heads, "ctx")
+    return both.select(joined(F.col("ctx")).alias("ctx"), "n_tokens", "total", "best", "seen", F.lit(model.order).alias("order"))
+
+
 @query
 def generate_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Two samples per prompt, up to the default length or EOS."""
@@ -759,7 +922,7 @@ def generate_by_bigrams(spark: SparkSession, sf: str) -> DataFrame:
         return last.join(pairs, "ctx_id").select(*keys, "token_id", "p")
 
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    return generation.generate_batch(prompts, vocab, scorer, 1, max_new_tokens=4, sampling="greedy").select(
+    return generation.generate_batch(prompts, vocab, scorer, 1, sampling="greedy").select(
         "prompt_id", "sample_idx", "generated"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.operators import conversations as c
 from lexiframe.operators.running import levels_for, running_sums
-from lexiframe.streaming.conversations import stream_rolling_context
+from lexiframe.streaming.conversations import keep_rolling_context, stream_rolling_context
 
 WORDS = [f"w{i}" for i in range(30)]
 IDS = {w: i + 4 for i, w in enumerate(WORDS)}
@@ -138,3 +138,39 @@ def test_stream_state_snapshots(spark, vocab, tmp_path, monkeypatch):
         stream = spark.readStream.schema(df.schema).parquet(source)
         stream_rolling_context(stream, vocab, 4, out).awaitTermination()
     assert got(spark.read.parquet(f"{out}/contexts")) == loop(rows, 4)
+
+
+def test_state_store_equals_the_batch_after_a_restart(spark, tmp_path):
+    """Many small batches, restarted half way; old versions of the state do not pile up."""
+    rng = random.Random(6)
+    rows = []
+    for conv in range(4):
+        for turn in range(24):
+            text = rng.choice(["a frog hopped", "quiet", "", "reset", "one log under", "unknown words here"])
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "exit" if (conv, turn) == (3, 15) else text))
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    words = ["<PAD>", "<UNK>", "<BOS>", "<EOS>", "a", "frog", "hopped", "quiet", "one", "log", "under"]
+    vocab = spark.createDataFrame(list(enumerate(words)), "id int, token string")
+    expected = c.rolling_context(turns, vocab, 6, eos_roles=("assistant",))
+    source, out = str(tmp_path / "turns"), str(tmp_path / "out")
+    settings = {
+        "spark.sql.shuffle.partitions": "2", "spark.sql.streaming.minBatchesToRetain": "2",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "100ms",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for half in (range(12), range(12, 24)):
+            for turn in half:
+                turns.where(f"turn = {turn}").coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            keep_rolling_context(stream, vocab, 6, out, eos_roles=("assistant",)).awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    found = spark.read.parquet(f"{out}/contexts")
+    columns = ["conv_id", "session_id", "turn", "role", "ctx", "total_tokens", "effective_context", "truncated"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+    versions = list((tmp_path / "out" / "checkpoint" / "state").rglob("*.delta"))
+    assert 0 < len(versions) < 2 * 24
