@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.ids import EOS, PAD, UNK, last_token
 from lexiframe.operators.lookup import HEAD_BYTES, lookup
-from lexiframe.session import materialize
+from lexiframe.session import discard, materialize
 
 # The vector of unknown words.
 UNK_SEED = 42
@@ -85,6 +87,31 @@ def embedding_size_check(embeddings: DataFrame, vocab: DataFrame) -> None:
         raise ValueError(f"{n_vec} vectors for the {n_ids} IDs of the vocabulary")
 
 
+SIMS = "id int, sims array<double>"
+
+
+def _unit(pdf: pd.DataFrame) -> np.ndarray:
+    m = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, 1.0, norm)
+
+
+def _best(q: pd.DataFrame, m: pd.DataFrame, top_k: int) -> pd.DataFrame:
+    """The ``top_k`` highest cosines of each row of ``q`` to the other rows of ``m``."""
+    if q.empty or m.empty:
+        return pd.DataFrame({"id": pd.Series(dtype="int32"), "sims": pd.Series(dtype=object)})
+    cos = _unit(q) @ _unit(m).T
+    cos[q["id"].to_numpy()[:, None] == m["id"].to_numpy()[None, :]] = -np.inf
+    k = min(top_k, cos.shape[1])
+    top = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
+    return pd.DataFrame({"id": q["id"].to_numpy(), "sims": [row[np.isfinite(row)] for row in top]})
+
+
+def _merged(per_block: DataFrame, top_k: int) -> DataFrame:
+    merged = F.sort_array(F.flatten(F.collect_list("sims")), asc=False)
+    return per_block.groupBy("id").agg(F.slice(merged, 1, top_k).alias("sims"))
+
+
 def nearest_similarities(embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, block: int = SIMILARITY_BLOCK) -> DataFrame:
     """(id, sims): cosines of every token to its ``top_k`` nearest other tokens, descending.
 
@@ -101,24 +128,75 @@ def nearest_similarities(embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, bloc
     others = F.explode(F.array(*[F.lit(b) for b in blocks]))
     left = embeddings.select("id", "vec", own.alias("a")).withColumn("b", others)
     right = embeddings.select("id", "vec", own.alias("b")).withColumn("a", others)
-
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm == 0, 1.0, norm)
-
-    def best(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or m.empty:
-            return pd.DataFrame({"id": pd.Series(dtype="int32"), "sims": pd.Series(dtype=object)})
-        cos = unit(q) @ unit(m).T
-        cos[q["id"].to_numpy()[:, None] == m["id"].to_numpy()[None, :]] = -np.inf
-        k = min(top_k, cos.shape[1])
-        top = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k :]
-        return pd.DataFrame({"id": q["id"].to_numpy(), "sims": [row[np.isfinite(row)] for row in top]})
-
-    per_block = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "id int, sims array<double>")
-    merged = F.sort_array(F.flatten(F.collect_list("sims")), asc=False)
-    return per_block.groupBy("id").agg(F.slice(merged, 1, top_k).alias("sims"))
+    per_block = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda q, m: _best(q, m, top_k), SIMS)
+    return _merged(per_block, top_k)
+
+
+def _clustered(embeddings: DataFrame, block: int, seed: int) -> tuple[DataFrame, pd.DataFrame]:
+    """(id, vec, a) with blocks of like directions, and per block its ``centre`` and ``radius``, the widest angle to it."""
+    n_clusters = max(1, -(-embeddings.count() // block))
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda t, x: t + x * x))
+    unit = embeddings.select("id", "vec", F.col("vec").cast("array<double>").alias("_v"))
+    unit = unit.withColumn("_v", F.when(length > 0, F.transform("_v", lambda x: x / length)).otherwise(F.col("_v")))
+    unit = materialize(unit.withColumn("features", array_to_vector("_v")), "directions")
+    model = KMeans(k=max(2, n_clusters), seed=seed, maxIter=10).fit(unit) if n_clusters > 1 else None
+    centres = np.stack(model.clusterCenters()) if model else np.zeros((1, dimension(embeddings)))
+    norm = np.linalg.norm(centres, axis=1, keepdims=True)
+    centres = centres / np.where(norm == 0, 1.0, norm)
+    placed = model.transform(unit) if model else unit.withColumn("prediction", F.lit(0))
+    sizes = placed.groupBy("prediction").count()
+    parts = F.ceil(F.col("count") / block).cast("long")
+    # A cluster larger than a block is dealt to several.
+    placed = placed.join(sizes, "prediction").withColumn("_part", F.pmod(F.xxhash64("id"), parts))
+    placed = placed.withColumn("a", F.concat_ws("-", "prediction", "_part"))
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    cosine = F.aggregate(
+        F.zip_with("_v", F.get(table, F.col("prediction")), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x
+    )
+    placed = materialize(placed.withColumn("_angle", F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))), "clustered")
+    discard(unit)
+    # One row per block.
+    facts = placed.groupBy("a").agg(F.min("prediction").alias("cluster"), F.max("_angle").alias("radius")).toPandas()
+    facts["centre"] = [centres[c] for c in facts["cluster"]]
+    return placed.select("id", "vec", "a"), facts
+
+
+def pruned_similarities(
+    embeddings: DataFrame, top_k: int = TOP_K_SIMILAR, block: int = SIMILARITY_BLOCK, seed: int = 42
+) -> tuple[DataFrame, int, int]:
+    """The rows of ``nearest_similarities``, the pairs of blocks that were skipped, and all pairs.
+
+    Blocks hold tokens of like directions. Every token is compared with its own block first;
+    a block of others is skipped where the angle between the centres less both radii leaves
+    no cosine as high as the lowest ``top_k``-th found so far. Nothing that could be among the
+    best is left out. The driver holds one centre per block.
+    """
+    n = embeddings.count()
+    if not 0 < top_k < n:
+        raise ValueError(f"top_k must be between 1 and {n - 1}")
+    placed, facts = _clustered(embeddings, block, seed)
+    own = placed.groupBy("a").applyInPandas(lambda q: _best(q, q, top_k).assign(a=q["a"].iloc[0]), f"{SIMS}, a string")
+    own = materialize(own, "own-block")
+    floor = F.when(F.size("sims") >= top_k, F.array_min("sims")).otherwise(F.lit(-1.0))
+    floors = {r["a"]: r["f"] for r in own.groupBy("a").agg(F.min(floor).alias("f")).collect()}
+    centres, radius = np.stack(facts["centre"]), facts["radius"].to_numpy()
+    between = np.arccos(np.clip(centres @ centres.T, -1, 1)) - radius[:, None] - radius[None, :]
+    highest = np.cos(np.clip(between, 0, np.pi))
+    lowest = np.array([floors[a] for a in facts["a"]])
+    wanted = (highest >= lowest[:, None] - 1e-9) & ~np.eye(len(facts), dtype=bool)
+    names = facts["a"].to_numpy()
+    pairs = [(str(names[i]), str(names[j])) for i, j in zip(*np.nonzero(wanted))]
+    total = len(names) * (len(names) - 1)
+    if not pairs:
+        return _merged(own.select("id", "sims"), top_k), total, total
+    chosen = F.broadcast(embeddings.sparkSession.createDataFrame(pairs, "a string, b string"))
+    left, right = placed.join(chosen, "a"), placed.toDF("_id", "_vec", "b").join(chosen, "b")
+
+    def compare(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        return _best(q, m.rename(columns={"_id": "id", "_vec": "vec"}), top_k)
+
+    others = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(compare, SIMS)
+    return _merged(own.select("id", "sims").unionByName(others), top_k), total - len(pairs), total
 
 
 def last_token_similarity(
@@ -133,7 +211,7 @@ def last_token_similarity(
 
     Computed once per vocabulary entry, then looked up; rows that end in a frequent token do not move.
     """
-    table = materialize(nearest_similarities(embeddings, top_k), "similarities")
+    table = materialize(pruned_similarities(embeddings, top_k)[0], "similarities")
     zeros = F.array_repeat(F.lit(0.0), top_k)
     asked = rows.withColumn("_last", last_token(F.col(ctx)))
     # The ID is the rank of a token by frequency.

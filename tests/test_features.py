@@ -223,3 +223,20 @@ def test_pca_of_all_components_keeps_lengths(spark):
     reduced = model.transform(df.select("doc_id", array_to_vector("v").alias("_raw"))).orderBy("doc_id").collect()
     centred = m - m.mean(axis=0)
     np.testing.assert_allclose([r._reduced.dot(r._reduced) for r in reduced], (centred**2).sum(axis=1))
+
+
+@pytest.mark.parametrize(("block", "spread"), [(20, 0.05), (20, 5.0), (1000, 0.05)])
+def test_pruned_nearest_equals_the_full_product(spark, block, spread):
+    """Tight groups let most pairs of blocks be skipped, loose ones few; the result is the same."""
+    rng = np.random.RandomState(7)
+    m = np.concatenate([rng.randn(12) * 3 + rng.randn(25, 12) * spread for _ in range(6)]).astype(np.float32)
+    m[3] = 0
+    table = spark.createDataFrame([(2 * i, [float(x) for x in v]) for i, v in enumerate(m)], "id int, vec array<float>")
+    full = {r.id: r.sims for r in emb.nearest_similarities(table, 5).collect()}
+    found, skipped, total = emb.pruned_similarities(table, 5, block)
+    got = {r.id: r.sims for r in found.collect()}
+    assert sorted(got) == sorted(full)
+    for i in full:
+        np.testing.assert_allclose(got[i], full[i], atol=1e-9)
+    if block < 1000 and spread < 1:
+        assert skipped > total / 4
