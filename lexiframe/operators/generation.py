@@ -99,7 +99,7 @@ def continue_ids(
     for step in range(max_new_tokens):
         state = materialize(state, "generated")
         if former is not None:
-            discard(former)
+            discard(former, shuffles=False)
         former = state
         active = state.where(~F.col("done"))
         if step > 0 and active.isEmpty():

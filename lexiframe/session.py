@@ -70,21 +70,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return stored
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def _delete(spark: SparkSession, paths: list[str], shuffles: bool = True) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for text in paths:
         path = jvm.org.apache.hadoop.fs.Path(text)
         path.getFileSystem(conf).delete(path, True)
-    # Shuffle files go with the plans that made them.
-    gc.collect()
-    jvm.System.gc()
+    if shuffles:
+        # Shuffle files go with the plans that made them.
+        gc.collect()
+        jvm.System.gc()
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete copies made by ``materialize``; nothing may read them any more. Other tables are left alone."""
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Delete copies made by ``materialize``; nothing may read them any more. Other tables are left alone.
+
+    With ``shuffles`` the shuffle files of plans that are out of use go too.
+    """
     paths = [path for path in (_paths.pop(t, None) for t in tables) if path]
     if paths:
-        _delete(tables[0].sparkSession, paths)
+        _delete(tables[0].sparkSession, paths, shuffles)
 
 
 @contextlib.contextmanager
