@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.components import connected_components
 from lexiframe.llm.keys import NO_ID, present
-from lexiframe.llm.words import BASES, LOWER_ASCII, Powers, Rolling, WordHashes, mix, signed
+from lexiframe.llm.words import BASES, LOWER_ASCII, Powers, Rolling, WordHashes, mix, release_memory, signed
 from lexiframe.session import materialize, partition_by
 
 WORDS = 4
@@ -78,6 +78,8 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             values, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
             often = n >= max(4, len(batch) // 1000)
             yield pd.DataFrame({"token": signed(values[often]), "n": n[often]})
+        hashes.clear()
+        release_memory()
 
     counts = docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
@@ -115,6 +117,8 @@ def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n", "class_a", "class_b", "prefix", "sketch", "fine"])
             out.insert(0, "node", batch["node"].to_numpy())
             yield out
+        hashes.clear()
+        release_memory()
 
     schema = "node long, n int, class_a long, class_b long, prefix array<long>, sketch binary, fine binary"
     return docs.mapInPandas(run, schema)
@@ -173,6 +177,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                     signed(s[np.argsort(mix(s ^ np.uint64(seed)))[: prefix_size(len(s), percent)]]) for s in sets
                 ]
             yield pd.DataFrame(out)
+        hashes.clear()
+        release_memory()
 
     schema = "node long, tokens array<long>, " + ", ".join(f"prefix_{i} array<long>" for i in range(len(ORDERS)))
     sets = materialize(_rows_of(docs, nodes).mapInPandas(run, schema), "sets")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiframe.llm.words import release_memory
+
 HASH_BITS = 16
 NGRAMS = (2, 3, 4)
 SWITCH_PENALTY = 8.0
@@ -150,16 +152,17 @@ def viterbi(scores: np.ndarray, word_at: list[np.ndarray], penalty: float) -> li
     ``word_at`` has the rows of ``scores`` for the words of each text. Step t handles the
     t-th word of every text that has one; ties go to the first language, and to staying.
     """
+    kind = np.min_scalar_type(max(scores.shape[1] - 1, 0))
     order = sorted(range(len(word_at)), key=lambda i: -len(word_at[i]))
     sizes = np.array([len(word_at[i]) for i in order])
     steps = int(sizes[0]) if len(sizes) else 0
     if not steps:
-        return [np.empty(0, np.uint8) for _ in word_at]
+        return [np.empty(0, kind) for _ in word_at]
     bases = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     flat = np.concatenate([word_at[i] for i in order])
-    came = np.zeros((len(flat), scores.shape[1]), np.uint8)
+    came = np.zeros((len(flat), scores.shape[1]), kind)
     active = np.searchsorted(-sizes, -np.arange(steps), side="left")
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    own = np.arange(scores.shape[1], dtype=kind)
     value = np.zeros((len(order), scores.shape[1]), np.float32)
     for t in range(steps):
         k = active[t]
@@ -168,18 +171,18 @@ def viterbi(scores: np.ndarray, word_at: list[np.ndarray], penalty: float) -> li
             top = v.argmax(axis=1)
             switched = v[np.arange(k), top][:, None] - np.float32(penalty)
             stay = v >= switched
-            came[bases[:k] + t] = np.where(stay, own, top[:, None].astype(np.uint8))
+            came[bases[:k] + t] = np.where(stay, own, top[:, None].astype(kind))
             v = np.maximum(v, switched)
             v = v - v.max(axis=1, keepdims=True)
         value[:k] = v + scores[flat[bases[:k] + t]]
-    labels = np.empty(len(flat), np.uint8)
-    state = value.argmax(axis=1).astype(np.uint8)
+    labels = np.empty(len(flat), kind)
+    state = value.argmax(axis=1).astype(kind)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = bases[:k] + t
         labels[at] = state[:k]
         state[:k] = came[at, state[:k]]
-    out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(word_at)
+    out: list[np.ndarray] = [np.empty(0, kind)] * len(word_at)
     for place, i in enumerate(order):
         out[i] = labels[bases[place] : bases[place] + sizes[place]]
     return out
@@ -242,7 +245,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = S
                 size = np.diff(np.concatenate([first, [len(label)]]))
                 spans.append([{"lang": l, "start": int(s), "n": int(n)} for l, s, n in zip(names[label[first]], first, size)])
             yield pd.DataFrame({"lang_pred": preds, "score": shares, "spans": spans})
+        known.clear()
+        release_memory()
 
-    return docs.withColumn("_lang", decode.asNondeterministic()("text")).select(
-        *[F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "spans")], "_lang.lang_pred", "_lang.score", "_lang.spans"
+    made = ("lang_pred", "score", "spans")
+    found = "_lang" + "_" * max(map(len, docs.columns))  # no column has this name
+    return docs.withColumn(found, decode.asNondeterministic()("text")).select(
+        *[F.col(c) for c in docs.columns if c not in made], *[F.col(f"{found}.{c}").alias(c) for c in made]
     )

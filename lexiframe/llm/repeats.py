@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.llm.keys import original, present
-from lexiframe.llm.words import BASES, Powers, Rolling, WordHashes, covered, mix, signed
+from lexiframe.llm.words import BASES, Powers, Rolling, WordHashes, covered, mix, release_memory, signed
 from lexiframe.session import discard, materialize
 
 MIN_WORDS = 50
@@ -77,6 +77,8 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
             at, anchor, stretch, first, count = (np.concatenate(c) for c in zip(*out))
             keys = {c: batch[c].to_numpy()[at] for c in ("doc_id", "__text")}
             yield pd.DataFrame({**keys, "anchor": anchor, "stretch": stretch, "start": first, "n": count})
+        hashes.clear()
+        release_memory()
 
     schema = "doc_id long, __text long, anchor long, stretch long, start int, n int"
     found = materialize(docs.mapInPandas(seeds, schema), "anchors")
@@ -124,6 +126,8 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHO
             at, anchor, window, start = (np.concatenate(c) for c in zip(*out))
             keys = {c: batch[c].to_numpy()[at] for c in ("doc_id", "__text")}
             yield pd.DataFrame({**keys, "anchor": anchor, "window": window, "start": start})
+        hashes.clear()
+        release_memory()
 
     windows = docs.join(places, ["doc_id", "__text"]).select("doc_id", "__text", "text", "places").mapInPandas(
         extend, "doc_id long, __text long, anchor long, window long, start int"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 # A worker forgets its cache beyond this many words (some 45 MB).
@@ -75,6 +78,14 @@ class Rolling:
         return mix(value + mix((end - start).astype(np.uint64)))
 
 
+def release_memory() -> None:
+    """Give back what a worker has freed: it is kept for later tasks, and others need the memory meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray:
     """Which of ``n`` words lie in a run [start, start + length)."""
     change = np.zeros(n + 1, np.int64)
