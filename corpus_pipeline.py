@@ -19,7 +19,7 @@ from lexiframe.session import delete_copies, discard, let_workers_import, materi
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Texts are long: an Arrow batch of Spark's 10,000 of them takes too much of a Python worker's memory.
-BATCH_ROWS = 2500
+BATCH_ROWS = 1000
 # A text whose main language has a smaller share of its distinct words' letters is rejected.
 MIN_LANGUAGE_SHARE = 0.35
 # Near copies share so much of their shingles of so many words; 4 words and 85 % hold for op6_ngram_jaccard only.
