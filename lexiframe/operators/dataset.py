@@ -20,6 +20,9 @@ TOP_TARGETS = 10
 
 ROW_KEYS = ("doc_id", "pos")
 
+# Positions of a piece of a document; a row on its way to its context carries one piece.
+PIECE = 64
+
 
 def context_windows(
     encoded: DataFrame,
@@ -31,7 +34,9 @@ def context_windows(
 
     ``pos`` counts from 1, ``y`` is the ID there, ``ctx`` the ``context_length`` IDs
     before it with PAD on the left. A narrow step: nothing is shuffled, and a reader
-    of ``y`` alone does not build ``ctx``.
+    of ``y`` alone does not build ``ctx``. A step that copies rows before it takes the slice,
+    as Python functions do, would copy the whole document for each of its positions; so
+    a document is cut into overlapping pieces first.
     """
     length = context_length
     if length < 1:
@@ -39,13 +44,17 @@ def context_windows(
     padded = encoded.where(F.size(ids) >= 2).select(
         *keys, F.concat(F.array_repeat(F.lit(PAD), length), F.col(ids)).alias("_padded")
     )
-    positions = F.sequence(F.lit(1), F.size("_padded") - (length + 1))
-    rows = padded.select(*keys, "_padded", F.explode(positions).alias("pos"))
+    begins = F.sequence(F.lit(0), F.size("_padded") - (length + 2), F.lit(PIECE))
+    pieces = padded.select(*keys, "_padded", F.explode(begins).alias("_begin"))
+    inside = F.sequence(F.col("_begin"), F.least(F.col("_begin") + (length + PIECE), F.size("_padded") - 1))
+    pieces = pieces.select(*keys, "_begin", F.transform(inside, lambda i: F.get("_padded", i)).alias("_piece"))
+    positions = F.sequence(F.lit(1), F.size("_piece") - (length + 1))
+    rows = pieces.select(*keys, "_begin", "_piece", F.explode(positions).alias("_at"))
     return rows.select(
         *keys,
-        "pos",
-        F.slice("_padded", F.col("pos") + 1, F.lit(length)).alias("ctx"),
-        F.element_at("_padded", F.col("pos") + (length + 1)).alias("y"),
+        (F.col("_begin") + F.col("_at")).alias("pos"),
+        F.slice("_piece", F.col("_at") + 1, F.lit(length)).alias("ctx"),
+        F.element_at("_piece", F.col("_at") + (length + 1)).alias("y"),
     )
 
 

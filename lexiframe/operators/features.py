@@ -33,6 +33,8 @@ POOLS = ("mean", "max", "position")
 MATRIX_BYTES = 128 << 20
 # Contexts pooled at a time inside a task; bounds the gathered block.
 POOL_ROWS = 1024
+# Up to so many IDs a context, contexts are pooled as windows of the sequence they are cut from.
+JOINED_SHARE = 4
 # IDs of a block of a larger table, and contexts that meet it in one group.
 POOL_BLOCK, POOL_GROUP = 4096, 50_000
 
@@ -60,17 +62,47 @@ def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> tup
     matrix, present = np.zeros(shape, dtype=np.float32), np.zeros(shape[0], dtype=bool)
     matrix[table["id"].to_numpy()] = np.stack(table["vec"].to_numpy())
     present[table["id"].to_numpy()] = True
-    present[PAD] = False
+    matrix[PAD], present[PAD] = 0, False
     return matrix, present
 
 
+def _joined_windows(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts): contexts as windows of one sequence; one that is the former moved on by an ID adds only that."""
+    length = block.shape[1]
+    first = np.append(True, (block[1:, :-1] != block[:-1, 1:]).any(axis=1))
+    ends = np.cumsum(np.where(first, length, 1)) - 1
+    ids = np.empty(ends[-1] + 1, dtype=block.dtype)
+    ids[ends] = block[:, -1]
+    ids[ends[first][:, None] - np.arange(length - 1, 0, -1)] = block[first, :-1]
+    return ids, ends - (length - 1)
+
+
+def _window_sums(values: np.ndarray, length: int, factor: float, largest: bool = False) -> np.ndarray:
+    """sum of factor^j * values[i + j] over j < ``length`` for every i, or the maximum, from windows of doubled width."""
+
+    def merge(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+        n = len(b) - apart
+        if largest:
+            return np.maximum(a[:n], b[apart:])
+        return a[:n] + (b[apart:] if factor == 1.0 else b[apart:] * factor**apart)
+
+    out, done, width = None, 0, 1
+    while True:
+        if length & width:
+            out = values if out is None else merge(out, values, done)
+            done += width
+        if done == length:
+            return out
+        values, width = merge(values, values, width), 2 * width
+
+
 def _pool_in_tasks(
     rows: DataFrame, matrix: np.ndarray, present: np.ndarray, kinds: Sequence[str], ctx: str
 ) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((matrix, present))
     dim = matrix.shape[1]
 
-    def pool(block: np.ndarray, kind: str) -> np.ndarray:
+    def pool_scattered(block: np.ndarray, kind: str) -> np.ndarray:
         """One position at a time, so that the block of vectors stays in the cache."""
         vecs, present = shared.value
         n, length = block.shape
@@ -93,27 +125,60 @@ def _pool_in_tasks(
             out /= np.where(total > 0, total, 1.0)[:, None]
         return out
 
-    fields = ", ".join(f"{k}: array<double>" for k in kinds)
+    def pool(block: np.ndarray) -> dict[str, np.ndarray]:
+        """Contexts that follow each other share their IDs: a vector is fetched once, and windows are put together."""
+        n, length = block.shape
+        ids, starts = _joined_windows(block) if n and length else (block.ravel(), None)
+        if starts is None or len(ids) > JOINED_SHARE * n + length:
+            return {kind: pool_scattered(block, kind) for kind in kinds}
+        vecs, present = shared.value
+        known = (ids >= 0) & (ids < len(present))
+        ids = np.where(known, ids, PAD)
+        known &= present[ids]
+        vectors = vecs[ids].astype(np.float64)
+        out = {}
+        for kind in kinds:
+            if kind == "max":
+                found = _window_sums(np.where(known[:, None], vectors, -np.inf), length, 1.0, True)[starts]
+                found[_window_sums(known.astype(np.float64), length, 1.0)[starts] == 0] = EMPTY_MAX
+            else:
+                factor = np.exp(1 / length) if kind == "position" else 1.0
+                total = _window_sums(known.astype(np.float64), length, factor)[starts]
+                found = _window_sums(vectors, length, factor)[starts] / np.where(total > 0, total, 1.0)[:, None]
+            out[kind] = found
+        return out
 
-    @F.arrow_udf(f"struct<{fields}>")
-    def pooled(contexts: pa.Array) -> pa.Array:
+    def pooled(contexts: pa.Array) -> dict[str, pa.Array]:
         n = len(contexts)
         lengths = contexts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ids = contexts.flatten().fill_null(PAD).to_numpy(zero_copy_only=False)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if n else np.zeros(0, dtype=np.int64)
-        results = {kind: np.zeros((n, dim)) for kind in kinds}
+        results = {kind: np.empty((n, dim)) for kind in kinds}
         for length in np.unique(lengths):
             same = np.flatnonzero(lengths == length)
             for i in range(0, len(same), POOL_ROWS):
                 at = same[i : i + POOL_ROWS]
                 block = ids[starts[at][:, None] + np.arange(length)[None, :]] if length else np.zeros((len(at), 0), np.int32)
-                for kind in kinds:
-                    results[kind][at] = pool(block, kind)
+                for kind, found in pool(block).items():
+                    results[kind][at] = found
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        arrays = [pa.ListArray.from_arrays(offsets, pa.array(results[kind].ravel())) for kind in kinds]
-        return pa.StructArray.from_arrays(arrays, list(kinds))
+        return {kind: pa.ListArray.from_arrays(offsets, pa.array(results[kind].ravel())) for kind in kinds}
+
+    if len(kinds) == 1:
+        # An array of its own: functions of the pool run in the same pass of the worker.
+        @F.arrow_udf("array<double>")
+        def one_pool(contexts: pa.Array) -> pa.Array:
+            return pooled(contexts)[kinds[0]]
+
+        return rows.withColumn(f"{kinds[0]}_pooled", one_pool(F.col(ctx)))
+
+    fields = ", ".join(f"{k}: array<double>" for k in kinds)
+
+    @F.arrow_udf(f"struct<{fields}>")
+    def pools(contexts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(list(pooled(contexts).values()), list(kinds))
 
-    return rows.withColumn("_pooled", pooled(F.col(ctx))).select(
+    return rows.withColumn("_pooled", pools(F.col(ctx))).select(
         *rows.columns, *[F.col(f"_pooled.{k}").alias(f"{k}_pooled") for k in kinds]
     )
 
