@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lexiframe.operators.dataset import ROW_KEYS
 from lexiframe.operators.features import FeatureOptions, assemble_features, fit_pca, fit_prototypes, pool_embeddings
-from lexiframe.session import discard, materialize
 
 
 class ContextFeatures(Estimator):
@@ -39,12 +38,10 @@ class ContextFeatures(Estimator):
         prototypes, pca = None, {}
         if self.options.prototypes:
             prototypes = fit_prototypes(self.embeddings, self.options.n_prototypes)
-        kinds = self._reduced()
-        if kinds:
-            pooled = pool_embeddings(dataset, self.embeddings, kinds, self.ctx, self.keys)
-            pooled = materialize(pooled.select(*[f"{k}_pooled" for k in kinds]), "pooled")
-            pca = {k: fit_pca(pooled, f"{k}_pooled", self.options.reduce_to) for k in kinds}
-            discard(pooled)
+        for kind in self._reduced():
+            # Pooled anew in every pass of the fit: stored, vectors take many times the room of the contexts.
+            pooled = pool_embeddings(dataset, self.embeddings, (kind,), self.ctx, self.keys)
+            pca[kind] = fit_pca(pooled, f"{kind}_pooled", self.options.reduce_to)
         return ContextFeaturesModel(self.options, self.embeddings, prototypes, pca, length, self.ctx, self.keys)
 
     def _reduced(self) -> list[str]:

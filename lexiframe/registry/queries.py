@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lexiframe.functions.ids import context_length, left_pad_context, pad_ids, truncate_ids, type_token_ratio, unk_count
 from lexiframe.functions.text import tokenize
@@ -97,6 +99,21 @@ def weighted(vec: Column) -> Column:
     )
 
 
+@F.arrow_udf(DoubleType())
+def weighted_in_batches(vecs: pa.Array) -> pa.Array:
+    """``weighted`` for columns with a vector per context; vectors without null elements."""
+    lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
+    values = vecs.flatten().to_numpy(zero_copy_only=False)
+    if len(lengths) and (lengths == lengths[0]).all() and lengths[0]:
+        width = int(lengths[0])
+        return pa.array(values.reshape(-1, width) @ np.arange(1.0, width + 1))
+    sizes = np.nan_to_num(lengths).astype(np.int64)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(values)) - np.repeat(ends - sizes, sizes) + 1.0
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * place, len(sizes))
+    return pa.array(sums, mask=np.isnan(lengths.astype(np.float64)))
+
+
 def per_doc(rows: DataFrame, value: Column) -> DataFrame:
     return rows.select("doc_id", value.alias("v")).groupBy("doc_id").agg(
         rounded(F.avg("v"), "avg_value", 5), rounded(F.min("v"), "min_value", 5), rounded(F.max("v"), "max_value", 5)
@@ -570,7 +587,7 @@ def embedding_size_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pooled(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf)
-    return per_doc(features.pool_embeddings(rows, vecs, (kind,)), weighted(F.col(f"{kind}_pooled")))
+    return per_doc(features.pool_embeddings(rows, vecs, (kind,)), weighted_in_batches(F.col(f"{kind}_pooled")))
 
 
 @query
@@ -597,7 +614,7 @@ def nearest_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def last_token_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf)
-    return per_doc(embeddings.last_token_similarity(rows, vecs), weighted(F.col("last_token_sims")))
+    return per_doc(embeddings.last_token_similarity(rows, vecs), weighted_in_batches(F.col("last_token_sims")))
 
 
 @query
@@ -613,8 +630,8 @@ def prototype_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pca_reduce(spark: SparkSession, sf: str) -> DataFrame:
-    rows, vecs = embedded_windows(spark, sf)
-    pooled = materialize(features.pool_embeddings(rows, vecs, ("mean",)).select("doc_id", "mean_pooled"), "pooled")
+    rows, vecs = embedded_windows(spark, sf, stored=True)
+    pooled = features.pool_embeddings(rows, vecs, ("mean",)).select("doc_id", "mean_pooled")
     reduced = features.pca_reduce(pooled, "mean_pooled", 8)
     return reduced.groupBy("doc_id").agg(
         F.max(F.size("mean_pooled")).alias("dim"), F.avg(F.abs(F.col("mean_pooled")[0])).alias("first_component")
@@ -631,15 +648,14 @@ def given_prototypes(spark: SparkSession, sf: str) -> DataFrame:
     centres = vecs.where(F.col("id") < N_GIVEN).orderBy("id").collect()
     pooled = features.pool_embeddings(rows, vecs, ("mean",))
     sims = features.prototype_similarity(pooled, np.array([r["vec"] for r in centres], dtype=np.float64))
-    return per_doc(sims, weighted(F.col("prototype_sims")))
+    return per_doc(sims, weighted_in_batches(F.col("prototype_sims")))
 
 
 @query
 def pca_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """With all components a reduced row is as long as the centred one."""
-    rows, vecs = embedded_windows(spark, sf)
+    rows, vecs = embedded_windows(spark, sf, stored=True)
     pooled = features.pool_embeddings(rows, vecs, ("mean",)).select("doc_id", "mean_pooled")
-    pooled = materialize(pooled, "pooled")
     dim = embeddings.dimension(vecs)
     model = features.fit_pca(pooled, "mean_pooled", dim)
     reduced = model.transform(pooled.withColumn("_raw", array_to_vector("mean_pooled")))
@@ -651,7 +667,7 @@ def pca_lengths(spark: SparkSession, sf: str) -> DataFrame:
 def feature_model(spark: SparkSession, sf: str) -> DataFrame:
     """Prototypes and PCA fit on the training rows, saved, loaded and applied to the validation rows."""
     rows, vecs = embedded_windows(spark, sf, stored=True)
-    split = materialize(splitting.train_val_split(rows, 0.1, SEED), "split")
+    split = splitting.train_val_split(rows, 0.1, SEED)
     options = features.FeatureOptions(mean_pooled=True, prototypes=True, max_pooled=True, reduce_to=8)
     path = new_path(spark, "feature-model")
     ContextFeatures(options, vecs).fit(split.where(F.col("split") == "train")).save(path)
@@ -662,14 +678,15 @@ def feature_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows, vecs = embedded_windows(spark, sf)
+    rows, vecs = embedded_windows(spark, sf, stored=True)
     options = features.FeatureOptions(mean_pooled=True, last_token=True, position_pooled=True, max_pooled=True)
     built, names, categorical = features.assemble_features(rows, options, vecs)
     values = built.select("doc_id", vector_to_array("features").alias("f"))
+    values = values.select("doc_id", F.size("f").alias("n"), weighted_in_batches(F.col("f")).alias("v"))
     return values.groupBy("doc_id").agg(
-        F.max(F.size("f")).alias("n_features"),
+        F.max("n").alias("n_features"),
         F.lit(len(categorical)).alias("n_categorical"),
-        rounded(F.avg(weighted(F.col("f"))), "avg_weighted", 3),
+        rounded(F.avg("v"), "avg_weighted", 3),
     )
 
 
