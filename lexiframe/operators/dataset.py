@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import hash_key
 from lexiframe.functions.ids import PAD, UNK, pad_count, unk_count
+from lexiframe.functions.sequences import segments
 from lexiframe.operators.ranking import number_in_order, take_by_key, take_first
 from lexiframe.operators.summary import one_row
+from lexiframe.session import partition_by
 
 # Defaults of the dataset step.
 CONTEXT_LENGTH = 16
@@ -22,6 +26,8 @@ ROW_KEYS = ("doc_id", "pos")
 
 # Positions of a piece of a document; a row on its way to its context carries one piece.
 PIECE = 64
+# Equal contexts meet by the least hash of their runs of so many IDs, in so many times the usual partitions.
+KEY_IDS, KEY_PARTS = 4, 4
 
 
 def context_windows(
@@ -84,13 +90,51 @@ def limit_samples(
     return take_first(rows, [F.asc(k) for k in keys], max_samples)
 
 
+def _in_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, length, ids) for (ctx): contexts as windows of ``length`` of a stretch of IDs, see ``segments``."""
+    absent = 1 << 40
+    for batch in batches:
+        contexts = batch.column(0)
+        sizes = contexts.value_lengths()
+        ids = contexts.flatten().cast(pa.int64()).fill_null(absent).to_numpy(zero_copy_only=False)
+        lengths = sizes.fill_null(0).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(lengths) - lengths
+        for length in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == length)
+            keys, n, values = segments(ids[starts[at][:, None] + np.arange(length)[None, :]], KEY_IDS)
+            offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            values = pa.array(np.where(values == absent, 0, values).astype(np.int32), mask=values == absent)
+            found = [pa.array(keys), pa.array(np.full(len(keys), length, np.int32)), pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(found, ["key", "length", "ids"])
+        # Contexts that are empty or null.
+        rest = [None] * (sizes.null_count > 0) + [[]] * bool((sizes.fill_null(1).to_numpy(zero_copy_only=False) == 0).any())
+        if rest:
+            found = [pa.array([0] * len(rest), pa.int64()), pa.array([0] * len(rest), pa.int32()), pa.array(rest, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(found, ["key", "length", "ids"])
+
+
+def _distinct_contexts(rows: DataFrame) -> DataFrame:
+    """(key, ctx): every different context once.
+
+    Contexts that follow each other share all IDs but one, so they travel together, as the stretch they
+    are windows of, and are taken apart where equal ones meet.
+    """
+    contexts = rows.select(F.col("ctx").cast("array<int>").alias("ctx"))
+    made = contexts.mapInArrow(_in_segments, "key long, length int, ids array<int>")
+    dealt = partition_by(made, "key", times=KEY_PARTS)
+    starts = F.sequence(F.lit(1), F.size("ids") - F.col("length") + 1)
+    windows = F.transform(starts, lambda i: F.slice("ids", i, F.col("length")))
+    parts = F.when(F.col("length") > 0, windows).otherwise(F.array("ids"))
+    return dealt.select("key", F.explode(parts).alias("ctx")).distinct()
+
+
 def n_unique(rows: DataFrame) -> DataFrame:
     """Different contexts and different targets, exactly.
 
     Two separate distinct counts: one aggregate with both would double the rows.
     """
     return one_row(
-        rows.select("ctx").distinct().agg(F.count(F.lit(1)).alias("n_unique_contexts")),
+        _distinct_contexts(rows).agg(F.count(F.lit(1)).alias("n_unique_contexts")),
         rows.select("y").distinct().agg(F.count(F.lit(1)).alias("n_unique_targets")),
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiframe.functions.ids import PAD, context_length, type_token_ratio, unk_count
+from lexiframe.functions.sequences import joined_windows
 from lexiframe.operators.dataset import ROW_KEYS, feature_names
 from lexiframe.operators.embeddings import TOP_K_SIMILAR, last_token_similarity
 from lexiframe.session import materialize
@@ -66,17 +67,6 @@ def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> tup
     return matrix, present
 
 
-def _joined_windows(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, starts): contexts as windows of one sequence; one that is the former moved on by an ID adds only that."""
-    length = block.shape[1]
-    first = np.append(True, (block[1:, :-1] != block[:-1, 1:]).any(axis=1))
-    ends = np.cumsum(np.where(first, length, 1)) - 1
-    ids = np.empty(ends[-1] + 1, dtype=block.dtype)
-    ids[ends] = block[:, -1]
-    ids[ends[first][:, None] - np.arange(length - 1, 0, -1)] = block[first, :-1]
-    return ids, ends - (length - 1)
-
-
 def _window_sums(values: np.ndarray, length: int, factor: float, largest: bool = False) -> np.ndarray:
     """sum of factor^j * values[i + j] over j < ``length`` for every i, or the maximum, from windows of doubled width."""
 
@@ -128,7 +118,7 @@ def _pool_in_tasks(
     def pool(block: np.ndarray) -> dict[str, np.ndarray]:
         """Contexts that follow each other share their IDs: a vector is fetched once, and windows are put together."""
         n, length = block.shape
-        ids, starts = _joined_windows(block) if n and length else (block.ravel(), None)
+        ids, starts = joined_windows(block) if n and length else (block.ravel(), None)
         if starts is None or len(ids) > JOINED_SHARE * n + length:
             return {kind: pool_scattered(block, kind) for kind in kinds}
         vecs, present = shared.value

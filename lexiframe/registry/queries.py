@@ -99,19 +99,23 @@ def weighted(vec: Column) -> Column:
     )
 
 
-@F.arrow_udf(DoubleType())
-def weighted_in_batches(vecs: pa.Array) -> pa.Array:
+def weighted_in_batches(column: Column) -> Column:
     """``weighted`` for columns with a vector per context; vectors without null elements."""
-    lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
-    values = vecs.flatten().to_numpy(zero_copy_only=False)
-    if len(lengths) and (lengths == lengths[0]).all() and lengths[0]:
-        width = int(lengths[0])
-        return pa.array(values.reshape(-1, width) @ np.arange(1.0, width + 1))
-    sizes = np.nan_to_num(lengths).astype(np.int64)
-    ends = np.cumsum(sizes)
-    place = np.arange(len(values)) - np.repeat(ends - sizes, sizes) + 1.0
-    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * place, len(sizes))
-    return pa.array(sums, mask=np.isnan(lengths.astype(np.float64)))
+
+    @F.arrow_udf(DoubleType())
+    def weighted_sum(vecs: pa.Array) -> pa.Array:
+        lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
+        values = vecs.flatten().to_numpy(zero_copy_only=False)
+        if len(lengths) and lengths[0] and (lengths == lengths[0]).all():
+            width = int(lengths[0])
+            return pa.array(values.reshape(-1, width) @ np.arange(1.0, width + 1))
+        sizes = np.nan_to_num(lengths).astype(np.int64)
+        ends = np.cumsum(sizes)
+        place = np.arange(len(values)) - np.repeat(ends - sizes, sizes) + 1.0
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * place, len(sizes))
+        return pa.array(sums, mask=np.isnan(lengths.astype(np.float64)))
+
+    return weighted_sum(column)
 
 
 def per_doc(rows: DataFrame, value: Column) -> DataFrame:

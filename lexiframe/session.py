@@ -121,15 +121,15 @@ def copies_of(spark: SparkSession) -> Iterator[list[DataFrame]]:
             delete_copies(spark, [path for path in made if path not in stay])
 
 
-def partition_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into as many partitions as the session shuffles into.
+def partition_by(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+    """Hash-partition by ``keys`` into ``times`` as many partitions as the session shuffles into.
 
     The number is given, as later steps multiply the rows: sizing partitions by the
     bytes of the short input would leave a handful of tasks with all the work.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(n * times, *keys)
 
 
 def let_workers_import(spark: SparkSession) -> None:
