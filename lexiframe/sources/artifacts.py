@@ -86,13 +86,25 @@ def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, Tokenizer
     return read_vocab(spark, f"{path}/vocab"), TokenizerOptions(**stored)
 
 
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+SPLITS = 8
+
+
 def write_dataset(rows: DataFrame, path: str) -> None:
     """Training rows, one folder per ``split`` when they have one, and their metadata."""
+    spark = rows.sparkSession
     writer = rows.write.mode("overwrite")
     if "split" in rows.columns:
-        writer = writer.partitionBy("split")
-    writer.parquet(f"{path}/rows")
-    stored = rows.sparkSession.read.parquet(f"{path}/rows")
+        # A task keeps a file open for each split; else it would sort, and spill, its rows by split first.
+        former = spark.conf.get(OPEN_FILES)
+        spark.conf.set(OPEN_FILES, max(int(former), SPLITS))
+        try:
+            writer.partitionBy("split").parquet(f"{path}/rows")
+        finally:
+            spark.conf.set(OPEN_FILES, former)
+    else:
+        writer.parquet(f"{path}/rows")
+    stored = spark.read.parquet(f"{path}/rows")
     dataset_metadata(stored).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
