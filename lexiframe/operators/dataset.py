@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lexiframe.functions.hashing import hash_key
 from lexiframe.functions.ids import PAD, UNK, pad_count, unk_count
 from lexiframe.functions.sequences import segments
-from lexiframe.operators.ranking import number_in_order, take_by_key, take_first
+from lexiframe.operators.ranking import SMALL_BUCKET, SMALL_LIMIT, number_in_order, take_by_key, take_first
 from lexiframe.operators.summary import one_row
-from lexiframe.session import partition_by
+from lexiframe.session import materialize, partition_by
 
 # Defaults of the dataset step.
 CONTEXT_LENGTH = 16
@@ -87,9 +87,28 @@ def limit_samples(
         return rows
     if shuffle:
         return take_by_key(rows, hash_key(seed, *keys), max_samples)
+    if SMALL_LIMIT < max_samples <= SMALL_BUCKET:
+        rows = _first_keys(rows, keys[0], max_samples)
     return take_first(rows, [F.asc(k) for k in keys], max_samples)
 
 
+def _first_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of the lowest values of ``key``, of as many as hold ``n`` rows; nulls come first.
+
+    Every value holds a row, so no more than ``n`` counts are summed up.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    lowest = materialize(counts.orderBy(F.asc(key)).limit(n), "counts")
+    upto = W.orderBy(F.asc(key)).rowsBetween(W.unboundedPreceding, 0)
+    reached = lowest.select(key, F.sum("_n").over(upto).alias("_cum")).where(F.col("_cum") >= n).orderBy(F.asc(key)).first()
+    if reached is None:
+        return rows
+    last = F.lit(reached[0]).cast(rows.schema[key].dataType)
+    return rows.where(F.col(key).isNull() | F.coalesce(F.col(key) <= last, F.lit(False)))
+
+
+
+
 def _in_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, length, ids) for (ctx): contexts as windows of ``length`` of a stretch of IDs, see ``segments``."""
     absent = 1 << 40

@@ -1,0 +1,29 @@
+from lexiframe.operators.dataset import limit_samples
+from lexiframe.operators.next_token import fit_next_token_model, score_targets
+from lexiframe.session import recorded_copies
+
+N = 12_000
+
+
+def test_only_the_first_documents_are_put_in_order(spark):
+    pairs = [(None if d == 0 else d, p) for d in range(40) for p in range(700)]
+    rows = spark.createDataFrame(pairs, "doc_id long, pos int").repartition(4, "pos")
+    with recorded_copies() as made:
+        taken = [(r["doc_id"], r["pos"]) for r in limit_samples(rows, N, shuffle=False).collect()]
+    assert sorted(taken, key=str) == sorted(pairs[:N], key=str)
+    ranked = [path for path in made if "/ranked-" in path]
+    assert spark.read.parquet(ranked[0]).count() < N + 700
+    assert limit_samples(rows.limit(N - 1), N, shuffle=False).count() == N - 1
+
+
+def test_rows_meet_the_model_as_different_pairs(spark):
+    rows = [(i, [1, 2 + i % 2], 3 + i % 3) for i in range(60)] + [(60, None, 3), (61, [9, 9], None), (62, [2], 3), (63, [], 3)]
+    rows = spark.createDataFrame(rows, "row_id long, ctx array<int>, y int")
+    scored = score_targets(rows, fit_next_token_model(rows.where("row_id < 60")), 10)
+    found = scored.collect()
+    assert sorted(r["row_id"] for r in found) == list(range(64)) and all(r["loss"] is not None for r in found)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_id") and sum("row_id" in line and "Join" in line for line in plan.splitlines()) == 0
+    top = plan.splitlines()
+    carried = [line for line in top if "row_id" in line and "Project" in line]
+    assert len(carried) <= 2
