@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +86,17 @@ def _window_sums(values: np.ndarray, length: int, factor: float, largest: bool =
         values, width = merge(values, values, width), 2 * width
 
 
+def _held_vectors(rows: DataFrame, embeddings: DataFrame, ctx: str) -> DataFrame:
+    """The vectors of the IDs that contexts hold."""
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten().unique().drop_null()], ["id"])
+
+    held = rows.select(F.col(ctx).cast("array<int>").alias("ctx")).mapInArrow(different, "id int").distinct()
+    return materialize(embeddings.join(held, "id", "left_semi").select("id", "vec"), "held")
+
+
 def _pool_in_tasks(
     rows: DataFrame, matrix: np.ndarray, present: np.ndarray, kinds: Sequence[str], ctx: str
 ) -> DataFrame:
@@ -267,13 +278,17 @@ def pool_embeddings(
     """Add ``<kind>_pooled``: mean, max or position-weighted mean of the vectors of a context.
 
     PAD does not count, nor does an ID without a vector. A context without any vector gives
-    zeros, for ``max`` -1e10. Contexts may differ in width. The size of the table decides
-    how the vectors are reached, not what comes out.
+    zeros, for ``max`` -1e10. Contexts may differ in width. The size of the table, or of what
+    contexts use of it, decides how the vectors are reached, not what comes out.
     """
     unknown = set(kinds) - set(POOLS)
     if unknown:
         raise ValueError(f"unknown pooling: {sorted(unknown)}")
     small = matrix_if_small(embeddings, max_bytes)
+    if small is None:
+        # Texts may use a small part of a large table.
+        held = _held_vectors(rows, embeddings, ctx)
+        small = None if held.isEmpty() else matrix_if_small(held, max_bytes)
     if small is None:
         return pool_by_blocks(rows, embeddings, kinds, ctx, keys)
     return _pool_in_tasks(rows, *small, kinds, ctx)

@@ -57,3 +57,15 @@ def test_a_fit_stores_no_pooled_vectors(spark):
     with recorded_copies() as made:
         model = ContextFeatures(options, _vectors(spark)).fit(context_windows(encoded, 4))
     assert set(model.pca) == {"mean", "max"} and not made
+
+
+def test_of_a_large_table_only_the_vectors_in_use_go_to_workers(spark):
+    _, encoded = _documents(spark)
+    unused = spark.range(1000, 3000).selectExpr("int(id) AS id", "array(1f, 2f, 3f) AS vec")
+    rows, vecs = context_windows(encoded, 4), _vectors(spark)
+    kinds = ("mean", "max", "position")
+    pooled = pool_embeddings(rows, vecs.unionByName(unused), kinds, max_bytes=200)
+    assert "CoGroup" not in pooled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(pooled.collect()) == sorted(pool_embeddings(rows, vecs, kinds).collect())
+    none = pool_embeddings(rows.where("doc_id < 0"), vecs.unionByName(unused), kinds, max_bytes=200)
+    assert none.count() == 0
