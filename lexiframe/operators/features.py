@@ -59,10 +59,13 @@ def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> tup
     shape = (facts["top"] + 1, facts["dim"])
     if shape[0] * shape[1] * 4 > max_bytes:
         return None
-    table = embeddings.select("id", "vec").toPandas()
+    table = embeddings.select(F.col("id").cast("int").alias("id"), F.col("vec").cast("array<float>").alias("vec")).toArrow()
+    vecs, ids = table["vec"].combine_chunks(), table["id"].to_numpy()
+    if table["id"].null_count or vecs.null_count or vecs.flatten().null_count or (vecs.value_lengths().to_numpy() != shape[1]).any():
+        raise ValueError("an ID or a vector of the embedding table is null, or vectors differ in length")
     matrix, present = np.zeros(shape, dtype=np.float32), np.zeros(shape[0], dtype=bool)
-    matrix[table["id"].to_numpy()] = np.stack(table["vec"].to_numpy())
-    present[table["id"].to_numpy()] = True
+    matrix[ids] = vecs.flatten().to_numpy().reshape(-1, shape[1])
+    present[ids] = True
     matrix[PAD], present[PAD] = 0, False
     return matrix, present
 

@@ -3,7 +3,7 @@ import pytest
 
 from lexiframe.operators.dataset import PIECE, context_windows
 from lexiframe.operators.feature_model import ContextFeatures
-from lexiframe.operators.features import EMPTY_MAX, FeatureOptions, pool_embeddings
+from lexiframe.operators.features import EMPTY_MAX, FeatureOptions, matrix_if_small, pool_embeddings
 from lexiframe.session import recorded_copies
 
 DIM = 3
@@ -69,3 +69,16 @@ def test_of_a_large_table_only_the_vectors_in_use_go_to_workers(spark):
     assert sorted(pooled.collect()) == sorted(pool_embeddings(rows, vecs, kinds).collect())
     none = pool_embeddings(rows.where("doc_id < 0"), vecs.unionByName(unused), kinds, max_bytes=200)
     assert none.count() == 0
+
+
+def test_the_matrix_is_collected_as_arrow(spark, monkeypatch):
+    vecs = _vectors(spark)
+    held = {r["id"]: r["vec"] for r in vecs.collect()}
+    monkeypatch.setattr(type(vecs), "toPandas", lambda self: pytest.fail("vectors became Python lists"))
+    matrix, present = matrix_if_small(vecs)
+    assert matrix.dtype == np.float32 and present.tolist() == [i in held and i != 0 for i in range(9)]
+    assert all(matrix[i].tolist() == (held[i] if present[i] else [0.0] * DIM) for i in range(9))
+    for wrong in ("(9, array(1f, 2f))", "(9, null)", "(9, array(1f, 2f, null))", "(null, array(1f, 2f, 3f))"):
+        more = spark.sql(f"SELECT int(col1) AS id, cast(col2 AS array<float>) AS vec FROM VALUES {wrong}")
+        with pytest.raises(ValueError):
+            matrix_if_small(vecs.unionByName(more))
