@@ -38,6 +38,8 @@ POOL_ROWS = 1024
 JOINED_SHARE = 4
 # IDs of a block of a larger table, and contexts that meet it in one group.
 POOL_BLOCK, POOL_GROUP = 4096, 50_000
+# A pass of k-means gives a task so many vectors; a smaller table stays one task.
+KMEANS_ROWS = 8192
 
 
 def with_context_stats(rows: DataFrame, ctx: str = "ctx") -> DataFrame:
@@ -302,9 +304,12 @@ def fit_prototypes(
 ) -> np.ndarray:
     """Centres of k-means over the embedding table, the best of ``n_init`` seeds.
 
-    Fit once and keep: the centres belong to the embeddings, not to the rows.
+    Fit once and keep: the centres belong to the embeddings, not to the rows. Every pass is shared by as many
+    tasks as the table is large, although it may be stored in one file.
     """
-    data = embeddings.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features")).cache()
+    data = embeddings.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    parts = min(-(-data.count() // KMEANS_ROWS), data.sparkSession.sparkContext.defaultParallelism)
+    data = (data.repartition(parts) if parts > data.rdd.getNumPartitions() else data).cache()
     try:
         fits = [KMeans(k=n_prototypes, seed=seed + i, featuresCol="features").fit(data) for i in range(n_init)]
         best = min(fits, key=lambda m: m.summary.trainingCost)

@@ -21,3 +21,22 @@ def test_prototype_similarity_takes_all_starts(spark, monkeypatch):
     monkeypatch.setattr(features, "KMeans", counted)
     assert not queries.QUERIES["prototype_similarity"](spark, SF).isEmpty()
     assert seeds == [features.KMEANS_SEED + i for i in range(10)] and features.KMEANS_INITS == 10
+
+
+def test_passes_over_a_large_table_are_shared_by_tasks(spark, monkeypatch):
+    seen, kmeans = [], features.KMeans
+
+    class Counted:
+        def __init__(self, **options):
+            self.inner = kmeans(**options)
+
+        def fit(self, data):
+            seen.append(data.rdd.getNumPartitions())
+            return self.inner.fit(data)
+
+    monkeypatch.setattr(features, "KMeans", Counted)
+    table = spark.range(0, 40, 1, 1).selectExpr("int(id) AS id", "array(float(id % 5), float(id % 3)) AS vec")
+    features.fit_prototypes(table, 3, n_init=1)
+    monkeypatch.setattr(features, "KMEANS_ROWS", 20)
+    centres = features.fit_prototypes(table, 3, n_init=1)
+    assert seen == [1, 2] and centres.shape == (3, 2)
