@@ -68,10 +68,16 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vec"))
 
 
-def embedded_windows(spark: SparkSession, sf: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Context rows over a vocabulary as large as the embedding table, and that table."""
+def embedded_windows(spark: SparkSession, sf: str, stored: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Context rows over a vocabulary as large as the embedding table, and that table.
+
+    By default encoded documents are kept where pools and lookups read the contexts twice, that is over a large table.
+    """
     vecs = vectors(spark, sf)
-    return windows(spark, sf, vecs.count() - 4, stored=stored), vecs
+    n, dim = vecs.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if stored is None:
+        stored = n * max(dim or 0, 0) * 4 > features.MATRIX_BYTES
+    return windows(spark, sf, n - 4, stored=stored), vecs
 
 
 def joined(ids: Column) -> Column:

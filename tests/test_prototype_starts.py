@@ -6,6 +6,7 @@ import pytest
 
 from lexiframe.operators import features
 from lexiframe.registry import queries
+from lexiframe.session import recorded_copies
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -40,3 +41,12 @@ def test_passes_over_a_large_table_are_shared_by_tasks(spark, monkeypatch):
     monkeypatch.setattr(features, "KMEANS_ROWS", 20)
     centres = features.fit_prototypes(table, 3, n_init=1)
     assert seen == [1, 2] and centres.shape == (3, 2)
+
+
+@pytest.mark.parametrize("name", ["mean_pool", "given_prototypes"])
+def test_over_a_large_table_texts_are_encoded_once(spark, monkeypatch, name):
+    for limit, copies in ((features.MATRIX_BYTES, 0), (1000, 1)):
+        monkeypatch.setattr(features, "MATRIX_BYTES", limit)
+        with recorded_copies() as made:
+            queries.QUERIES[name](spark, SF)
+        assert sum("/encoded-" in path for path in made) == copies
