@@ -308,8 +308,9 @@ def fit_prototypes(
     tasks as the table is large, although it may be stored in one file.
     """
     data = embeddings.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    parts = min(-(-data.count() // KMEANS_ROWS), data.sparkSession.sparkContext.defaultParallelism)
-    data = (data.repartition(parts) if parts > data.rdd.getNumPartitions() else data).cache()
+    # Counted in rows, as the splits of a file may be many and all but one empty.
+    parts = -(-data.count() // KMEANS_ROWS)
+    data = (data.repartition(parts) if parts > 1 else data).cache()
     try:
         fits = [KMeans(k=n_prototypes, seed=seed + i, featuresCol="features").fit(data) for i in range(n_init)]
         best = min(fits, key=lambda m: m.summary.trainingCost)

@@ -32,7 +32,7 @@ def test_passes_over_a_large_table_are_shared_by_tasks(spark, monkeypatch):
             self.inner = kmeans(**options)
 
         def fit(self, data):
-            seen.append(data.rdd.getNumPartitions())
+            seen.append(max(data.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()))
             return self.inner.fit(data)
 
     monkeypatch.setattr(features, "KMeans", Counted)
@@ -40,7 +40,10 @@ def test_passes_over_a_large_table_are_shared_by_tasks(spark, monkeypatch):
     features.fit_prototypes(table, 3, n_init=1)
     monkeypatch.setattr(features, "KMEANS_ROWS", 20)
     centres = features.fit_prototypes(table, 3, n_init=1)
-    assert seen == [1, 2] and centres.shape == (3, 2)
+    # Splits without rows are no help.
+    empty = table.where("id < 0")
+    features.fit_prototypes(table.union(empty).union(empty).union(empty), 3, n_init=1)
+    assert seen == [40, 20, 20] and centres.shape == (3, 2)
 
 
 @pytest.mark.parametrize("name", ["mean_pool", "given_prototypes"])
