@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # A word is a run of these characters; everything else separates.
 WORD_PATTERN = "[a-z0-9']+"
 
+# Bytes that are in no word read as blanks; those of characters beyond ASCII are among them.
+_WORD_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789'" else 0x20 for b in range(256))
+
 # The white-space characters of Python's str.strip().
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680"
@@ -45,6 +48,11 @@ def tokenize(text: Column, lowercase: bool = True) -> Column:
     return F.regexp_extract_all(source, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def split_words(text: bytes) -> list[bytes]:
+    """The words of ``tokenize`` in a text that is in lower case already, for use inside tasks."""
+    return text.translate(_WORD_BYTES).split()
+
+
 def chunk_starts(n_chars: Column, chunk_size: int = 1000, overlap: int = 100) -> Column:
     """0-based start offsets of the overlapping chunks of a text of ``n_chars``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiframe.functions.hashing import unit_draw
 from lexiframe.functions.ids import BOS, EOS, left_pad_context
 from lexiframe.operators.encoding import decode, encode
-from lexiframe.operators.next_token import NextTokenModel, predict_proba, with_known_context
+from lexiframe.operators.next_token import NextTokenModel, predict_proba, suffix, with_known_context
 from lexiframe.operators.sampling import (
     METHODS,
     TEMPERATURE,
@@ -52,17 +52,26 @@ class ModelScorer:
         if sampling == "greedy":
             best = self.model.heads.select(F.col("ctx").alias("known"), F.col("best").alias("token_id"))
         else:
-            kept = restricted(self.model.table, sampling, top_k, top_p, temperature, ("ctx",))
-            arrays = cumulative_arrays(kept, ("ctx",)).withColumnRenamed("ctx", "known")
+            # Sorted by a hash first, as numbers are compared much faster than arrays.
+            table = self.model.table.withColumn("_hash", F.xxhash64("ctx"))
+            kept = restricted(table, sampling, top_k, top_p, temperature, ("_hash", "ctx"))
+            arrays = cumulative_arrays(kept, ("_hash", "ctx")).withColumnRenamed("ctx", "known")
             arrays = materialize(arrays, "draws")
 
         def pick(rows: DataFrame, step: int, keys: Sequence[str]) -> DataFrame:
-            known = with_known_context(rows.select(*keys, "ctx"), self.model)
             if sampling == "greedy":
+                known = with_known_context(rows.select(*keys, "ctx"), self.model)
                 return known.join(best, "known").select(*keys, "token_id")
+            # All suffixes of a context ask at once, so that a step reads the table once; the longest one known counts.
+            ctx, order = F.col("ctx").cast("array<int>"), self.model.order
+            suffixes = F.array(*[suffix(ctx, length) for length in range(order, -1, -1)])
+            asked = rows.select(*keys, F.posexplode(suffixes).alias("_shorter", "known"))
+            found = asked.withColumn("_hash", F.xxhash64("known")).join(arrays, ["_hash", "known"])
             u = unit_draw(seed, *keys, F.lit(step), F.lit(0))
-            found = known.join(arrays, "known").withColumn("_u", u)
-            return found.select(*keys, pick_from_arrays(F.col("ids"), F.col("cum"), F.col("_u")).alias("token_id"))
+            drawn = found.withColumn("_u", u).select(
+                *keys, "_shorter", pick_from_arrays(F.col("ids"), F.col("cum"), F.col("_u")).alias("token_id")
+            )
+            return drawn.groupBy(*keys).agg(F.min_by("token_id", "_shorter").alias("token_id"))
 
         return pick
 

@@ -7,15 +7,17 @@ broadcast hint: a vocabulary is a stored table, whose size Catalyst knows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import hash_key
 from lexiframe.functions.ids import SPECIAL_TOKENS
-from lexiframe.functions.text import tokenize
+from lexiframe.functions.text import split_words
 from lexiframe.operators.ranking import SMALL_LIMIT, number_in_order, take_by_key, take_first
 from lexiframe.operators.summary import one_row
 from lexiframe.session import materialize
@@ -26,12 +28,31 @@ TOP_K = 5000
 OOV_SAMPLE_WORDS = 20
 OOV_CHECK_DOCS = 100
 HISTOGRAM_ROWS = 20
+# A task passes its counts on beyond so many different words.
+COUNTED_WORDS = 1 << 17
 
 
 def _frequency_order() -> list[Column]:
     return [F.desc("count"), F.asc("token")]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the texts of a task; a word may come more than once."""
+    counts: Counter[bytes] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        tokens = pa.array(list(counts), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([tokens, pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            counts.update(split_words(text.as_py() or b""))
+            if len(counts) > COUNTED_WORDS:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
 def count_vocab(
     docs: DataFrame,
     text: str = "text",
@@ -43,8 +64,11 @@ def count_vocab(
     ``tokenizer`` replaces the word tokenizer: any function from a text column to
     an ``array<string>`` column, a pandas UDF included.
     """
-    words = tokenizer(F.col(text)) if tokenizer else tokenize(F.col(text), lowercase)
-    return docs.select(F.explode(words).alias("token")).groupBy("token").count()
+    if tokenizer:
+        return docs.select(F.explode(tokenizer(F.col(text))).alias("token")).groupBy("token").count()
+    source = F.lower(text) if lowercase else F.col(text).cast("string")
+    parts = docs.select(source.alias("text")).mapInArrow(_counted, "token string, n long")
+    return parts.groupBy("token").agg(F.sum("n").alias("count"))
 
 
 def _threshold(frequent: DataFrame, top_k: int):

@@ -55,7 +55,7 @@ def vocab_of(spark: SparkSession, sf: str, top_k: int | None = 5000) -> DataFram
 
 
 def encoded(spark: SparkSession, sf: str, top_k: int | None = 5000) -> DataFrame:
-    return encoding.encode(documents(spark, sf), vocab_of(spark, sf, top_k), add_bos_eos=True)
+    return encoding.encode(documents(spark, sf), vocab_of(spark, sf, top_k), add_bos_eos=True, in_tasks=True)
 
 
 def windows(spark: SparkSession, sf: str, top_k: int | None = 5000, length: int = L, stored: bool = False) -> DataFrame:
@@ -756,7 +756,7 @@ def samples_per_prompt(spark: SparkSession, sf: str) -> DataFrame:
 def _model_rows(spark: SparkSession, sf: str, top_k: int = MODEL_TOP_K) -> tuple[DataFrame, DataFrame]:
     """Rows with as many tokens of context as the model looks at, and the vocabulary."""
     vocab = materialize(vocab_of(spark, sf, top_k), "vocab")
-    ids = materialize(encoding.encode(documents(spark, sf), vocab, add_bos_eos=True), "encoded")
+    ids = materialize(encoding.encode(documents(spark, sf), vocab, add_bos_eos=True, in_tasks=True), "encoded")
     return dataset.context_windows(ids, next_token.ORDER), vocab
 
 
@@ -768,7 +768,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _whole_report(spark: SparkSession, sf: str) -> DataFrame:
     rows, vocab = _model_rows(spark, sf)
-    return next_token.model_report(rows, next_token.fit_next_token_model(rows), vocab.count(), ())
+    pairs = materialize(next_token.count_targets(rows), "pairs")
+    return next_token.model_report(pairs, next_token.fit_next_token_model(pairs, counted=True), vocab.count(), (), counted=True)
 
 
 @query
@@ -801,9 +802,10 @@ def perplexity(spark: SparkSession, sf: str) -> DataFrame:
 def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     """The model knows the training rows only; unseen contexts back off to shorter ones."""
     rows, vocab = _model_rows(spark, sf)
-    rows = materialize(splitting.train_val_split(rows, 0.1, SEED), "split")
-    model = next_token.fit_next_token_model(rows.where(F.col("split") == "train"))
-    report = next_token.model_report(rows, model, vocab.count())
+    split = splitting.train_val_split(rows, 0.1, SEED)
+    pairs = materialize(next_token.count_targets(split, by=("split",)), "pairs")
+    model = next_token.fit_next_token_model(pairs.where(F.col("split") == "train"), counted=True)
+    report = next_token.model_report(pairs, model, vocab.count(), counted=True)
     return report.select(
         "split", "n_rows", *[F.round(c, 7).alias(c) for c in ("accuracy", "logloss", "perplexity")]
     )
