@@ -25,7 +25,7 @@ from lexiframe.session import discard, materialize
 MIN_WORDS = 50
 ANCHOR_WORDS = 12
 # Windows whose anchors are sought at a time, so that a very long text needs no large matrix.
-CHUNK = 1 << 18
+CHUNK = 1 << 12
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -205,6 +205,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_
             rows.append((kept.decode("utf-8", "surrogatepass"), len(words), int(gone.sum()), digest))
         return pd.DataFrame(rows, columns=["kept_text", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.withColumn("__cut", cut("text", "__runs")).select(
+    # Else a caller's filter on the result would cut every text a second time, in a second worker beside the first.
+    return joined.withColumn("__cut", cut.asNondeterministic()("text", "__runs")).select(
         *[F.col(c) for c in docs.columns], "__cut.kept_text", "__cut.n_words", "__cut.n_removed", "__cut.kept_sha256"
     )
