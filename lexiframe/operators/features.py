@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiframe.functions.ids import PAD, context_length, type_token_ratio, unk_count
+from lexiframe.functions.moments import Moments, merged, moments, points_of
 from lexiframe.functions.sequences import joined_windows
 from lexiframe.operators.dataset import ROW_KEYS, feature_names
 from lexiframe.operators.embeddings import TOP_K_SIMILAR, last_token_similarity
@@ -53,6 +54,12 @@ def with_context_stats(rows: DataFrame, ctx: str = "ctx") -> DataFrame:
     )
 
 
+def as_lists(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = m.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(m.ravel()))
+
+
 def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
     """The embedding table as a matrix with a mask of the IDs it has, or None when it is larger than ``max_bytes``."""
     facts = embeddings.agg(F.max("id").alias("top"), F.max(F.size("vec")).alias("dim")).first()
@@ -340,11 +347,81 @@ def prototype_similarity(
     return rows.withColumn(name, cosines(F.col(pooled)))
 
 
+def fit_pcas(rows: DataFrame, columns: Sequence[str], target_dim: int) -> dict[str, PipelineModel]:
+    """``fit_pca`` for several columns, in one pass over the rows.
+
+    A batch of rows leaves its worker as its count, mean and scatter, not as vectors. What centring and PCA ask of
+    the rows, mean and covariance, a few points have as well, and Spark fits these.
+    """
+
+    @F.arrow_udf("struct<n: long, mean: array<double>, scatter: array<double>>")
+    def batch(vectors: pa.Array) -> pa.Array:
+        """The moments of a batch in its first row, nothing in the others."""
+        names, n = ["n", "mean", "scatter"], len(vectors)
+        found: list[dict | None] = [None] * n
+        if n:
+            values, widths = vectors.flatten(), vectors.value_lengths().to_numpy(zero_copy_only=False)
+            if vectors.null_count or values.null_count or (widths != widths[0]).any():
+                raise ValueError("a vector is null or has a null, or vectors differ in length")
+            found[0] = dict(zip(names, moments(values.to_numpy().reshape(n, -1))))
+        types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        parts = [pa.array([f and np.ravel(f[c]).tolist() if c != "n" else f and f[c] for f in found], t) for c, t in zip(names, types)]
+        return pa.StructArray.from_arrays(parts, names, mask=pa.array([f is None for f in found]))
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per column for all rows of a task."""
+        found: dict[str, Moments] = {}
+        for one in batches:
+            for row in one.to_pylist():
+                parts = [row] if "at" in row else [{"at": c, **m} for c, m in row.items() if m]
+                for p in parts:
+                    mean = np.array(p["mean"])
+                    part = Moments(p["n"], mean, np.array(p["scatter"]).reshape(len(mean), -1))
+                    found[p["at"]] = merged([found[p["at"]], part] if p["at"] in found else [part])
+        made = [{"at": c, "n": m.n, "mean": m.mean.tolist(), "scatter": m.scatter.ravel().tolist()} for c, m in found.items()]
+        if made:
+            yield pa.RecordBatch.from_pylist(made)
+
+    # Were it deterministic, Spark would evaluate it once more for the filter.
+    batch = batch.asNondeterministic()
+    made = rows.select(*[batch(F.col(c)).alias(c) for c in columns]).where(F.coalesce(*columns).isNotNull())
+    fields = "at string, n long, mean array<double>, scatter array<double>"
+    table = made.mapInArrow(together, fields).repartition(1).mapInArrow(together, fields).collect()
+    found = {r["at"]: Moments(r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in table}
+    if not found:
+        raise ValueError("a PCA is fit on at least one row")
+    models = {}
+    for column in columns:
+        if found[column].n < 2:
+            raise ValueError("a covariance needs at least two rows")
+        points = [(p.tolist(),) for p in points_of(found[column])]
+        data = rows.sparkSession.createDataFrame(points, "vec array<double>").coalesce(1).select(array_to_vector("vec").alias("_raw"))
+        centre = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred")
+        models[column] = Pipeline(stages=[centre, PCA(k=target_dim, inputCol="_centred", outputCol="_reduced")]).fit(data)
+    return models
+
+
 def fit_pca(rows: DataFrame, column: str, target_dim: int) -> PipelineModel:
     """Centre, then PCA: Spark's PCA does not centre on its own. Fit on training rows only."""
-    data = rows.select(array_to_vector(column).alias("_raw"))
-    centre = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred")
-    return Pipeline(stages=[centre, PCA(k=target_dim, inputCol="_centred", outputCol="_reduced")]).fit(data)
+    return fit_pcas(rows, [column], target_dim)[column]
+
+
+def reducer(model: PipelineModel) -> Callable[[np.ndarray], np.ndarray]:
+    """What a model of ``fit_pca`` makes of the rows of a matrix, for use inside tasks."""
+    centre, pca = model.stages
+    mean, components = centre.mean.toArray(), pca.pc.toArray()
+    return lambda m: (m - mean) @ components
+
+
+def project(rows: DataFrame, column: str, model: PipelineModel) -> DataFrame:
+    """Replace an array column by the components of ``model``, in the worker that made it where a function did."""
+    reduce, width = reducer(model), len(model.stages[0].mean)
+
+    @F.arrow_udf("array<double>")
+    def components(vectors: pa.Array) -> pa.Array:
+        return as_lists(reduce(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width)))
+
+    return rows.withColumn(column, components(F.col(column)))
 
 
 def pca_reduce(
@@ -359,10 +436,7 @@ def pca_reduce(
         dim = first["d"] if first else 0
     if target_dim >= dim:
         return rows
-    model = model or fit_pca(rows, column, target_dim)
-    reduced = model.transform(rows.withColumn("_raw", array_to_vector(column)))
-    out = [vector_to_array("_reduced").alias(c) if c == column else F.col(c) for c in rows.columns]
-    return reduced.select(*out)
+    return project(rows, column, model or fit_pca(rows, column, target_dim))
 
 
 @dataclass(frozen=True)

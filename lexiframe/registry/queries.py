@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -124,6 +124,17 @@ def weighted_in_batches(column: Column) -> Column:
     return weighted_sum(column)
 
 
+def square_in_batches(column: Column) -> Column:
+    """The squared length of a vector, for vectors of one width."""
+
+    @F.arrow_udf(DoubleType())
+    def square(vecs: pa.Array) -> pa.Array:
+        m = vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1) if len(vecs) else np.zeros((0, 1))
+        return pa.array(np.einsum("ij,ij->i", m, m))
+
+    return square(column)
+
+
 def per_doc(rows: DataFrame, value: Column) -> DataFrame:
     return rows.select("doc_id", value.alias("v")).groupBy("doc_id").agg(
         rounded(F.avg("v"), "avg_value", 5), rounded(F.min("v"), "min_value", 5), rounded(F.max("v"), "max_value", 5)
@@ -668,9 +679,8 @@ def pca_lengths(spark: SparkSession, sf: str) -> DataFrame:
     pooled = features.pool_embeddings(rows, vecs, ("mean",)).select("doc_id", "mean_pooled")
     dim = embeddings.dimension(vecs)
     model = features.fit_pca(pooled, "mean_pooled", dim)
-    reduced = model.transform(pooled.withColumn("_raw", array_to_vector("mean_pooled")))
-    square = F.aggregate(vector_to_array("_reduced"), F.lit(0.0), lambda a, x: a + x * x)
-    return per_doc(reduced, square)
+    reduced = features.project(pooled, "mean_pooled", model)
+    return per_doc(reduced, square_in_batches(F.col("mean_pooled")))
 
 
 @query
