@@ -9,11 +9,11 @@ from dataclasses import asdict
 import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexiframe.operators.dataset import ROW_KEYS
-from lexiframe.operators.features import FeatureOptions, assemble_features, fit_pca, fit_prototypes, pool_embeddings
+from lexiframe.operators.features import FeatureOptions, assemble_features, fit_pcas, fit_prototypes, pool_embeddings
 
 
 class ContextFeatures(Estimator):
@@ -32,16 +32,21 @@ class ContextFeatures(Estimator):
 
     def _fit(self, dataset: DataFrame) -> ContextFeaturesModel:
         """The width of a context is the greatest of ``dataset``; no rows are an error."""
-        length = dataset.agg(F.max(F.size(self.ctx))).first()[0]
+        prototypes, pca, kinds, width = None, {}, self._reduced(), F.max(F.size(self.ctx)).alias("width")
+        if kinds:
+            # All in one pass: rows may be dear to make, and their vectors take many times the room of the contexts.
+            seen = Observation()
+            pooled = dataset.observe(seen, width)
+            for kind in kinds:
+                pooled = pool_embeddings(pooled, self.embeddings, (kind,), self.ctx, self.keys)
+            fits = fit_pcas(pooled, [f"{kind}_pooled" for kind in kinds], self.options.reduce_to)
+            pca, length = {kind: fits[f"{kind}_pooled"] for kind in kinds}, seen.get["width"]
+        else:
+            length = dataset.agg(width).first()["width"]
         if length is None:
             raise ValueError("features are fit on at least one row")
-        prototypes, pca = None, {}
         if self.options.prototypes:
             prototypes = fit_prototypes(self.embeddings, self.options.n_prototypes)
-        for kind in self._reduced():
-            # Pooled anew in every pass of the fit: stored, vectors take many times the room of the contexts.
-            pooled = pool_embeddings(dataset, self.embeddings, (kind,), self.ctx, self.keys)
-            pca[kind] = fit_pca(pooled, f"{kind}_pooled", self.options.reduce_to)
         return ContextFeaturesModel(self.options, self.embeddings, prototypes, pca, length, self.ctx, self.keys)
 
     def _reduced(self) -> list[str]:
