@@ -1,8 +1,42 @@
-"""Contexts as windows of the sequences they were cut from; numpy only, for use inside tasks."""
+"""Contexts as windows of the sequences they were cut from, and lists; numpy and Arrow only, for use inside tasks."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+
+def as_lists(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = m.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(m.ravel()))
+
+
+def weighted_sums(vecs: pa.Array) -> pa.Array:
+    """The sum of place times element of every list, places from 1; null for a null list. Elements are not null."""
+    lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
+    values = vecs.flatten().to_numpy(zero_copy_only=False)
+    if len(lengths) and lengths[0] and (lengths == lengths[0]).all():
+        width = int(lengths[0])
+        return pa.array(values.reshape(-1, width) @ np.arange(1.0, width + 1))
+    sizes = np.nan_to_num(lengths).astype(np.int64)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(values)) - np.repeat(ends - sizes, sizes) + 1.0
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * place, len(sizes))
+    return pa.array(sums, mask=np.isnan(lengths.astype(np.float64)))
+
+
+def last_known(contexts: pa.Array, pad: int) -> np.ndarray:
+    """The last ID of every context that is not ``pad``; -1 where there is none or it is null."""
+    ids = contexts.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    lengths = contexts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    places = np.flatnonzero(ids != pad)
+    if not len(places):
+        return np.full(len(lengths), -1, dtype=np.int64)
+    before = np.searchsorted(places, ends) - 1
+    at = places[np.maximum(before, 0)]
+    return np.where((before >= 0) & (at >= ends - lengths), ids[at].astype(np.int64), -1)
 
 
 def joined_windows(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
