@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexiframe.functions.ids import context_length, left_pad_context, pad_ids, truncate_ids, type_token_ratio, unk_count
+from lexiframe.functions.sequences import weighted_sums
 from lexiframe.functions.text import tokenize
 from lexiframe.operators import conversations, dataset, embeddings, encoding, features, generation, metrics
 from lexiframe.operators import next_token, sampling, splitting, vocabulary
@@ -110,16 +111,7 @@ def weighted_in_batches(column: Column) -> Column:
 
     @F.arrow_udf(DoubleType())
     def weighted_sum(vecs: pa.Array) -> pa.Array:
-        lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
-        values = vecs.flatten().to_numpy(zero_copy_only=False)
-        if len(lengths) and lengths[0] and (lengths == lengths[0]).all():
-            width = int(lengths[0])
-            return pa.array(values.reshape(-1, width) @ np.arange(1.0, width + 1))
-        sizes = np.nan_to_num(lengths).astype(np.int64)
-        ends = np.cumsum(sizes)
-        place = np.arange(len(values)) - np.repeat(ends - sizes, sizes) + 1.0
-        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), values * place, len(sizes))
-        return pa.array(sums, mask=np.isnan(lengths.astype(np.float64)))
+        return weighted_sums(vecs)
 
     return weighted_sum(column)
 
@@ -135,6 +127,33 @@ def square_in_batches(column: Column) -> Column:
     return square(column)
 
 
+def extremes_in_batches(column: Column) -> Column:
+    """(least, most, n) of the elements of a vector, as Spark's array functions find them; vectors of one width."""
+
+    @F.arrow_udf("struct<least: double, most: double, n: int>")
+    def extremes(vecs: pa.Array) -> pa.Array:
+        n = len(vecs)
+        m = vecs.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+        # NaN is greater than any number.
+        found = [pa.array(np.fmin.reduce(m, axis=1)), pa.array(m.max(axis=1)), pa.array(np.full(n, m.shape[1], np.int32))]
+        return pa.StructArray.from_arrays(found, ["least", "most", "n"])
+
+    return extremes(column)
+
+
+def size_and_weighted_in_batches(column: Column) -> Column:
+    """(n, v): the size of an ML vector and its ``weighted`` sum; dense vectors."""
+
+    @F.arrow_udf("struct<n: int, v: double>")
+    def sums(vecs: pa.Array) -> pa.Array:
+        if (vecs.field("type").to_numpy(zero_copy_only=False) != 1).any():
+            raise ValueError("a vector is not dense")
+        values = vecs.field("values")
+        return pa.StructArray.from_arrays([values.value_lengths(), weighted_sums(values)], ["n", "v"])
+
+    return sums(column)
+
+
 def per_doc(rows: DataFrame, value: Column) -> DataFrame:
     return rows.select("doc_id", value.alias("v")).groupBy("doc_id").agg(
         rounded(F.avg("v"), "avg_value", 5), rounded(F.min("v"), "min_value", 5), rounded(F.max("v"), "max_value", 5)
@@ -643,10 +662,8 @@ def prototype_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf)
     centres = features.fit_prototypes(vecs, 50)
     pooled = features.prototype_similarity(features.pool_embeddings(rows, vecs, ("mean",)), centres)
-    sims = F.col("prototype_sims")
-    return pooled.groupBy("doc_id").agg(
-        F.min(F.array_min(sims)).alias("least"), F.max(F.array_max(sims)).alias("most"), F.max(F.size(sims)).alias("n")
-    )
+    sims = pooled.select("doc_id", extremes_in_batches(F.col("prototype_sims")).alias("s")).select("doc_id", "s.*")
+    return sims.groupBy("doc_id").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"))
 
 
 @query
@@ -701,8 +718,7 @@ def assemble_features(spark: SparkSession, sf: str) -> DataFrame:
     rows, vecs = embedded_windows(spark, sf, stored=True)
     options = features.FeatureOptions(mean_pooled=True, last_token=True, position_pooled=True, max_pooled=True)
     built, names, categorical = features.assemble_features(rows, options, vecs)
-    values = built.select("doc_id", vector_to_array("features").alias("f"))
-    values = values.select("doc_id", F.size("f").alias("n"), weighted_in_batches(F.col("f")).alias("v"))
+    values = built.select("doc_id", size_and_weighted_in_batches(F.col("features")).alias("f")).select("doc_id", "f.*")
     return values.groupBy("doc_id").agg(
         F.max("n").alias("n_features"),
         F.lit(len(categorical)).alias("n_categorical"),
