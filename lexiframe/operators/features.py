@@ -8,19 +8,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiframe.functions.ids import PAD, context_length, type_token_ratio, unk_count
 from lexiframe.functions.moments import Moments, merged, moments, points_of
-from lexiframe.functions.sequences import joined_windows
+from lexiframe.functions.sequences import as_lists, joined_windows
 from lexiframe.operators.dataset import ROW_KEYS, feature_names
-from lexiframe.operators.embeddings import TOP_K_SIMILAR, last_token_similarity
+from lexiframe.operators.embeddings import TOP_K_SIMILAR, similar_to_last, similarity_matrix, similarity_table, with_similarities
 from lexiframe.session import materialize
 
 # Fixed values of the features.
@@ -54,12 +56,6 @@ def with_context_stats(rows: DataFrame, ctx: str = "ctx") -> DataFrame:
     )
 
 
-def as_lists(m: np.ndarray) -> pa.Array:
-    """The rows of a matrix as lists."""
-    n, width = m.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(m.ravel()))
-
-
 def matrix_if_small(embeddings: DataFrame, max_bytes: int = MATRIX_BYTES) -> tuple[np.ndarray, np.ndarray] | None:
     """The embedding table as a matrix with a mask of the IDs it has, or None when it is larger than ``max_bytes``."""
     facts = embeddings.agg(F.max("id").alias("top"), F.max(F.size("vec")).alias("dim")).first()
@@ -109,11 +105,18 @@ def _held_vectors(rows: DataFrame, embeddings: DataFrame, ctx: str) -> DataFrame
     return materialize(embeddings.join(held, "id", "left_semi").select("id", "vec"), "held")
 
 
-def _pool_in_tasks(
-    rows: DataFrame, matrix: np.ndarray, present: np.ndarray, kinds: Sequence[str], ctx: str
-) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((matrix, present))
-    dim = matrix.shape[1]
+def _matrix_in_use(rows: DataFrame, embeddings: DataFrame, ctx: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """``matrix_if_small`` of the table, or of the part of a larger one that contexts use."""
+    small = matrix_if_small(embeddings, max_bytes)
+    if small is None:
+        # Texts may use a small part of a large table.
+        held = _held_vectors(rows, embeddings, ctx)
+        small = None if held.isEmpty() else matrix_if_small(held, max_bytes)
+    return small
+
+
+def _pooler(shared: Broadcast, dim: int, kinds: Sequence[str]) -> Callable[[pa.Array], dict[str, np.ndarray]]:
+    """What pools a batch of contexts inside a task, from the matrix and mask in ``shared``: a matrix per kind."""
 
     def pool_scattered(block: np.ndarray, kind: str) -> np.ndarray:
         """One position at a time, so that the block of vectors stays in the cache."""
@@ -161,7 +164,7 @@ def _pool_in_tasks(
             out[kind] = found
         return out
 
-    def pooled(contexts: pa.Array) -> dict[str, pa.Array]:
+    def pooled(contexts: pa.Array) -> dict[str, np.ndarray]:
         n = len(contexts)
         lengths = contexts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ids = contexts.flatten().fill_null(PAD).to_numpy(zero_copy_only=False)
@@ -174,14 +177,21 @@ def _pool_in_tasks(
                 block = ids[starts[at][:, None] + np.arange(length)[None, :]] if length else np.zeros((len(at), 0), np.int32)
                 for kind, found in pool(block).items():
                     results[kind][at] = found
-        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        return {kind: pa.ListArray.from_arrays(offsets, pa.array(results[kind].ravel())) for kind in kinds}
+        return results
+
+    return pooled
+
+
+def _pool_in_tasks(
+    rows: DataFrame, matrix: np.ndarray, present: np.ndarray, kinds: Sequence[str], ctx: str
+) -> DataFrame:
+    pooled = _pooler(rows.sparkSession.sparkContext.broadcast((matrix, present)), matrix.shape[1], kinds)
 
     if len(kinds) == 1:
         # An array of its own: functions of the pool run in the same pass of the worker.
         @F.arrow_udf("array<double>")
         def one_pool(contexts: pa.Array) -> pa.Array:
-            return pooled(contexts)[kinds[0]]
+            return as_lists(pooled(contexts)[kinds[0]])
 
         return rows.withColumn(f"{kinds[0]}_pooled", one_pool(F.col(ctx)))
 
@@ -189,7 +199,7 @@ def _pool_in_tasks(
 
     @F.arrow_udf(f"struct<{fields}>")
     def pools(contexts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(list(pooled(contexts).values()), list(kinds))
+        return pa.StructArray.from_arrays([as_lists(m) for m in pooled(contexts).values()], list(kinds))
 
     return rows.withColumn("_pooled", pools(F.col(ctx))).select(
         *rows.columns, *[F.col(f"_pooled.{k}").alias(f"{k}_pooled") for k in kinds]
@@ -296,11 +306,7 @@ def pool_embeddings(
     unknown = set(kinds) - set(POOLS)
     if unknown:
         raise ValueError(f"unknown pooling: {sorted(unknown)}")
-    small = matrix_if_small(embeddings, max_bytes)
-    if small is None:
-        # Texts may use a small part of a large table.
-        held = _held_vectors(rows, embeddings, ctx)
-        small = None if held.isEmpty() else matrix_if_small(held, max_bytes)
+    small = _matrix_in_use(rows, embeddings, ctx, max_bytes)
     if small is None:
         return pool_by_blocks(rows, embeddings, kinds, ctx, keys)
     return _pool_in_tasks(rows, *small, kinds, ctx)
@@ -326,6 +332,18 @@ def fit_prototypes(
         data.unpersist()
 
 
+def _comparer(prototypes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The cosines of the rows of a matrix to every prototype, for use inside tasks."""
+    norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
+    unit = prototypes / np.where(norms == 0, 1.0, norms)
+
+    def cosines(m: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return (m @ unit.T) / np.where(norm == 0, 1.0, norm)
+
+    return cosines
+
+
 def prototype_similarity(
     rows: DataFrame, prototypes: np.ndarray, pooled: str = "mean_pooled", name: str = "prototype_sims"
 ) -> DataFrame:
@@ -333,16 +351,11 @@ def prototype_similarity(
 
     The prototypes are n_prototypes x D numbers whatever the data.
     """
-    norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
-    unit = prototypes / np.where(norms == 0, 1.0, norms)
+    compare, width = _comparer(prototypes), prototypes.shape[1]
 
     @F.arrow_udf("array<double>")
     def cosines(vectors: pa.Array) -> pa.Array:
-        n, k = len(vectors), unit.shape[0]
-        m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, unit.shape[1])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        cos = (m / np.where(norm == 0, 1.0, norm)) @ unit.T
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(cos.ravel()))
+        return as_lists(compare(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width)))
 
     return rows.withColumn(name, cosines(F.col(pooled)))
 
@@ -467,6 +480,78 @@ class FeatureOptions:
             raise ValueError("no features were selected")
 
 
+def _features_in_tasks(
+    rows: DataFrame,
+    options: FeatureOptions,
+    embeddings: DataFrame,
+    prototypes: np.ndarray | None,
+    pca: dict[str, PipelineModel],
+    ctx: str,
+    kinds: Sequence[str],
+    table: DataFrame | None,
+    stats: Sequence[str],
+) -> Column | None:
+    """The vector of ``assemble_features`` made by one function, so that no part of it travels; None if tables are too large."""
+    context = rows.sparkSession.sparkContext
+    found = similarity_matrix(table, options.top_k_similar) if table is not None else None
+    small = _matrix_in_use(rows, embeddings, ctx, MATRIX_BYTES) if kinds else None
+    if (kinds and small is None) or (table is not None and found is None):
+        return None
+    pooled = _pooler(context.broadcast(small), small[0].shape[1], kinds) if kinds else None
+    similar = similar_to_last(context.broadcast(found), options.top_k_similar) if table is not None else None
+    reduce = {kind: reducer(model) for kind, model in pca.items()}
+    compare = _comparer(prototypes) if options.prototypes else None
+    with_ids = options.token_ids
+
+    def assembled(contexts: pa.Array, numbers: pa.Array | None = None) -> pa.Array:
+        n, blocks = len(contexts), []
+        pools = pooled(contexts) if pooled else {}
+        if numbers is not None:
+            blocks.append(numbers.flatten().to_numpy(zero_copy_only=False).reshape(n, len(stats)))
+        if options.mean_pooled:
+            blocks.append(reduce["mean"](pools["mean"]) if "mean" in reduce else pools["mean"])
+        if compare:
+            blocks.append(compare(pools["mean"]))
+        if similar:
+            blocks.append(similar(contexts))
+        for kind in ("position", "max"):
+            if kind in pools:
+                blocks.append(reduce[kind](pools[kind]) if kind in reduce else pools[kind])
+        m, width = np.concatenate(blocks, axis=1), sum(b.shape[1] for b in blocks)
+        sizes = np.full(n, width)
+        if with_ids:
+            ids = contexts.flatten()
+            if contexts.null_count or ids.null_count:
+                raise ValueError("a context is null or has a null")
+            lengths = contexts.value_lengths().to_numpy(zero_copy_only=False)
+            sizes = sizes + lengths
+        ends = np.cumsum(sizes)
+        values = m.ravel()
+        if with_ids:
+            own = np.repeat(np.tile([True, False], n), np.column_stack([lengths, np.full(n, width)]).ravel())
+            values = np.empty(len(own))
+            values[own], values[~own] = ids.to_numpy(), m.ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
+        # A dense vector as Spark stores it.
+        parts = [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), lists]
+        return pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+
+    if not stats:
+
+        @F.arrow_udf(VectorUDT())
+        def features(contexts: pa.Array) -> pa.Array:
+            return assembled(contexts)
+
+        return features(F.col(ctx))
+
+    @F.arrow_udf(VectorUDT())
+    def features_and_stats(contexts: pa.Array, numbers: pa.Array) -> pa.Array:
+        return assembled(contexts, numbers)
+
+    computed = {"context_length": context_length, "unk_count": unk_count, "type_token_ratio": type_token_ratio}
+    return features_and_stats(F.col(ctx), F.array(*[computed[s](F.col(ctx)).cast("double") for s in stats]))
+
+
 def assemble_features(
     rows: DataFrame,
     options: FeatureOptions = FeatureOptions(),
@@ -490,7 +575,7 @@ def assemble_features(
     if length is None:
         first = rows.select(F.size(ctx).alias("n")).first()
         length = first["n"] if first else 0
-    out, names, inputs = rows, [], []
+    out, names, inputs, pieces = rows, [], [], None
     categorical = feature_names(length) if options.token_ids else []
 
     def add(column: str, width: int, label: str) -> None:
@@ -514,17 +599,21 @@ def assemble_features(
             "max": options.max_pooled,
         }
         kinds = [k for k, on in wanted.items() if on]
-        if kinds:
-            out = pool_embeddings(out, embeddings, kinds, ctx, keys)
-        if options.prototypes:
-            out = prototype_similarity(out, prototypes)
-        if options.last_token:
-            out = last_token_similarity(out, embeddings, options.top_k_similar, ctx)
         reduced = dim if options.reduce_to is None else min(dim, options.reduce_to)
-        for kind in kinds:
-            if reduced < dim and (kind != "mean" or options.mean_pooled):
-                if kind not in (pca or {}):
-                    raise ValueError(f"reducing the {kind} pool needs a fitted PCA")
+        to_reduce = [k for k in kinds if reduced < dim and (k != "mean" or options.mean_pooled)]
+        for kind in to_reduce:
+            if kind not in (pca or {}):
+                raise ValueError(f"reducing the {kind} pool needs a fitted PCA")
+        table = similarity_table(embeddings, options.top_k_similar) if options.last_token else None
+        pieces = _features_in_tasks(rows, options, embeddings, prototypes, {k: pca[k] for k in to_reduce}, ctx, kinds, table, stats)
+        if pieces is None:
+            if kinds:
+                out = pool_embeddings(out, embeddings, kinds, ctx, keys)
+            if options.prototypes:
+                out = prototype_similarity(out, prototypes)
+            if options.last_token:
+                out = with_similarities(out, table, options.top_k_similar, ctx)
+            for kind in to_reduce:
                 out = pca_reduce(out, f"{kind}_pooled", reduced, pca[kind], dim)
         if options.mean_pooled:
             add("mean_pooled", reduced, "mean")
@@ -537,4 +626,5 @@ def assemble_features(
         if options.max_pooled:
             add("max_pooled", reduced, "max")
 
-    return out.select(*rows.columns, array_to_vector(F.concat(*inputs)).alias("features")), names, categorical
+    made = array_to_vector(F.concat(*inputs)) if pieces is None else pieces
+    return out.select(*rows.columns, made.alias("features")), names, categorical
