@@ -13,6 +13,7 @@ it splits it, and only IDs travel. That is for vocabularies small enough to broa
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def _encode_in_tasks(
         find, found, ends = shared.value.get, [np.empty(0, np.int32)], [0]
         for one in texts.cast(pa.binary()):
             words = split_words(one.as_py() or b"")
-            found.append(np.fromiter((find(w, UNK) for w in words), np.int32, len(words)))
+            found.append(np.fromiter(map(find, words, repeat(UNK)), np.int32, len(words)))
             ends.append(ends[-1] + len(words))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
 
