@@ -517,20 +517,22 @@ def _features_in_tasks(
         for kind in ("position", "max"):
             if kind in pools:
                 blocks.append(reduce[kind](pools[kind]) if kind in reduce else pools[kind])
-        m, width = np.concatenate(blocks, axis=1), sum(b.shape[1] for b in blocks)
-        sizes = np.full(n, width)
         if with_ids:
             ids = contexts.flatten()
             if contexts.null_count or ids.null_count:
                 raise ValueError("a context is null or has a null")
-            lengths = contexts.value_lengths().to_numpy(zero_copy_only=False)
+            lengths, ids = contexts.value_lengths().to_numpy(zero_copy_only=False), ids.to_numpy()
+            if n and (lengths == lengths[0]).all():
+                blocks.insert(0, ids.reshape(n, -1) if lengths[0] else np.zeros((n, 0)))
+                lengths = None
+        m = np.concatenate(blocks, axis=1)
+        values, sizes = m.ravel(), np.full(n, m.shape[1])
+        if with_ids and lengths is not None:
+            own = np.repeat(np.tile([True, False], n), np.column_stack([lengths, sizes]).ravel())
+            values = np.empty(len(own))
+            values[own], values[~own] = ids, m.ravel()
             sizes = sizes + lengths
         ends = np.cumsum(sizes)
-        values = m.ravel()
-        if with_ids:
-            own = np.repeat(np.tile([True, False], n), np.column_stack([lengths, np.full(n, width)]).ravel())
-            values = np.empty(len(own))
-            values[own], values[~own] = ids.to_numpy(), m.ravel()
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
         # A dense vector as Spark stores it.
         parts = [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), lists]
